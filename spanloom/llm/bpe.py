@@ -319,6 +319,9 @@ class WordSplitter:
     def bytes_of(self, word: str) -> bytes:
         return word[1:].translate(self.values).encode("latin-1") if word[0] == " " else word.encode("utf-8")
 
+    def letters_of(self, data: bytes) -> str:
+        return data.decode("latin-1").translate(self.letters)
+
     def spell(self, word: str) -> str:
         """The word in byte letters."""
         if word[0] == " ":
