@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
-#: Bytes of text that are hashed in one vectorised step.
+#: Bytes of text that are worked on in one step.
 SLICE_BYTES = 1 << 20
+#: Bytes of text whose shingles are hashed in one step: small enough for the arrays to stay in a core's cache.
+HASH_BYTES = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,7 +115,7 @@ def shingle_hashes(texts: Sequence[str], words: int = SHINGLE_WORDS) -> tuple[np
 
 def hashed(texts: Sequence[str], words: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
     """Each text's shingle hashes, as ``shingle_hashes`` but in slices of bounded size."""
-    for a, b in slices(texts):
+    for a, b in slices(texts, HASH_BYTES):
         out, begin = shingle_hashes(texts[a:b], words)
         for i in range(b - a):
             yield out[begin[i] : begin[i + 1]]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, tokencount
+from . import bpe, fingerprints, packing, tokencount
 from .common import table
 
 
@@ -29,5 +29,14 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op3_harmonic_packing": op3_harmonic_packing, "op5_bpe_codec": op5_bpe_codec, "op7_token_counts": op7_token_counts}
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_harmonic_packing": op3_harmonic_packing,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_bpe_codec": op5_bpe_codec,
+    "op7_token_counts": op7_token_counts,
+}
 ORACLE_SQL: dict[str, str] = {}
