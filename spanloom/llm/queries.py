@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, packing, tokencount
-from .common import table
+from . import bpe, fingerprints, langid, packing, quality, tokencount
+from .common import crc_bucket, table
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +33,29 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bucket = crc_bucket("doc_id", 4)
+    found = langid.identify(table(spark, sf_dir, "documents"), learn_from=bucket != 2)
+    return found.select("doc_id", F.coalesce(bucket == 2, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score")
+
+
+def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bucket = crc_bucket("doc_id", 3)
+    rated = quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_from=bucket != 1)
+    return rated.select(
+        "doc_id",
+        F.coalesce(bucket == 1, F.lit(False)).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op3_harmonic_packing": op3_harmonic_packing,
     "op4_fingerprints": op4_fingerprints,
     "op5_bpe_codec": op5_bpe_codec,
     "op7_token_counts": op7_token_counts,
+    "op8_language_id": op8_language_id,
+    "op10_quality_ranking": op10_quality_ranking,
 }
 ORACLE_SQL: dict[str, str] = {}
