@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, packing, quality, tokencount
+from . import bpe, fingerprints, langid, neardup, packing, quality, tokencount
 from .common import crc_bucket, table
 
 
@@ -50,10 +50,15 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_harmonic_packing": op3_harmonic_packing,
     "op4_fingerprints": op4_fingerprints,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
     "op10_quality_ranking": op10_quality_ranking,
