@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, neardup, packing, quality, tokencount
+from . import bpe, fingerprints, langid, neardup, packing, quality, tokencount, topk
 from .common import crc_bucket, table
 
 
@@ -54,7 +54,29 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 50 == 0, k=5)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_inner_product(q.vec, v.vec) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
     "op3_harmonic_packing": op3_harmonic_packing,
     "op4_fingerprints": op4_fingerprints,
     "op5_bpe_codec": op5_bpe_codec,
@@ -63,4 +85,4 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op10_quality_ranking": op10_quality_ranking,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": OP1_SQL}
