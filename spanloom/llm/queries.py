@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, neardup, packing, quality, tokencount, topk
+from . import bpe, fingerprints, langid, licenses, neardup, packing, quality, tokencount, topk
 from .common import crc_bucket, table
 
 
@@ -75,6 +75,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op3_harmonic_packing": op3_harmonic_packing,
@@ -83,6 +87,7 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_ranking": op10_quality_ranking,
 }
-ORACLE_SQL: dict[str, str] = {"op1_topk_search": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": OP1_SQL, "op9_license_scan": licenses.oracle_sql()}
