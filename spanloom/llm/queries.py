@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, licenses, neardup, packing, quality, tokencount, topk
+from . import bpe, chat, fingerprints, langid, licenses, neardup, packing, quality, tokencount, topk
 from .common import crc_bucket, table
 
 
@@ -79,8 +79,54 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+#: The schema that the calls made from user turns are held against.
+REPLY_SCHEMA = {"reply": {"text": ("string", True), "n_chars": ("integer", True), "urgent": ("boolean", False), "tag": ("string", False)}}
+
+
+def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a call of ``reply`` that waits for the user turn two before it; every other turn as the result of the turn before it.
+
+    Some calls break the schema on purpose: no text where n_chars is divisible by 11, a number as tag where it is divisible by 7.
+    """
+    turns = table(spark, sf_dir, "conversations").withColumn("n_chars", F.length("text"))
+    call_id = F.concat_ws(":", F.col("conv_id"), F.col("turn"))
+    arguments = F.to_json(
+        F.struct(
+            F.when(F.col("n_chars") % 11 != 0, F.col("text")).alias("text"),
+            "n_chars",
+            F.when(F.col("text").contains("!"), F.lit(True)).alias("urgent"),
+            F.when(F.col("n_chars") % 7 == 0, F.col("n_chars")).alias("tag"),
+        )
+    )
+    calls = turns.where("role = 'user'").select(
+        "conv_id", "turn", call_id.alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.concat_ws(":", F.col("conv_id"), F.col("turn") - 2).alias("after")
+    )
+    results = turns.where("role <> 'user'").select("conv_id", "turn", F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return chat.link_calls(calls, results, REPLY_SCHEMA)
+
+
+OP2_SQL = """
+WITH RECURSIVE u AS (SELECT conv_id, turn, text, length(text) AS n, to_json(text) AS j FROM conversations WHERE role = 'user'),
+l AS (
+  SELECT conv_id, turn, 0 AS level FROM u WHERE NOT EXISTS (SELECT 1 FROM u AS p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2)
+  UNION ALL SELECT u.conv_id, u.turn, l.level + 1 FROM l JOIN u ON u.conv_id = l.conv_id AND u.turn = l.turn + 2
+), r AS (SELECT conv_id, turn, turn - 1 AS call, to_json(text) AS j FROM conversations WHERE role <> 'user')
+SELECT coalesce(u.conv_id, r.conv_id) AS conv_id, CAST(l.level AS BIGINT) AS level, coalesce(u.turn, r.turn) AS turn,
+  concat(coalesce(u.conv_id, r.conv_id), ':', coalesce(u.turn, r.call)) AS call_id,
+  CASE WHEN u.conv_id IS NULL THEN 'orphan' ELSE 'call' END AS kind,
+  u.conv_id IS NOT NULL AND r.conv_id IS NOT NULL AS linked,
+  CASE WHEN u.conv_id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN n % 7 = 0 THEN 'kind:tag' END, CASE WHEN n % 11 = 0 THEN 'missing:text' END) END AS problems,
+  CASE WHEN u.conv_id IS NULL THEN concat('{"call_id":"', r.conv_id, ':', r.call, '","content":', r.j, '}')
+  ELSE concat('{"arguments":{"n_chars":', n, CASE WHEN n % 7 = 0 THEN concat(',"tag":', n) ELSE '' END, CASE WHEN n % 11 <> 0 THEN concat(',"text":', u.j) ELSE '' END,
+    CASE WHEN contains(text, '!') THEN ',"urgent":true' ELSE '' END, '},"call_id":"', u.conv_id, ':', u.turn, '","name":"reply","result":',
+    CASE WHEN r.conv_id IS NULL THEN 'null' ELSE concat('{"content":', r.j, '}') END, '}') END AS json
+FROM u LEFT JOIN l USING (conv_id, turn) FULL JOIN r ON u.conv_id = r.conv_id AND u.turn = r.call
+"""
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
+    "op2_tool_call_linking": op2_tool_call_linking,
     "op3_harmonic_packing": op3_harmonic_packing,
     "op4_fingerprints": op4_fingerprints,
     "op5_bpe_codec": op5_bpe_codec,
@@ -90,4 +136,4 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_quality_ranking": op10_quality_ranking,
 }
-ORACLE_SQL: dict[str, str] = {"op1_topk_search": OP1_SQL, "op9_license_scan": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": OP1_SQL, "op2_tool_call_linking": OP2_SQL, "op9_license_scan": licenses.oracle_sql()}
