@@ -29,6 +29,14 @@ def hash_share(column: str | Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(column) if isinstance(column, str) else column), F.lit(1 << 40)) / float(1 << 40)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores after it while ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def slices(texts: Sequence[str], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs ``[a, b)`` of consecutive texts with about ``most`` characters together; a longer text stands alone."""
     a = size = 0

@@ -112,11 +112,11 @@ def predictor(learned: dict[str, np.ndarray], size: int = PROFILE_SIZE):
     return predict
 
 
-def identify(docs: DataFrame, learn_from: Column, size: int = PROFILE_SIZE, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Add a struct column ``language`` (``lang_pred``, ``score``) to ``docs``, learned from its rows where ``learn_from`` holds.
+def identify(docs: DataFrame, learn_from: Column, size: int = PROFILE_SIZE, sample_docs: int = SAMPLE_DOCS, output: str = "language") -> DataFrame:
+    """Add a struct column ``output`` (``lang_pred``, ``score``) to ``docs``, learned from its rows where ``learn_from`` holds.
 
-    Predictions use the text alone. Rows, columns and repeated rows stay as they are; a column named ``language`` is replaced.
+    Predictions use the text alone. Rows, columns and repeated rows stay as they are; a column of that name is replaced.
     Rows with a null id, text or lang teach nothing. An empty table gives an empty table.
     """
     learned = profiles(docs.where(learn_from), size, sample_docs)
-    return docs.withColumn("language", predictor(learned, size)(F.col("text").cast("string")))
+    return docs.withColumn(output, predictor(learned, size)(F.col("text").cast("string")))

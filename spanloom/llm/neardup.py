@@ -300,3 +300,19 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     moved = scratch.keep(moved.union(classes.select("node", "label")).groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return ids.join(moved, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+def keep_representatives(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each class of near copies, the one with the smallest id; all columns stay.
+
+    Of rows that repeat one id, one stays. Rows with a null id stay. Ids to drop are broadcast up to ``BROADCAST_ROWS``, joined beyond.
+    """
+    scratch = Scratch(docs.sparkSession)
+    gone = scratch.keep(near_duplicates(docs, threshold).where("not kept").select("doc_id").distinct())
+    repeated = scratch.keep(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    few = gone.count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(once)
