@@ -212,7 +212,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.n
     return with_b.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long, similarity double")
 
 
-def links(texts: DataFrame, copies: DataFrame, scratch: Scratch, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def links(texts: DataFrame, copies: DataFrame, scratch: Scratch, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Verified links (``a``, ``b``) between different texts, enough to connect all that are found alike."""
     common = common_shingles(texts)
     keyed = scratch.keep(band_table(texts, common, bands, rows).join(copies.select("doc_id"), "doc_id", "left_anti"))
@@ -242,23 +242,25 @@ def links(texts: DataFrame, copies: DataFrame, scratch: Scratch, threshold: floa
     joined = scratch.keep(second.select(F.col("a").alias("doc_id"), "b"))
     lone = left.join(joined, (left["doc_id"] == joined["doc_id"]) & ((left["l1"] == joined["b"]) | (left["l2"] == joined["b"]) | (left["l3"] == joined["b"])), "left_anti").select("key", "doc_id")
 
-    lone, depth, pairs = scratch.keep(lone), 0, []
+    lone, depth, pairs = scratch.keep(lone.withColumn("used", F.array("key"))), 0, []
     while True:
         sizes = scratch.keep(lone.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).where("n > 1"))
-        small = lone.join(sizes.where(F.col("n") <= BLOCK).select("key"), "key")
+        small = lone.join(sizes.where(F.col("n") <= block).select("key"), "key")
         other = small.select("key", F.col("doc_id").alias("b"))
         pairs.append(small.select("key", F.col("doc_id").alias("a")).join(other, "key").where("a < b").select("a", "b"))
-        large = sizes.where(F.col("n") > BLOCK)
+        large = sizes.where(F.col("n") > block)
         if large.isEmpty():
             break
         depth += 1
         big = lone.join(large.select("key", "head"), "key")
         if depth < 4:  # alike documents share more than one band
-            lone = big.join(keyed, "doc_id").select("doc_id", F.xxhash64("key", F.explode("bands")).alias("key")).distinct()
+            more = big.join(keyed, "doc_id").select("doc_id", "used", F.explode(F.array_except("bands", "used")).alias("band"))
+            used = F.array_sort(F.array_append("used", F.col("band")))
+            lone = more.select(F.xxhash64(used).alias("key"), "doc_id", used.alias("used")).distinct()
         else:  # each turn takes one leader, and what is like it, out of every bucket
             tried = scratch.keep(_verified(big.select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b").distinct(), texts, common))
             found.append(tried.where(F.col("similarity") >= threshold))
-            lone = big.where("doc_id <> head").join(tried.where(F.col("similarity") < threshold).select(F.col("a").alias("doc_id"), F.col("b").alias("head")), ["doc_id", "head"]).select("key", "doc_id")
+            lone = big.where("doc_id <> head").join(tried.where(F.col("similarity") < threshold).select(F.col("a").alias("doc_id"), F.col("b").alias("head")), ["doc_id", "head"]).select("key", "doc_id", "used")
         lone = scratch.keep(lone)
     rest = scratch.keep(reduce(DataFrame.union, pairs).distinct())
     found.append(_verified(rest, texts, common).where(F.col("similarity") >= threshold))
