@@ -90,7 +90,7 @@ def composition(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def pivot_counts(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
-    return df.groupBy(row).pivot(column, list(values)).agg(F.count("*")).fillna(0)
+    return df.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1))).fillna(0)
 
 
 def matching_capacity(df: DataFrame, strata: Sequence[str], k: int) -> DataFrame:

@@ -94,10 +94,10 @@ def nearest(points: DataFrame, targets: DataFrame, carry: str, width: int = TILE
     placed = found.select("chrom", "point", "reach", left.cast("long").alias("dl"), (F.col("ahead.s") - end).alias("dr"), F.col("ahead.who").alias("who_right"))
     # the name behind the furthest reach: an equi-join on (chrom, end) for points outside, the overlap join for points inside
     by_end = targets.groupBy(F.col("chrom").alias("c"), F.col("end").alias("at")).agg(F.min(carry).alias("who_left"))
-    outside = placed.join(by_end, (placed["chrom"] == by_end["c"]) & (placed["reach"] == by_end["at"]) & (placed["dl"] > 0), "left")
+    outside = placed.join(by_end, (placed["chrom"] == by_end["c"]) & (placed["reach"] == by_end["at"]) & (placed["reach"] <= placed["point.start"]), "left")
     over = overlap_join(points.withColumn("_key", key), targets).groupBy("chrom", F.col("_key").alias("k")).agg(F.min(f"{carry}_b").alias("who_over"))
     named = outside.join(over.withColumnRenamed("chrom", "c2"), (F.col("chrom") == F.col("c2")) & (F.col("point") == F.col("k")), "left")
-    distance = F.when(F.col("who_over").isNotNull(), 0).otherwise(F.least(F.greatest("dl", F.lit(0)), "dr"))
+    distance = F.when(F.col("who_over").isNotNull(), 0).otherwise(F.least("dl", "dr"))
     who = F.when(F.col("who_over").isNotNull(), F.col("who_over")).when(F.col("dl") < F.col("dr"), F.coalesce("who_left", "who_right")).when(F.col("dl") > F.col("dr"), F.col("who_right")).otherwise(F.least("who_left", "who_right"))
     return named.select("chrom", start.alias("start"), end.alias("end"), *[F.col(f"point.{c}").alias(c) for c in extra], distance.cast("long").alias("distance"), who.alias(carry))
 

@@ -61,17 +61,17 @@ def _steps(df: DataFrame, by: Sequence[str]) -> DataFrame:
     n = reject_nan(df).groupBy(*by, "score").agg(F.sum(y).cast("double").alias("p"), F.count("*").cast("double").alias("n"))
     down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
-    return n.select(*by, "score", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("k"), F.sum("p").over(whole).alias("P"), F.sum("n").over(whole).alias("N"))
+    return n.select(*by, "score", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("k"), F.sum("p").over(whole).alias("all_p"), F.sum("n").over(whole).alias("all_n"))
 
 
 def ranking_metrics(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """``auprc`` (sum of recall steps times precision), ``auroc``, ``spearman``, ``n_pos``, ``n_neg``; null where a class is missing."""
     s = _steps(df, by)
     # mean rank of a value from below: rows below it, plus half of its own and a half
-    low = F.col("N") - F.col("k") + (F.col("n") + 1.0) / 2.0
+    low = F.col("all_n") - F.col("k") + (F.col("n") + 1.0) / 2.0
     s = s.withColumn("rank", low)
-    P, N = F.max("P"), F.max("N")
-    y_rank_pos, y_rank_neg = (F.max("N") - F.max("P")) + (F.max("P") + 1.0) / 2.0, (F.max("N") - F.max("P") + 1.0) / 2.0
+    P, N = F.max("all_p"), F.max("all_n")
+    y_rank_pos, y_rank_neg = (F.max("all_n") - F.max("all_p")) + (F.max("all_p") + 1.0) / 2.0, (F.max("all_n") - F.max("all_p") + 1.0) / 2.0
     mean = (N + 1.0) / 2.0
     rank_sum = F.sum(F.col("p") * F.col("rank"))
     var_x = F.sum(F.col("n") * F.col("rank") * F.col("rank")) - N * mean * mean
@@ -91,7 +91,7 @@ def ranking_metrics(df: DataFrame, by: Sequence[str]) -> DataFrame:
 def precision_recall(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Precision and recall at each distinct score as threshold."""
     s = _steps(df, by)
-    return s.select(*by, F.col("score").alias("threshold"), (F.col("tp") / F.col("k")).alias("precision"), (F.col("tp") / F.nullif(F.col("P"), F.lit(0.0))).alias("recall"))
+    return s.select(*by, F.col("score").alias("threshold"), (F.col("tp") / F.col("k")).alias("precision"), (F.col("tp") / F.nullif(F.col("all_p"), F.lit(0.0))).alias("recall"))
 
 
 def sign_test(wins: int, losses: int) -> float:

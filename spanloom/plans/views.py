@@ -19,6 +19,12 @@ VIEWS = {
     "scored": "SELECT documents.doc_id AS id, labels.quality = 1 AS label, CAST(documents.n_chars AS DOUBLE) AS score, documents.lang AS subset FROM labels JOIN documents ON labels.doc_id = documents.doc_id",
     "signal": "SELECT concat('chr', CAST(o_orderkey % 4 AS STRING)) AS chrom, o_orderkey * 10 AS s, o_orderkey * 10 + 10 AS e, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE round(o_totalprice / 100000 - 2, 4) END AS value FROM orders",
     "hits": "SELECT concat('q', CAST(l_orderkey % 1000 AS STRING)) AS query, concat('chr', CAST(l_suppkey % 24 AS STRING)) AS target, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey + CAST(l_quantity AS BIGINT) ELSE l_partkey END AS tstart, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey ELSE l_partkey + CAST(l_quantity AS BIGINT) END AS tend, round(l_extendedprice, 2) AS bits FROM lineitem",
+    "gtf": """SELECT concat('chr', CAST(CAST(floor(p_partkey / CAST(4 AS DOUBLE)) AS BIGINT) % 24 AS STRING)) AS chrom, kind AS feature, p_partkey * 100 + 5 * part_of AS s, p_partkey * 100 + 40 + p_size - 5 * part_of AS e,
+ CASE WHEN CAST(floor(p_partkey / CAST(4 AS DOUBLE)) AS BIGINT) % 2 = 0 THEN '+' ELSE '-' END AS strand,
+ concat('gene_id "g', CAST(CAST(floor(p_partkey / CAST(8 AS DOUBLE)) AS BIGINT) AS STRING), '"; transcript_id "t', CAST(CAST(floor(p_partkey / CAST(4 AS DOUBLE)) AS BIGINT) AS STRING), '"; ',
+  CASE CAST(floor(p_partkey / CAST(4 AS DOUBLE)) AS BIGINT) % 3 WHEN 0 THEN 'gbkey "mRNA"; transcript_biotype "mRNA"; gene_biotype "protein_coding";' WHEN 1 THEN 'transcript_biotype "lnc_RNA"; gene_biotype "lncRNA";' ELSE 'transcript_biotype "TEC"; pseudo "true";' END,
+  CASE WHEN kind = 'transcript' AND p_partkey % 5 = 0 THEN ' tag "Ensembl_canonical";' ELSE '' END) AS attribute
+ FROM part CROSS JOIN (SELECT 'exon' AS kind, 0 AS part_of UNION ALL SELECT 'CDS', 1 UNION ALL SELECT 'transcript', 0) AS kinds WHERE kind = 'exon' OR (kind = 'CDS' AND p_size > 10) OR (kind = 'transcript' AND p_partkey % 4 = 0)""",
     "genes": "SELECT p_partkey AS gene, concat('chr', CAST(p_partkey % 24 AS STRING)) AS chrom, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand, p_partkey * 40 AS s, p_partkey * 40 + 200 + p_size AS e FROM part",
 }
 

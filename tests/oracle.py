@@ -33,14 +33,18 @@ def by_sql(sf_dir, sql):
         if (path := Path(sf_dir, f"{t}.parquet")).exists():
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}')")
     found = con.execute(sql)
-    return [d[0] for d in found.description], found.fetchall()
+    return {d[0]: str(d[1]) for d in found.description}, found.fetchall()
+
+
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def check(spark, query, sql, sf_dir, least=1):
     df = query(spark, sf_dir)
     names, rows = by_sql(sf_dir, sql)
     assert sorted(df.columns) == sorted(names)
-    got, want = ordered(df.columns, df.collect()), ordered(names, rows)
+    assert {c: KINDS.get(k, names[c]) for c, k in df.dtypes} == names
+    got, want = ordered(df.columns, df.collect()), ordered(list(names), rows)
     assert len(got) == len(want) >= least
     wrong = [(g, w) for g, w in zip(got, want, strict=True) if g != w]
     assert not wrong, f"{len(wrong)} of {len(got)} rows differ, first {wrong[0]}"
