@@ -34,8 +34,12 @@ SIMILARITY = 0.8
 COMMON = 1 / 20
 #: Unmatched documents that one bucket compares with each other; larger ones are split first.
 BLOCK = 64
+#: Leaders that each turn takes out of a bucket that bands can't split further.
+HEADS = 8
 #: Rows up to which an id list is broadcast (16 bytes each); longer ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that go to a Python worker at once while a table is kept; Spark's own bound is larger.
+ARROW_BYTES = "16m"
 _BLOCK_DOCS, _BLOCK_SHINGLES = 4096, 2_000_000
 
 
@@ -52,8 +56,13 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
-        path = f"{self.folder}/{self.count}"
-        df.write.parquet(path)
+        path, name = f"{self.folder}/{self.count}", "spark.sql.execution.arrow.maxBytesPerBatch"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, ARROW_BYTES)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(name, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
@@ -244,7 +253,8 @@ def links(texts: DataFrame, copies: DataFrame, scratch: Scratch, threshold: floa
 
     lone, depth, pairs = scratch.keep(lone.withColumn("used", F.array("key"))), 0, []
     while True:
-        sizes = scratch.keep(lone.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).where("n > 1"))
+        heads = F.array_distinct(F.array(*[F.min_by("doc_id", F.xxhash64(F.lit(k), "doc_id")) for k in range(HEADS)]))
+        sizes = scratch.keep(lone.groupBy("key").agg(F.count("*").alias("n"), heads.alias("heads")).where("n > 1"))
         small = lone.join(sizes.where(F.col("n") <= block).select("key"), "key")
         other = small.select("key", F.col("doc_id").alias("b"))
         pairs.append(small.select("key", F.col("doc_id").alias("a")).join(other, "key").where("a < b").select("a", "b"))
@@ -252,15 +262,17 @@ def links(texts: DataFrame, copies: DataFrame, scratch: Scratch, threshold: floa
         if large.isEmpty():
             break
         depth += 1
-        big = lone.join(large.select("key", "head"), "key")
+        big = lone.join(large.select("key", "heads"), "key")
         if depth < 4:  # alike documents share more than one band
             more = big.join(keyed, "doc_id").select("doc_id", "used", F.explode(F.array_except("bands", "used")).alias("band"))
             used = F.array_sort(F.array_append("used", F.col("band")))
             lone = more.select(F.xxhash64(used).alias("key"), "doc_id", used.alias("used")).distinct()
-        else:  # each turn takes one leader, and what is like it, out of every bucket
-            tried = scratch.keep(_verified(big.select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b").distinct(), texts, common))
+        else:  # each turn takes a few leaders, and what is like them, out of every bucket
+            asked = big.select("key", F.col("doc_id").alias("a"), F.explode("heads").alias("b"), F.array_contains("heads", F.col("doc_id")).alias("leads"))
+            tried = scratch.keep(_verified(asked.where("a <> b").select("a", "b").distinct(), texts, common))
             found.append(tried.where(F.col("similarity") >= threshold))
-            lone = big.where("doc_id <> head").join(tried.where(F.col("similarity") < threshold).select(F.col("a").alias("doc_id"), F.col("b").alias("head")), ["doc_id", "head"]).select("key", "doc_id", "used")
+            closest = asked.where("not leads").join(tried, ["a", "b"]).groupBy("key", "a").agg(F.max("similarity").alias("similarity"))
+            lone = closest.where(F.col("similarity") < threshold).select("key", F.col("a").alias("doc_id"), F.array("key").alias("used"))
         lone = scratch.keep(lone)
     rest = scratch.keep(reduce(DataFrame.union, pairs).distinct())
     found.append(_verified(rest, texts, common).where(F.col("similarity") >= threshold))
