@@ -27,7 +27,7 @@ def problems_of(name: Column, parsed: Column, arguments: Column, schemas: Schema
     """Sorted list of what is wrong with a call: ``arguments`` (not a JSON object), ``tool`` (unknown), ``missing:x``, ``kind:x``, ``extra:x``."""
     def fields(of: dict[str, tuple[str, bool]]) -> Column:
         rows = [F.struct(F.lit(f).alias("field"), F.lit(f"^({KINDS[k]})$").alias("kind"), F.lit(need).alias("required")) for f, (k, need) in sorted(of.items())]
-        return F.array(*rows)
+        return F.array(*rows).cast("array<struct<field:string,kind:string,required:boolean>>")
 
     table = F.create_map(*[x for tool, of in sorted(schemas.items()) for x in (F.lit(tool), fields(of))])
     own = F.try_element_at(table, name)

@@ -33,9 +33,9 @@ SIMILARITY = 0.8
 #: Shingles in at least this share of all documents have their own weight.
 COMMON = 1 / 20
 #: Unmatched documents that one bucket compares with each other; larger ones are split first.
-BLOCK = 64
+BLOCK = 32
 #: Leaders that each turn takes out of a bucket that bands can't split further.
-HEADS = 8
+HEADS = 4
 #: Rows up to which an id list is broadcast (16 bytes each); longer ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of rows that go to a Python worker at once while a table is kept; Spark's own bound is larger.
@@ -191,7 +191,7 @@ def band_table(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], bands: i
                 if len(h):
                     keep.append(ids[i])
                     out.append(band_keys(signature(*weighted(h, common), bands * rows), bands, rows))
-            yield pd.DataFrame({"doc_id": np.array(keep, np.int64), "bands": out})
+            yield pd.DataFrame({"doc_id": np.array(keep, np.int64), "bands": pd.Series(out, dtype=object)})
 
     return texts.mapInPandas(run, "doc_id long, bands array<long>")
 
@@ -251,28 +251,35 @@ def links(texts: DataFrame, copies: DataFrame, scratch: Scratch, threshold: floa
     joined = scratch.keep(second.select(F.col("a").alias("doc_id"), "b"))
     lone = left.join(joined, (left["doc_id"] == joined["doc_id"]) & ((left["l1"] == joined["b"]) | (left["l2"] == joined["b"]) | (left["l3"] == joined["b"])), "left_anti").select("key", "doc_id")
 
-    lone, depth, pairs = scratch.keep(lone.withColumn("used", F.array("key"))), 0, []
+    mine = lone.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("mine"))  # at most ``bands`` keys each
+    every = keyed.select("doc_id", F.array_sort("bands").alias("bands"))
+    lone, depth, pairs = scratch.keep(lone.join(mine, "doc_id").join(every, "doc_id").withColumn("used", F.array("key"))), 0, []
+    # two documents may share many buckets; they are paired in the one named by the first key that both are alone in and the first others they share
+    start, shared = F.element_at("used", 1), F.array_intersect("bands", "bands_b")
+    at_first = (start == F.get(F.array_intersect("mine", "mine_b"), F.lit(0))) & (F.slice(F.array_remove(shared, start), 1, F.size("used") - 1) == F.slice("used", 2, F.size("used")))
     while True:
         heads = F.array_distinct(F.array(*[F.min_by("doc_id", F.xxhash64(F.lit(k), "doc_id")) for k in range(HEADS)]))
         sizes = scratch.keep(lone.groupBy("key").agg(F.count("*").alias("n"), heads.alias("heads")).where("n > 1"))
-        small = lone.join(sizes.where(F.col("n") <= block).select("key"), "key")
-        other = small.select("key", F.col("doc_id").alias("b"))
-        pairs.append(small.select("key", F.col("doc_id").alias("a")).join(other, "key").where("a < b").select("a", "b"))
+        small = lone.join(sizes.where(F.col("n") <= block).select("key"), "key").withColumnRenamed("doc_id", "a")
+        other = small.select(F.col("key").alias("key_b"), F.col("a").alias("b"), F.col("bands").alias("bands_b"), F.col("mine").alias("mine_b"))
+        pairs.append(small.join(other, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & at_first).select("a", "b"))
         large = sizes.where(F.col("n") > block)
         if large.isEmpty():
             break
         depth += 1
         big = lone.join(large.select("key", "heads"), "key")
         if depth < 4:  # alike documents share more than one band
-            more = big.join(keyed, "doc_id").select("doc_id", "used", F.explode(F.array_except("bands", "used")).alias("band"))
-            used = F.array_sort(F.array_append("used", F.col("band")))
-            lone = more.select(F.xxhash64(used).alias("key"), "doc_id", used.alias("used")).distinct()
+            further = F.filter("bands", lambda band: (band != start) & ((F.size("used") == 1) | (band > F.element_at("used", -1))))
+            more = big.select("doc_id", "mine", "bands", "used", F.explode(further).alias("band"))
+            used = F.array_append("used", F.col("band"))
+            lone = more.select(F.xxhash64(used).alias("key"), "doc_id", "mine", "bands", used.alias("used"))
         else:  # each turn takes a few leaders, and what is like them, out of every bucket
             asked = big.select("key", F.col("doc_id").alias("a"), F.explode("heads").alias("b"), F.array_contains("heads", F.col("doc_id")).alias("leads"))
             tried = scratch.keep(_verified(asked.where("a <> b").select("a", "b").distinct(), texts, common))
             found.append(tried.where(F.col("similarity") >= threshold))
             closest = asked.where("not leads").join(tried, ["a", "b"]).groupBy("key", "a").agg(F.max("similarity").alias("similarity"))
-            lone = closest.where(F.col("similarity") < threshold).select("key", F.col("a").alias("doc_id"), F.array("key").alias("used"))
+            apart = closest.where(F.col("similarity") < threshold).select("key", F.col("a").alias("doc_id"))
+            lone = big.drop("heads").join(apart, ["key", "doc_id"])
         lone = scratch.keep(lone)
     rest = scratch.keep(reduce(DataFrame.union, pairs).distinct())
     found.append(_verified(rest, texts, common).where(F.col("similarity") >= threshold))
