@@ -36,6 +36,8 @@ COMMON = 1 / 20
 BLOCK = 32
 #: Leaders that each turn takes out of a bucket that bands can't split further.
 HEADS = 4
+#: Documents and bytes of text on one side of a tile; a bucket of up to twice as many is one tile.
+TILE, TILE_BYTES = 128, 4 << 20
 #: Rows up to which an id list is broadcast (16 bytes each); longer ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of rows that go to a Python worker at once while a table is kept; Spark's own bound is larger.
@@ -221,6 +223,76 @@ def _verified(pairs: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.n
     return with_b.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long, similarity double")
 
 
+def _linked(rows: pd.DataFrame, common: tuple[np.ndarray, np.ndarray], threshold: float) -> pd.DataFrame:
+    """Links of one tile: side 0 against side 1, or all against all where there is one side. Only such as connect what isn't connected yet."""
+    side, label, away, main = (rows[c].to_numpy() for c in ("side", "label", "away", "main"))
+    ids, texts = rows["doc_id"].to_numpy(), rows["text"].tolist()
+    label, cross, links = label.copy(), 0 < side.sum() < len(side), []
+    maybe = (label[:, None] != label) & (np.abs(away[:, None] - away) <= _ring_width(threshold)) & (main[:, None] | main)
+    maybe &= (side[:, None] < side) if cross else np.triu(np.ones_like(maybe), 1)
+    used = np.flatnonzero(maybe.any(0) | maybe.any(1))
+    if len(used):
+        sets = [weighted(h, common) for h in hashed([texts[i] for i in used])]
+        _, place = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)
+        weight, ends = np.concatenate([w for _, w in sets]), np.cumsum([len(x) for x, _ in sets])
+        total, at, dense = np.array([w.sum() for _, w in sets]), {d: k for k, d in enumerate(used)}, np.zeros(place.max() + 1)
+        for i in np.flatnonzero(maybe.any(1)):
+            against = np.array([at[j] for j in np.flatnonzero(maybe[i] & (label != label[i]))], np.int64)
+            if not len(against):
+                continue
+            a = at[i]
+            own = slice(ends[a] - len(sets[a][0]), ends[a])
+            dense[place[own]] = weight[own]
+            both = np.array([np.minimum(dense[place[ends[b] - len(sets[b][0]) : ends[b]]], sets[b][1]).sum() for b in against])
+            dense[place[own]] = 0
+            for b in against[both / (total[a] + total[against] - both) >= threshold - 1e-9]:
+                j = used[b]
+                if label[j] != label[i] and similarity(sets[a], sets[b]) >= threshold:
+                    links.append((ids[i], ids[j]))
+                    label[label == label[j]] = label[i]
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+
+def _ring_width(threshold: float) -> float:
+    return (1 - threshold) * 1.001
+
+
+def tile_links(members: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.ndarray], scratch: Scratch, threshold: float) -> DataFrame:
+    """Links (``a``, ``b``) inside buckets, as many as connect all that are alike and not connected yet.
+
+    ``members``: ``key``, ``doc_id``, ``away`` (distance to the bucket's leader), ``label`` (component so far), ``main`` (whether that
+    is the leader's). One minus the weighted Jaccard similarity is a metric, so two documents whose distances to the leader differ
+    by more than the allowed distance can't be linked. A large bucket is cut by rings of that distance and by ``main``, each part
+    into chunks, and chunks of the same or neighbouring rings meet in a tile, but for two of ``main``, which are connected. Tiles
+    are bounded in documents and bytes and hold no row per pair; no pair is left out but by these bounds.
+    """
+    placed = members.join(texts.select("doc_id", F.octet_length("text").alias("n_bytes")), "doc_id")
+    placed = scratch.keep(placed.withColumn("part", (2 * F.floor(F.col("away") / _ring_width(threshold)) + F.col("main").cast("int")).cast("int")))
+    parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
+    chunks = F.ceil(F.greatest(F.col("n") / TILE, F.col("n_bytes") / TILE_BYTES, F.lit(1))).cast("int")
+    sizes = parts.groupBy("key").agg(
+        (F.sum("n").alias("n")),
+        F.sum("n_bytes").alias("n_bytes"),
+        F.sum(F.when(F.col("part") % 2 == 0, 1)).alias("others"),
+        F.map_from_entries(F.collect_list(F.struct("part", chunks.alias("chunks")))).alias("parts"),  # a ring has two parts, and there are at most 1 / (1 - threshold) + 1 rings
+    )
+    whole = (F.col("n") <= 2 * TILE) & (F.col("n_bytes") <= 2 * TILE_BYTES)
+    chunk = F.pmod(F.xxhash64("doc_id", "key"), F.element_at("parts", F.col("part"))).cast("int")
+    near = F.filter(F.map_keys("parts"), lambda q: ((q % 2 == 0) | (F.col("part") % 2 == 0)) & (F.abs(F.floor(q / 2) - F.floor(F.col("part") / 2)) <= 1))
+
+    def tile(q, j):
+        mine = (F.col("part") < q) | ((F.col("part") == q) & (F.col("chunk") <= j))
+        low, high = F.array("part", "chunk"), F.array(q, j)
+        return F.struct(F.when(mine, F.concat(low, high)).otherwise(F.concat(high, low)).alias("tile"), F.when(mine, 0).otherwise(1).alias("side"))
+
+    tiles = F.flatten(F.transform(near, lambda q: F.transform(F.sequence(F.lit(0), F.element_at("parts", q) - 1), lambda j: tile(q, j))))
+    one = F.array(F.struct(F.array(*[F.lit(-1)] * 4).alias("tile"), F.lit(0).alias("side")))
+    dealt = placed.drop("n_bytes").join(sizes.where("n > 1 and others > 0"), "key").withColumn("chunk", chunk)
+    dealt = scratch.keep(dealt.select("key", "doc_id", "away", "label", "main", F.explode(F.when(whole, one).otherwise(tiles)).alias("t")).select("key", "doc_id", "away", "label", "main", "t.tile", "t.side"))
+    full = dealt.join(texts.select("doc_id", "text"), "doc_id")
+    return scratch.keep(full.groupBy("key", "tile").applyInPandas(lambda rows: _linked(rows, common, threshold), "a long, b long"))
+
+
 def links(texts: DataFrame, copies: DataFrame, scratch: Scratch, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Verified links (``a``, ``b``) between different texts, enough to connect all that are found alike."""
     common = common_shingles(texts)
@@ -231,7 +303,6 @@ def links(texts: DataFrame, copies: DataFrame, scratch: Scratch, threshold: floa
         places.groupBy("key")
         .agg(F.count("*").alias("n"), *[f("doc_id", t).alias(f"l{2 * k + m}") for k, t in enumerate(turn) for m, f in enumerate((F.min_by, F.max_by))])
         .where("n > 1")
-        .drop("n")
     )
     met = scratch.keep(places.join(leaders, "key"))
     needed = met.select("doc_id").distinct()
@@ -283,6 +354,13 @@ def links(texts: DataFrame, copies: DataFrame, scratch: Scratch, threshold: floa
         lone = scratch.keep(lone)
     rest = scratch.keep(reduce(DataFrame.union, pairs).distinct())
     found.append(_verified(rest, texts, common).where(F.col("similarity") >= threshold))
+    found = [scratch.keep(reduce(DataFrame.union, [f.select("a", "b") for f in found]).distinct())]
+    labels = components(found[0], scratch)
+    heads = leaders.where("n > 2").select("key", "l0").join(labels.withColumnRenamed("node", "l0"), "l0", "left").select("key", F.coalesce("label", "l0").alias("of_leader"))
+    members = met.where("n > 2 and doc_id <> l0").select("key", "doc_id", "l0").join(first.select(F.col("a").alias("doc_id"), F.col("b").alias("l0"), (1 - F.col("similarity")).alias("away")), ["doc_id", "l0"])
+    members = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).join(heads, "key")
+    members = members.select("key", "doc_id", "away", "label", (F.col("label") == F.col("of_leader")).alias("main"))
+    found.append(tile_links(members, texts, common, scratch, threshold))
     return scratch.keep(reduce(DataFrame.union, [f.select("a", "b") for f in found]).distinct())
 
 
