@@ -11,8 +11,9 @@ the shingle with the smallest resulting value, with its quantised weight, is the
 with the probability of their weighted Jaccard similarity. Documents that agree in all rows of a band meet in a bucket.
 
 Links. In a bucket each document is compared to the bucket's leader; documents fairly but not sufficiently near to it, to
-three more leaders; those that match none, to each other, where large buckets are first split by a further band. Every
-comparison is of the whole texts. Classes are the connected components of the links, with exact copies beside them.
+three more leaders; then all that are not yet connected to each other, but for those that the distances to the leader rule out,
+in tiles of bounded size. Every comparison is of the whole texts. Classes are the connected components of the links, with exact
+copies beside them.
 """
 
 from __future__ import annotations
@@ -32,10 +33,6 @@ BANDS, ROWS = 12, 4
 SIMILARITY = 0.8
 #: Shingles in at least this share of all documents have their own weight.
 COMMON = 1 / 20
-#: Unmatched documents that one bucket compares with each other; larger ones are split first.
-BLOCK = 32
-#: Leaders that each turn takes out of a bucket that bands can't split further.
-HEADS = 4
 #: Documents and bytes of text on one side of a tile; a bucket of up to twice as many is one tile.
 TILE, TILE_BYTES = 128, 4 << 20
 #: Rows up to which an id list is broadcast (16 bytes each); longer ones are joined by a shuffle.
@@ -225,10 +222,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.n
 
 def _linked(rows: pd.DataFrame, common: tuple[np.ndarray, np.ndarray], threshold: float) -> pd.DataFrame:
     """Links of one tile: side 0 against side 1, or all against all where there is one side. Only such as connect what isn't connected yet."""
-    side, label, away, main = (rows[c].to_numpy() for c in ("side", "label", "away", "main"))
+    side, label, away = (rows[c].to_numpy() for c in ("side", "label", "away"))
     ids, texts = rows["doc_id"].to_numpy(), rows["text"].tolist()
     label, cross, links = label.copy(), 0 < side.sum() < len(side), []
-    maybe = (label[:, None] != label) & (np.abs(away[:, None] - away) <= _ring_width(threshold)) & (main[:, None] | main)
+    maybe = (label[:, None] != label) & (np.abs(away[:, None] - away) <= _ring_width(threshold))
+    bands = np.stack(rows["bands"].tolist())
+    here = int(np.flatnonzero((bands == rows["key"].iloc[0]).any(0))[0])
+    for p in range(here):  # a pair is tried in the first bucket that it shares
+        maybe &= bands[:, p][:, None] != bands[:, p]
     maybe &= (side[:, None] < side) if cross else np.triu(np.ones_like(maybe), 1)
     used = np.flatnonzero(maybe.any(0) | maybe.any(1))
     if len(used):
@@ -257,24 +258,25 @@ def _ring_width(threshold: float) -> float:
     return (1 - threshold) * 1.001
 
 
-def tile_links(members: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.ndarray], scratch: Scratch, threshold: float) -> DataFrame:
+def tile_links(members: DataFrame, texts: DataFrame, keyed: DataFrame, common: tuple[np.ndarray, np.ndarray], scratch: Scratch, threshold: float) -> DataFrame:
     """Links (``a``, ``b``) inside buckets, as many as connect all that are alike and not connected yet.
 
     ``members``: ``key``, ``doc_id``, ``away`` (distance to the bucket's leader), ``label`` (component so far), ``main`` (whether that
     is the leader's). One minus the weighted Jaccard similarity is a metric, so two documents whose distances to the leader differ
     by more than the allowed distance can't be linked. A large bucket is cut by rings of that distance and by ``main``, each part
     into chunks, and chunks of the same or neighbouring rings meet in a tile, but for two of ``main``, which are connected. Tiles
-    are bounded in documents and bytes and hold no row per pair; no pair is left out but by these bounds.
+    are bounded in documents and bytes and hold no row per pair; every pair that isn't ruled out so is tried, in the first bucket
+    that its documents share.
     """
     placed = members.join(texts.select("doc_id", F.octet_length("text").alias("n_bytes")), "doc_id")
     placed = scratch.keep(placed.withColumn("part", (2 * F.floor(F.col("away") / _ring_width(threshold)) + F.col("main").cast("int")).cast("int")))
     parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
     chunks = F.ceil(F.greatest(F.col("n") / TILE, F.col("n_bytes") / TILE_BYTES, F.lit(1))).cast("int")
     sizes = parts.groupBy("key").agg(
-        (F.sum("n").alias("n")),
+        F.sum("n").alias("n"),
         F.sum("n_bytes").alias("n_bytes"),
         F.sum(F.when(F.col("part") % 2 == 0, 1)).alias("others"),
-        F.map_from_entries(F.collect_list(F.struct("part", chunks.alias("chunks")))).alias("parts"),  # a ring has two parts, and there are at most 1 / (1 - threshold) + 1 rings
+        F.map_from_entries(F.collect_list(F.struct("part", chunks.alias("chunks")))).alias("parts"),  # at most two parts a ring, and rings are few
     )
     whole = (F.col("n") <= 2 * TILE) & (F.col("n_bytes") <= 2 * TILE_BYTES)
     chunk = F.pmod(F.xxhash64("doc_id", "key"), F.element_at("parts", F.col("part"))).cast("int")
@@ -288,12 +290,12 @@ def tile_links(members: DataFrame, texts: DataFrame, common: tuple[np.ndarray, n
     tiles = F.flatten(F.transform(near, lambda q: F.transform(F.sequence(F.lit(0), F.element_at("parts", q) - 1), lambda j: tile(q, j))))
     one = F.array(F.struct(F.array(*[F.lit(-1)] * 4).alias("tile"), F.lit(0).alias("side")))
     dealt = placed.drop("n_bytes").join(sizes.where("n > 1 and others > 0"), "key").withColumn("chunk", chunk)
-    dealt = scratch.keep(dealt.select("key", "doc_id", "away", "label", "main", F.explode(F.when(whole, one).otherwise(tiles)).alias("t")).select("key", "doc_id", "away", "label", "main", "t.tile", "t.side"))
-    full = dealt.join(texts.select("doc_id", "text"), "doc_id")
+    dealt = scratch.keep(dealt.select("key", "doc_id", "away", "label", F.explode(F.when(whole, one).otherwise(tiles)).alias("t")).select("key", "doc_id", "away", "label", "t.tile", "t.side"))
+    full = dealt.join(texts.select("doc_id", "text"), "doc_id").join(keyed, "doc_id")
     return scratch.keep(full.groupBy("key", "tile").applyInPandas(lambda rows: _linked(rows, common, threshold), "a long, b long"))
 
 
-def links(texts: DataFrame, copies: DataFrame, scratch: Scratch, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+def links(texts: DataFrame, copies: DataFrame, scratch: Scratch, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Verified links (``a``, ``b``) between different texts, enough to connect all that are found alike."""
     common = common_shingles(texts)
     keyed = scratch.keep(band_table(texts, common, bands, rows).join(copies.select("doc_id"), "doc_id", "left_anti"))
@@ -319,48 +321,13 @@ def links(texts: DataFrame, copies: DataFrame, scratch: Scratch, threshold: floa
     fringe = left.where(F.col("similarity") >= fringe_from).select(F.col("doc_id").alias("a"), F.explode(F.array("l1", "l2", "l3")).alias("b"))
     second = scratch.keep(_verified(fringe.where("a <> b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), texts, common).where(F.col("similarity") >= threshold).select("a", "b"))
     found.append(second)
-    joined = scratch.keep(second.select(F.col("a").alias("doc_id"), "b"))
-    lone = left.join(joined, (left["doc_id"] == joined["doc_id"]) & ((left["l1"] == joined["b"]) | (left["l2"] == joined["b"]) | (left["l3"] == joined["b"])), "left_anti").select("key", "doc_id")
-
-    mine = lone.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("mine"))  # at most ``bands`` keys each
-    every = keyed.select("doc_id", F.array_sort("bands").alias("bands"))
-    lone, depth, pairs = scratch.keep(lone.join(mine, "doc_id").join(every, "doc_id").withColumn("used", F.array("key"))), 0, []
-    # two documents may share many buckets; they are paired in the one named by the first key that both are alone in and the first others they share
-    start, shared = F.element_at("used", 1), F.array_intersect("bands", "bands_b")
-    at_first = (start == F.get(F.array_intersect("mine", "mine_b"), F.lit(0))) & (F.slice(F.array_remove(shared, start), 1, F.size("used") - 1) == F.slice("used", 2, F.size("used")))
-    while True:
-        heads = F.array_distinct(F.array(*[F.min_by("doc_id", F.xxhash64(F.lit(k), "doc_id")) for k in range(HEADS)]))
-        sizes = scratch.keep(lone.groupBy("key").agg(F.count("*").alias("n"), heads.alias("heads")).where("n > 1"))
-        small = lone.join(sizes.where(F.col("n") <= block).select("key"), "key").withColumnRenamed("doc_id", "a")
-        other = small.select(F.col("key").alias("key_b"), F.col("a").alias("b"), F.col("bands").alias("bands_b"), F.col("mine").alias("mine_b"))
-        pairs.append(small.join(other, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & at_first).select("a", "b"))
-        large = sizes.where(F.col("n") > block)
-        if large.isEmpty():
-            break
-        depth += 1
-        big = lone.join(large.select("key", "heads"), "key")
-        if depth < 4:  # alike documents share more than one band
-            further = F.filter("bands", lambda band: (band != start) & ((F.size("used") == 1) | (band > F.element_at("used", -1))))
-            more = big.select("doc_id", "mine", "bands", "used", F.explode(further).alias("band"))
-            used = F.array_append("used", F.col("band"))
-            lone = more.select(F.xxhash64(used).alias("key"), "doc_id", "mine", "bands", used.alias("used"))
-        else:  # each turn takes a few leaders, and what is like them, out of every bucket
-            asked = big.select("key", F.col("doc_id").alias("a"), F.explode("heads").alias("b"), F.array_contains("heads", F.col("doc_id")).alias("leads"))
-            tried = scratch.keep(_verified(asked.where("a <> b").select("a", "b").distinct(), texts, common))
-            found.append(tried.where(F.col("similarity") >= threshold))
-            closest = asked.where("not leads").join(tried, ["a", "b"]).groupBy("key", "a").agg(F.max("similarity").alias("similarity"))
-            apart = closest.where(F.col("similarity") < threshold).select("key", F.col("a").alias("doc_id"))
-            lone = big.drop("heads").join(apart, ["key", "doc_id"])
-        lone = scratch.keep(lone)
-    rest = scratch.keep(reduce(DataFrame.union, pairs).distinct())
-    found.append(_verified(rest, texts, common).where(F.col("similarity") >= threshold))
     found = [scratch.keep(reduce(DataFrame.union, [f.select("a", "b") for f in found]).distinct())]
     labels = components(found[0], scratch)
     heads = leaders.where("n > 2").select("key", "l0").join(labels.withColumnRenamed("node", "l0"), "l0", "left").select("key", F.coalesce("label", "l0").alias("of_leader"))
     members = met.where("n > 2 and doc_id <> l0").select("key", "doc_id", "l0").join(first.select(F.col("a").alias("doc_id"), F.col("b").alias("l0"), (1 - F.col("similarity")).alias("away")), ["doc_id", "l0"])
     members = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).join(heads, "key")
     members = members.select("key", "doc_id", "away", "label", (F.col("label") == F.col("of_leader")).alias("main"))
-    found.append(tile_links(members, texts, common, scratch, threshold))
+    found.append(tile_links(members, texts, keyed, common, scratch, threshold))
     return scratch.keep(reduce(DataFrame.union, [f.select("a", "b") for f in found]).distinct())
 
 

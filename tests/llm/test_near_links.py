@@ -77,3 +77,7 @@ def check_classes(spark, make):
 @pytest.mark.parametrize("make", [tails, chains])
 def test_matched_and_unmatched(spark, make):
     check_classes(spark, make)
+
+
+def test_large_buckets(spark):
+    check_classes(spark, couples)
