@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Known licence sentences in normalised form.
+# Known licence sentences in normalised form. None runs over a SENTENCE_END of the real text, such as the colon after "conditions" or the blank in "v. 2.0".
 SENTENCES = (
-    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit-notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit-warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("mit-short", "released under the mit license"),
     ("mit-licensed", "licensed under the mit license"),
@@ -25,10 +26,11 @@ SENTENCES = (
     ("apache-header", "licensed under the apache license version 2 0 the license"),
     ("apache-except", "you may not use this file except in compliance with the license"),
     ("apache-short", "licensed under the apache license version 2 0"),
-    ("gpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-free", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl-warranty", "see the gnu general public license for more details"),
     ("gpl3-short", "this work is licensed under the gnu general public license version 3"),
     ("mpl-notice", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-notice", "this source code form is subject to the terms of the mozilla public license v"),
     ("cc-by-short", "licensed under cc by 4 0"),
     ("cc-by-sa-short", "licensed under cc by sa 4 0"),
     ("cc-by-nc-short", "licensed under cc by nc 4 0"),
@@ -38,7 +40,7 @@ SENTENCES = (
 RULES = (
     ("BSD-3-Clause", "permissive", ("bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", "permissive", ("bsd-source", "bsd-binary")),
-    ("MIT", "permissive", ("mit-grant", "mit-warranty")),
+    ("MIT", "permissive", ("mit-grant", "mit-notice", "mit-warranty")),
     ("ISC", "permissive", ("isc-grant", "isc-warranty")),
     ("Apache-2.0", "permissive", ("apache-header", "apache-except")),
     ("GPL-3.0-or-later", "copyleft", ("gpl-free", "gpl-warranty")),
