@@ -99,7 +99,7 @@ def common_shingles(texts: DataFrame, share: float = COMMON) -> tuple[np.ndarray
     total = lower.where("shingle is null").agg(F.sum("n")).first()[0] or 0
     candidates = np.array([r[0] for r in lower.where(F.col("shingle").isNotNull() & (F.col("n") >= (share - 0.02) * total)).select("shingle").collect()], np.int64).view(np.uint64)
     candidates.sort()
-    if not len(candidates) or total < 2 / share:
+    if not len(candidates):
         return np.zeros(0, np.uint64), np.zeros(0)
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,5 +1,6 @@
 """Near-duplicate classes of chains and large groups, against all pairs of documents that share a band."""
 
+import math
 import random
 from collections import defaultdict
 from itertools import combinations
@@ -81,3 +82,10 @@ def test_matched_and_unmatched(spark, make):
 
 def test_large_buckets(spark):
     check_classes(spark, couples)
+
+
+def test_small_corpus_has_idf(spark):
+    docs = spark.createDataFrame([(i, f"one two three four five six{i}") for i in range(10)], "doc_id long, text string")
+    shingles, idf = neardup.common_shingles(docs)
+    assert len(shingles) == 11
+    assert sorted(idf) == pytest.approx([1.0] + [(1 + math.log(10)) ** 0.5] * 10)
