@@ -18,6 +18,7 @@ copies beside them.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -34,7 +35,7 @@ SIMILARITY = 0.8
 #: Shingles in at least this share of all documents have their own weight.
 COMMON = 1 / 20
 #: Documents and bytes of text on one side of a tile; a bucket of up to twice as many is one tile.
-TILE, TILE_BYTES = 128, 4 << 20
+TILE, TILE_BYTES = 512, 4 << 20
 #: Rows up to which an id list is broadcast (16 bytes each); longer ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of rows that go to a Python worker at once while a table is kept; Spark's own bound is larger.
@@ -49,6 +50,8 @@ class Scratch:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if root is None:  # only where no cluster names a shared folder, as in tests
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
         self.folder = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
         self.count = 0
@@ -64,6 +67,14 @@ class Scratch:
             self.spark.conf.set(name, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_last(self, df: DataFrame) -> DataFrame:
+        """Like ``keep``, and delete all tables kept before: nothing may read them any more."""
+        out = self.keep(df)
+        for i in range(1, self.count):
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{i}")
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        return out
+
 
 def _prepared(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -244,7 +255,7 @@ def _linked(rows: pd.DataFrame, common: tuple[np.ndarray, np.ndarray], threshold
             a = at[i]
             own = slice(ends[a] - len(sets[a][0]), ends[a])
             dense[place[own]] = weight[own]
-            both = np.array([np.minimum(dense[place[ends[b] - len(sets[b][0]) : ends[b]]], sets[b][1]).sum() for b in against])
+            both = np.add.reduceat(np.minimum(dense[place], weight), np.append(0, ends[:-1]))[against]  # every document here has a shingle
             dense[place[own]] = 0
             for b in against[both / (total[a] + total[against] - both) >= threshold - 1e-9]:
                 j = used[b]
@@ -300,13 +311,15 @@ def links(texts: DataFrame, copies: DataFrame, scratch: Scratch, threshold: floa
     common = common_shingles(texts)
     keyed = scratch.keep(band_table(texts, common, bands, rows).join(copies.select("doc_id"), "doc_id", "left_anti"))
     places = keyed.select("doc_id", F.explode("bands").alias("key"))
+    shared = scratch.keep(places.join(places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    # the leader is the document that meets most others in its buckets: of a group of copies, one near the middle
+    central = shared.groupBy("doc_id").agg(F.sum("n").alias("meets"))
     turn = [F.xxhash64("doc_id"), F.xxhash64(F.lit(1), "doc_id")]
-    leaders = scratch.keep(
-        places.groupBy("key")
-        .agg(F.count("*").alias("n"), *[f("doc_id", t).alias(f"l{2 * k + m}") for k, t in enumerate(turn) for m, f in enumerate((F.min_by, F.max_by))])
-        .where("n > 1")
+    leaders = shared.join(central, "doc_id").groupBy("key").agg(
+        F.count("*").alias("n"), F.max_by("doc_id", F.struct("meets", turn[0])).alias("l0"), F.min_by("doc_id", turn[0]).alias("l1"), F.max_by("doc_id", turn[0]).alias("l2"), F.min_by("doc_id", turn[1]).alias("l3")
     )
-    met = scratch.keep(places.join(leaders, "key"))
+    leaders = scratch.keep(leaders)
+    met = scratch.keep(shared.drop("n").join(leaders, "key"))
     needed = met.select("doc_id").distinct()
     few = needed.count() <= BROADCAST_ROWS
     texts = scratch.keep(texts.join(F.broadcast(needed) if few else needed, "doc_id", "left_semi"))
@@ -363,7 +376,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     copies = exact_copies(texts, scratch)
     classes = components(links(texts, copies, scratch, threshold, bands, rows), scratch)
     moved = copies.select("doc_id", F.col("first").alias("node")).join(classes, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
-    moved = scratch.keep(moved.union(classes.select("node", "label")).groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
+    moved = scratch.keep_last(moved.union(classes.select("node", "label")).groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return ids.join(moved, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
