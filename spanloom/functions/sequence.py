@@ -34,21 +34,15 @@ def with_reverse_complements(df: DataFrame) -> DataFrame:
 
 def kmer_tokens(seq: str | Column, k: int) -> Column:
     """Ids of the non-overlapping k-mers: 2 + the k-mer as a number in base 4 (a, c, g, t), 1 where a letter is none of these."""
-    low = F.lower(_col(seq))
-    digits = F.translate(low, "acgt", "0123")
-    n = F.floor(F.length(low) / k).cast("int")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    def token(i: Column) -> Column:
-        part = F.substring(digits, i * k + 1, F.lit(k))
-        return F.when(part.rlike("^[0-3]+$"), F.conv(part, 4, 10).cast("int") + 2).otherwise(1)
-    return F.transform(starts, token)
+    words = F.regexp_extract_all(F.lower(_col(seq)), F.lit(f"(?s).{{{k}}}"), F.lit(0))
+    return F.transform(words, lambda w: F.when(w.rlike(f"^[acgt]{{{k}}}$"), F.conv(F.translate(w, "acgt", "0123"), 4, 10).cast("int") + 2).otherwise(1))
 
 
 def char_tokens(seq: str | Column, bos: bool = False, eos: bool = False) -> Column:
     """Ids of the letters: pad 0, unknown 1, then begin and end marks if asked for, then a, c, g, t."""
     first = 2 + bos + eos
     letters = F.filter(F.split(F.lower(_col(seq)), ""), lambda c: c != "")
-    ids = F.transform(letters, lambda c: F.when(F.locate("acgt", c) > 0, 0).otherwise(F.coalesce(F.nullif(F.instr(F.lit("acgt"), c), F.lit(0)) + first - 1, F.lit(1))))
+    ids = F.transform(letters, lambda c: F.coalesce(F.nullif(F.instr(F.lit("acgt"), c), F.lit(0)) + first - 1, F.lit(1)))
     begin = F.array(F.lit(2)) if bos else F.array().cast("array<int>")
     end = F.array(F.lit(2 + bos)) if eos else F.array().cast("array<int>")
     return F.concat(begin, ids, end)

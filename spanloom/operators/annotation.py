@@ -35,9 +35,13 @@ def transcript_exons(ann: DataFrame, biotypes: Sequence[str] | None = None) -> D
 
 
 def ncrna_exons(ann: DataFrame, biotypes: Sequence[str] = NCRNA_BIOTYPES) -> DataFrame:
-    """Exons of functional non-coding RNA; pseudogenes, partial, decayed and low-quality transcripts are left out."""
-    bad = F.coalesce(F.col("attribute").rlike('(?i)pseudo "true"|partial "true"|nonsense_mediated_decay|low.quality'), F.lit(False))
-    return transcript_exons(ann, biotypes).where(~bad)
+    """Exons of functional non-coding RNA, by biotype or gbkey. Pseudogenes (by mark or by a biotype of transcript or gene), partial
+    records, unspecific transcripts, decay candidates and low-quality products are left out."""
+    rows = with_attributes(ann.where("feature = 'exon'"), "transcript_id", "transcript_biotype", "gbkey", "gene_id", "gene_biotype", "description", "product")
+    has = lambda c, pattern: F.coalesce(F.col(c).rlike(pattern), F.lit(False))
+    marked = has("attribute", '(pseudo|partial) "true"') | has("transcript_biotype", "(?i)pseudogenic|^(primary_)?transcript$") | has("gene_biotype", "(?i)pseudogene")
+    doubtful = has("description", "(?i)NMD candidate") | has("product", "(?i)NMD candidate") | has("product", "LOW QUALITY")
+    return rows.where((F.col("transcript_biotype").isin(*biotypes) | F.col("gbkey").isin(*biotypes)) & ~marked & ~doubtful)
 
 
 def coding(ann: DataFrame) -> DataFrame:

@@ -80,8 +80,7 @@ def nearest(points: DataFrame, targets: DataFrame, carry: str, width: int = TILE
         _reach=(F.max("e"), "max", "before"),
         _ahead=(F.min(F.when(is_target, F.struct(F.col("s"), F.col("who")))), "min", "after"),
     )
-    line = inside("pos", "kind")
-    past, rest = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(0, Window.unboundedFollowing)
+    past, rest = (inside(*order).rowsBetween(Window.unboundedPreceding, 0) for order in (("pos", "kind"), (F.desc("pos"), F.desc("kind"))))
     found = rows.select(
         "chrom",
         "kind",
@@ -120,12 +119,17 @@ def priority_labels(windows: DataFrame, regions: dict[str, DataFrame], functiona
     covers at least ``threshold`` of the window, else ``background``. ``intron_frac`` is what the gene body has beside the functional
     regions and ``intergenic_frac`` what lies outside both, not below zero.
     """
-    out, size = windows, F.col("end") - F.col("start")
-    together = regions[functional[0]].select("chrom", "start", "end")
-    for name in functional[1:]:
-        together = together.union(regions[name].select("chrom", "start", "end"))
-    for name, region in [*regions.items(), ("functional", together)]:
-        out = coverage(out, region, f"{name}_bp")
+    size = F.col("end") - F.col("start")
+    tagged = None
+    for name, region in regions.items():
+        tags = F.explode(F.array(F.lit(name), F.lit("functional")) if name in functional else F.array(F.lit(name)))
+        rows = region.select(tags.alias("region"), "chrom", "start", "end")
+        tagged = rows if tagged is None else tagged.union(rows)
+    pairs = overlap_join(windows.select("row_id", "chrom", "start", "end"), intervals.merge(tagged, by=["region"]))
+    length = F.least("end", "end_b") - F.greatest("start", "start_b")
+    names = [*regions, "functional"]
+    summed = pairs.groupBy("row_id").agg(*[F.sum(F.when(F.col("region_b") == n, length)).alias(f"{n}_bp") for n in names])
+    out = windows.join(summed, "row_id", "left").withColumns({f"{n}_bp": F.coalesce(f"{n}_bp", F.lit(0)) for n in names})
     fractions = {f"{name}_frac": F.col(f"{name}_bp") / size for name in [*regions, "functional"]}
     out = out.withColumns(fractions)
     label = F.coalesce(*[F.when(F.col(f"{n}_bp") > 0, F.lit(n)) for n in functional], F.lit("background"))

@@ -6,10 +6,12 @@ where ``checked`` is applied.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tiles import TILE, inside, with_carry, with_tile
+from .tiles import TILE, cut_at_tiles, inside, stitched
 
 COLUMNS = ["chrom", "start", "end"]
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -20,37 +22,37 @@ def checked(df: DataFrame) -> DataFrame:
     return df.withColumn("start", F.when(F.col("start") > F.col("end"), F.raise_error(F.lit("start > end")).cast("long")).otherwise(F.col("start")))
 
 
-def merge(df: DataFrame, width: int = TILE) -> DataFrame:
-    """Union of overlapping and adjacent intervals: the canonical set. Null chromosomes or bounds are dropped."""
-    known = with_tile(df.select(*COLUMNS).where("chrom is not null and start is not null and end is not null"), "start", width)
-    rows = with_carry(known, _reach=(F.max("end"), "max", "before"))
-    line = inside("start", "end")
-    before = F.greatest("_reach", F.max("end").over(line.rowsBetween(*_BEFORE)))
-    first = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
-    own = rows.withColumn("_new", first).withColumn("_island", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    pieces = own.groupBy("chrom", "_tile", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    # island 0 of a tile continues the last island of the tiles before
-    numbered = with_carry(pieces, _past=(F.max("_island"), "sum", "before"))
-    return numbered.groupBy("chrom", (F.coalesce("_past", F.lit(0)) + F.col("_island")).alias("_id")).agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*COLUMNS)
+def merge(df: DataFrame, width: int = TILE, by: Sequence[str] = ()) -> DataFrame:
+    """Union of overlapping and adjacent intervals: the canonical set, one for each value of ``by``. Null chromosomes or bounds are dropped.
+
+    One shuffle by tile, and one of the few pieces at tile borders."""
+    known = cut_at_tiles(df.select(*by, *COLUMNS).where("chrom is not null and start is not null and end is not null"), width)
+    line = Window.partitionBy(*by, "chrom", "_tile").orderBy("start", "end")
+    before = F.max("end").over(line.rowsBetween(*_BEFORE))
+    own = known.withColumn("_new", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = own.groupBy(*by, "chrom", "_tile", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return stitched(pieces, by, width)
+
+
+def sweep(a: DataFrame, b: DataFrame, keep: Callable[[Column, Column], Column], width: int = TILE) -> DataFrame:
+    """Where ``keep`` holds of the numbers of intervals of ``a`` and of ``b`` that lie over a base; it must be false of 0 and 0.
 
+    In each tile only the places where ``keep`` changes stay; a stretch reaches from one that turns true to the next."""
 
-def depth_segments(a: DataFrame, b: DataFrame, width: int = TILE) -> DataFrame:
-    """Segments between neighbouring bounds with the number of intervals of ``a`` and of ``b`` over them (``da``, ``db``)."""
     def bounds(df: DataFrame, x: int, y: int) -> DataFrame:
-        rows = df.where("start < end")
-        return rows.select("chrom", F.col("start").alias("pos"), F.lit(x).alias("xa"), F.lit(y).alias("xb")).union(rows.select("chrom", F.col("end"), F.lit(-x), F.lit(-y)))
+        pieces = cut_at_tiles(df.select(*COLUMNS).where("start < end"), width)
+        ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("k")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("k")))
+        return pieces.select("chrom", "_tile", F.explode(ends).alias("x")).select("chrom", "_tile", "x.pos", (F.col("x.k") * x).alias("xa"), (F.col("x.k") * y).alias("xb"))
 
-    steps = bounds(a, 1, 0).union(bounds(b, 0, 1)).groupBy("chrom", "pos").agg(F.sum("xa").alias("xa"), F.sum("xb").alias("xb"))
-    rows = with_carry(with_tile(steps, "pos", width), _a=(F.sum("xa"), "sum", "before"), _b=(F.sum("xb"), "sum", "before"), _next=(F.min("pos"), "min", "after"))
+    dealt = bounds(a, 1, 0).union(bounds(b, 0, 1)).repartition("chrom", "_tile")
+    steps = dealt.groupBy("chrom", "_tile", "pos").agg(F.sum("xa").alias("xa"), F.sum("xb").alias("xb"))
     line = inside("pos")
     so_far = line.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(
-        "chrom",
-        F.col("pos").alias("start"),
-        F.coalesce(F.lead("pos").over(line), "_next").alias("end"),
-        (F.coalesce("_a", F.lit(0)) + F.sum("xa").over(so_far)).alias("da"),
-        (F.coalesce("_b", F.lit(0)) + F.sum("xb").over(so_far)).alias("db"),
-    ).where("end is not null")
+    depth = steps.select("chrom", "_tile", "pos", F.sum("xa").over(so_far).alias("da"), F.sum("xb").over(so_far).alias("db"))
+    state = depth.select("chrom", "_tile", "pos", keep(F.col("da"), F.col("db")).alias("on"))
+    turns = state.withColumn("was", F.coalesce(F.lag("on").over(line), F.lit(False))).where("on <> was")
+    pieces = turns.withColumn("end", F.lead("pos").over(line)).where("on").select("chrom", "_tile", F.col("pos").alias("start"), "end")
+    return stitched(pieces, (), width)
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -58,12 +60,12 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    return merge(depth_segments(a, b).where("da > 0 and db > 0"))
+    return sweep(a, b, lambda da, db: (da > 0) & (db > 0))
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     """What ``a`` covers and ``b`` doesn't; intervals are split."""
-    return merge(depth_segments(a, b).where("da > 0 and db = 0"))
+    return sweep(a, b, lambda da, db: (da > 0) & (db == 0))
 
 
 def complement(df: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
-"""Running aggregates along a coordinate axis without putting a whole chromosome into one task.
+"""Sweeps along a coordinate axis without putting a whole chromosome into one task.
 
-The axis is cut into tiles. Rows are windowed inside ``(chrom, tile)``; what a row needs from the tiles before or after its own
-comes from one row per tile, whose own window has only as many rows as a chromosome has tiles.
+The axis is cut into tiles. Sets are swept after cutting their intervals at the tiles' borders, so each tile stands alone and only pieces
+that touch a border are stitched together again, at most two a tile. Where rows need the rows before them, they are windowed inside
+``(chrom, tile)``; what comes from the tiles before or after comes from one row a tile.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +20,32 @@ def with_tile(df: DataFrame, position: str, width: int = TILE) -> DataFrame:
     return df.withColumn("_tile", F.floor(F.col(position) / F.lit(width)))
 
 
+def cut_at_tiles(df: DataFrame, width: int = TILE) -> DataFrame:
+    """Every interval as its pieces in the tiles that it reaches; one of no length stays in the tile of its start."""
+    last = F.floor(F.greatest(F.col("start"), F.col("end") - 1) / F.lit(width))
+    cut = df.withColumn("_tile", F.explode(F.sequence(F.floor(F.col("start") / F.lit(width)), last)))
+    low, high = F.col("_tile") * width, (F.col("_tile") + 1) * width
+    return cut.withColumns({"start": F.greatest("start", low), "end": F.least("end", high)})
+
+
+def stitched(pieces: DataFrame, by: Sequence[str] = (), width: int = TILE) -> DataFrame:
+    """``pieces`` (sorted and apart inside each tile) joined where they meet at a border. Only pieces at borders are shuffled."""
+    low, high = F.col("_tile") * width, (F.col("_tile") + 1) * width
+    at_border = (F.col("start") == low) | (F.col("end") == high)
+    line = Window.partitionBy(*by, "chrom").orderBy("start", "end")
+    border = pieces.where(at_border).withColumn("_new", F.when(F.col("start") == F.lag("end").over(line), 0).otherwise(1))
+    border = border.withColumn("_island", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = border.groupBy(*by, "chrom", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    columns = [*by, "chrom", "start", "end"]
+    return pieces.where(~at_border).select(*columns).union(joined.select(*columns))
+
+
 def with_carry(df: DataFrame, **carries: tuple[Column, str, str]) -> DataFrame:
     """Add to every row of ``df`` (which has ``chrom`` and ``_tile``) one column per entry ``name=(aggregate, how, side)``: the tiles'
     ``aggregate`` folded by ``how`` (max, min, sum) over all tiles before (``side`` "before") or after the row's own."""
     per_tile = df.groupBy("chrom", "_tile").agg(*[a.alias(f"_{n}") for n, (a, _, _) in carries.items()])
-    line = Window.partitionBy("chrom").orderBy("_tile")
-    spans = {"before": line.rowsBetween(Window.unboundedPreceding, -1), "after": line.rowsBetween(1, Window.unboundedFollowing)}
+    line = {"before": Window.partitionBy("chrom").orderBy("_tile"), "after": Window.partitionBy("chrom").orderBy(F.desc("_tile"))}
+    spans = {side: w.rowsBetween(Window.unboundedPreceding, -1) for side, w in line.items()}
     folded = per_tile.select("chrom", "_tile", *[getattr(F, how)(f"_{n}").over(spans[side]).alias(n) for n, (_, how, side) in carries.items()])
     return df.join(folded, ["chrom", "_tile"])
 

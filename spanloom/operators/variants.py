@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
@@ -40,6 +40,22 @@ def genome_chunks(sequences: DataFrame, size: int = 1 << 16) -> DataFrame:
     return sequences.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("chunk"), "seq").select("chrom", "chunk", F.substring("seq", (F.col("chunk") * size + 1).cast("int"), F.lit(size)).alias("seq"))
 
 
+def chunks_of_records(records: DataFrame, size: int = 1 << 16, block: int = 4096) -> DataFrame:
+    """Chunks as ``genome_chunks`` gives them, of chromosomes that come as records ``chrom, ord, seq`` to be read in the order of ``ord`` (unique
+    whole numbers). Offsets are sums of lengths by blocks of ``ord`` and inside them; no row or task ever holds a whole chromosome."""
+    rows = records.where("seq <> ''").select("chrom", "ord", "seq", F.length("seq").cast("long").alias("n"), F.floor(F.col("ord") / block).alias("_block"))
+    line = Window.partitionBy("chrom").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("chrom", "_block").agg(F.sum("n").alias("_n")).select("chrom", "_block", F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy("chrom", "_block").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.join(before, ["chrom", "_block"]).withColumn("_at", F.col("_before") + F.sum("n").over(inner) - F.col("n"))
+    parts = placed.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_at") / size), F.floor((F.col("_at") + F.col("n") - 1) / size))))
+    skip = F.greatest(F.lit(0), F.col("chunk") * size - F.col("_at"))
+    room = F.col("chunk") * size + size - F.col("_at") - skip
+    piece = F.substring("seq", (skip + 1).cast("int"), room.cast("int"))
+    own = parts.select("chrom", "chunk", F.struct(F.col("_at").alias("at"), piece.alias("seq")).alias("x")).groupBy("chrom", "chunk").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return own.select("chrom", "chunk", F.array_join("x.seq", "").alias("seq"))
+
+
 def bases_at(df: DataFrame, chunks: DataFrame, before: int, after: int, size: int = 1 << 16, pos: str = "pos") -> DataFrame:
     """``window``: bases from ``before`` before to ``after`` after the 1-based position, N beyond the ends. ``row_id`` must be unique."""
     first, last = F.col(pos) - 1 - before, F.col(pos) - 1 + after

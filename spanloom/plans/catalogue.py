@@ -220,7 +220,11 @@ def mrna_exons(v):
     return annotation.transcript_exons(v("gtf")).select("chrom", "start", "end", "strand", "transcript_id", "gene_id")
 
 
-@query(f"SELECT chrom, s, e, {_T} AS transcript_id FROM gtf WHERE feature = 'exon' AND contains(attribute, 'lnc_RNA')")
+_NC = """SELECT chrom, s, e, strand, attribute FROM gtf WHERE feature = 'exon' AND contains(attribute, 'lnc_RNA') AND NOT contains(attribute, 'pseudo "true"') AND NOT contains(attribute, 'partial "true"')
+  AND NOT contains(attribute, 'pseudogene') AND NOT contains(attribute, 'NMD candidate') AND NOT contains(attribute, 'LOW QUALITY')"""
+
+
+@query(f"SELECT chrom, s, e, {_T} AS transcript_id FROM ({_NC}) AS n")
 def ncrna_exons(v):
     return annotation.ncrna_exons(v("gtf")).select("chrom", "start", "end", "transcript_id")
 
@@ -443,7 +447,7 @@ def gc_repeat_fraction(v):
     return v("seqs").select("id", Q.gc_content("raw").alias("gc"), Q.repeat_fraction("raw").alias("repeats")).select("id", r6("gc"), r6("repeats"))
 
 
-@query("SELECT id, array_to_string(list_transform(range(0, length(raw) // 3), lambda i: CASE WHEN regexp_full_match(lower(substr(raw, CAST(i * 3 + 1 AS BIGINT), 3)), '[acgt]{3}') THEN 2 + list_position(['a','c','g','t'], lower(substr(raw, CAST(i * 3 + 1 AS BIGINT), 1))) * 16 + list_position(['a','c','g','t'], lower(substr(raw, CAST(i * 3 + 2 AS BIGINT), 1))) * 4 + list_position(['a','c','g','t'], lower(substr(raw, CAST(i * 3 + 3 AS BIGINT), 1))) - 21 ELSE 1 END), ' ') AS tokens FROM seqs")
+@query("SELECT id, array_to_string(list_transform(regexp_extract_all(lower(raw), '(?s).{3}'), lambda w: CASE WHEN regexp_full_match(w, '[acgt]{3}') THEN 2 + list_position(['a','c','g','t'], substr(w, 1, 1)) * 16 + list_position(['a','c','g','t'], substr(w, 2, 1)) * 4 + list_position(['a','c','g','t'], substr(w, 3, 1)) - 21 ELSE 1 END), ' ') AS tokens FROM seqs")
 def kmer_tokens(v):
     return v("seqs").select("id", F.array_join(Q.kmer_tokens("raw", 3).cast("array<string>"), " ").alias("tokens"))
 
@@ -458,7 +462,7 @@ def loss_weights(v):
     return v("seqs").where("raw <> ''").select("id", F.aggregate(Q.loss_weights("raw", 0.25), F.lit(0.0), lambda s, x: s + x).alias("weight")).select("id", r6("weight"))
 
 
-@query("SELECT id, array_to_string(list_transform(range(1, length(raw) + 1), lambda i: CASE WHEN i % 3 = 0 THEN upper(substr(raw, i, 1)) ELSE lower(substr(raw, i, 1)) END), '') AS seq FROM (SELECT id, regexp_replace(raw, '[^A-Za-z]', 'N', 'g') AS raw FROM seqs WHERE raw <> '') AS t")
+@query("SELECT id, array_to_string(list_transform(string_split(raw, ''), lambda c, i: CASE WHEN i % 3 = 0 THEN upper(c) ELSE lower(c) END), '') AS seq FROM (SELECT id, regexp_replace(raw, '[^A-Za-z]', 'N', 'g') AS raw FROM seqs WHERE raw <> '') AS t")
 def case_encode(v):
     values = F.transform(F.sequence(F.lit(1), F.length("raw")), lambda i: F.when(i % 3 == 0, 3.0).when(i % 3 == 1, float("nan")))
     plain = v("seqs").where("raw <> ''").select("id", F.regexp_replace("raw", "[^A-Za-z]", "N").alias("raw"))
@@ -561,9 +565,8 @@ def lift_over(v):
 @query("""WITH g AS (SELECT concat('chr', CAST(id AS BIGINT) % 24) AS chrom, string_agg(raw, '' ORDER BY CAST(id AS BIGINT)) AS seq FROM seqs GROUP BY 1), x AS (SELECT v.*, upper(substr(g.seq, v.pos, 1)) AS base FROM variants AS v JOIN g ON v.chrom = g.chrom WHERE v.pos <= length(g.seq))
 SELECT row_id, CASE WHEN base = ref THEN ref ELSE alt END AS ref, CASE WHEN base = ref THEN alt ELSE ref END AS alt FROM x WHERE base = ref OR base = alt""")
 def check_reference(v):
-    parts = v("seqs").groupBy(F.concat(F.lit("chr"), F.col("id").cast("long") % 24).alias("chrom")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").cast("long").alias("k"), "raw"))).alias("x"))
-    genome = parts.select("chrom", F.array_join("x.raw", "").alias("seq"))
-    return variants.check_reference(v("variants"), variants.genome_chunks(genome, 1 << 12), 1 << 12).select("row_id", "ref", "alt")
+    records = v("seqs").select(F.concat(F.lit("chr"), F.col("id").cast("long") % 24).alias("chrom"), F.col("id").cast("long").alias("ord"), F.col("raw").alias("seq"))
+    return variants.check_reference(v("variants"), variants.chunks_of_records(records, 1 << 12), 1 << 12).select("row_id", "ref", "alt")
 
 
 @query("SELECT row_id, subset FROM variants WHERE chrom IN (SELECT chrom FROM variants GROUP BY chrom HAVING count(DISTINCT ref) = 4)")

@@ -14,7 +14,7 @@ VIEWS = {
     "iv_b": "SELECT o_orderkey AS row_id, concat('chr', CAST(o_custkey % 24 AS STRING)) AS chrom, o_orderkey * 5 AS s, o_orderkey * 5 + 1 + o_orderkey % 60 AS e FROM orders",
     "variants": "SELECT event_id AS row_id, concat('chr', CAST(user_id % 24 AS STRING)) AS chrom, event_id * 3 + 1 AS pos, substr('ACGT', CAST(1 + event_id % 4 AS INT), 1) AS ref, substr('ACGT', CAST(1 + (event_id + 1 + user_id % 3) % 4 AS INT), 1) AS alt, event_type = 'purchase' AS label, CASE WHEN isnan(value) THEN NULL ELSE value END AS score, event_type AS subset FROM events",
     "pip": "SELECT l_partkey AS variant, l_suppkey AS study, l_returnflag AS method, CASE WHEN l_tax = 0.08 THEN NULL ELSE round(l_discount * 10, 2) END AS pip FROM lineitem",
-    "seqs": "SELECT CAST(doc_id AS STRING) AS id, translate(substr(coalesce(text, ''), 1, 255), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ .,\n', 'acgtacgtacgtacgtacgtacgtacACGTACGTACGTACGTACGTACGTACnNnN') AS raw FROM documents",
+    "seqs": "SELECT CAST(doc_id AS STRING) AS id, translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ .,\n', 'acgtacgtacgtacgtacgtacgtacACGTACGTACGTACGTACGTACGTACnNnN') AS raw FROM documents",
     "pairs": "SELECT CAST(floor(o_orderkey / CAST(2 AS DOUBLE)) AS BIGINT) AS match_group, o_orderkey % 2 = 1 AS label, o_totalprice AS score, -o_totalprice * o_orderkey AS other FROM orders",
     "scored": "SELECT documents.doc_id AS id, labels.quality = 1 AS label, CAST(documents.n_chars AS DOUBLE) AS score, documents.lang AS subset FROM labels JOIN documents ON labels.doc_id = documents.doc_id",
     "signal": "SELECT concat('chr', CAST(o_orderkey % 4 AS STRING)) AS chrom, o_orderkey * 10 AS s, o_orderkey * 10 + 10 AS e, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE round(o_totalprice / 100000 - 2, 4) END AS value FROM orders",
@@ -22,7 +22,9 @@ VIEWS = {
     "gtf": """SELECT concat('chr', CAST(CAST(floor(p_partkey / CAST(4 AS DOUBLE)) AS BIGINT) % 24 AS STRING)) AS chrom, kind AS feature, p_partkey * 100 + 5 * part_of AS s, p_partkey * 100 + 40 + p_size - 5 * part_of AS e,
  CASE WHEN CAST(floor(p_partkey / CAST(4 AS DOUBLE)) AS BIGINT) % 2 = 0 THEN '+' ELSE '-' END AS strand,
  concat('gene_id "g', CAST(CAST(floor(p_partkey / CAST(8 AS DOUBLE)) AS BIGINT) AS STRING), '"; transcript_id "t', CAST(CAST(floor(p_partkey / CAST(4 AS DOUBLE)) AS BIGINT) AS STRING), '"; ',
-  CASE CAST(floor(p_partkey / CAST(4 AS DOUBLE)) AS BIGINT) % 3 WHEN 0 THEN 'gbkey "mRNA"; transcript_biotype "mRNA"; gene_biotype "protein_coding";' WHEN 1 THEN 'transcript_biotype "lnc_RNA"; gene_biotype "lncRNA";' ELSE 'transcript_biotype "TEC"; pseudo "true";' END,
+  CASE CAST(floor(p_partkey / CAST(4 AS DOUBLE)) AS BIGINT) % 3 WHEN 0 THEN 'gbkey "mRNA"; transcript_biotype "mRNA"; gene_biotype "protein_coding";' WHEN 1 THEN concat('transcript_biotype "lnc_RNA"; gene_biotype "',
+   CASE CAST(floor(p_partkey / CAST(4 AS DOUBLE)) AS BIGINT) % 11 WHEN 0 THEN 'transcribed_pseudogene";' WHEN 1 THEN 'lncRNA"; pseudo "true";' WHEN 2 THEN 'lncRNA"; partial "true";' WHEN 3 THEN 'lncRNA"; description "an NMD candidate";'
+   WHEN 4 THEN 'lncRNA"; product "x, NMD candidate";' WHEN 5 THEN 'lncRNA"; product "LOW QUALITY RNA";' ELSE 'lncRNA";' END) ELSE 'transcript_biotype "TEC"; pseudo "true";' END,
   CASE WHEN kind = 'transcript' AND p_partkey % 5 = 0 THEN ' tag "Ensembl_canonical";' ELSE '' END) AS attribute
  FROM part CROSS JOIN (SELECT 'exon' AS kind, 0 AS part_of UNION ALL SELECT 'CDS', 1 UNION ALL SELECT 'transcript', 0) AS kinds WHERE kind = 'exon' OR (kind = 'CDS' AND p_size > 10) OR (kind = 'transcript' AND p_partkey % 4 = 0)""",
     "genes": "SELECT p_partkey AS gene, concat('chr', CAST(p_partkey % 24 AS STRING)) AS chrom, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand, p_partkey * 40 AS s, p_partkey * 40 + 200 + p_size AS e FROM part",
