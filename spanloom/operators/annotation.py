@@ -135,3 +135,93 @@ def spliced_distance(variants: DataFrame, exons: DataFrame, cds: DataFrame) -> D
     left, right = between(F.col("pos"), F.col("cds_start")), between(F.col("cds_end"), F.col("pos") + 1)
     per = pairs.groupBy("chrom", "pos", "transcript_id").agg(F.sum(F.when(F.col("pos") < F.col("cds_start"), left).when(F.col("pos") >= F.col("cds_end"), right).otherwise(0)).alias("d"))
     return per.groupBy("chrom", "pos").agg(F.min("d").alias("least"), F.max("d").alias("greatest"))
+
+
+def transcript_set(ann: DataFrame) -> DataFrame:
+    """Exons of messenger RNA and of functional non-coding RNA, merged."""
+    return intervals.merge(functional_transcript_exons(ann))
+
+
+def functional_transcript_exons(ann: DataFrame) -> DataFrame:
+    columns = ["chrom", "start", "end", "strand", "transcript_id"]
+    return transcript_exons(ann).select(columns).union(ncrna_exons(ann).select(columns))
+
+
+def coding_set(ann: DataFrame) -> DataFrame:
+    return intervals.merge(coding(ann))
+
+
+def exons_of_biotype(ann: DataFrame, biotypes: Sequence[str] | None = ("protein_coding",)) -> DataFrame:
+    """Exons with ``transcript_id`` in the vocabulary that says ``protein_coding``; of all transcripts where ``biotypes`` is None."""
+    rows = with_attributes(ann.where("feature = 'exon'"), "transcript_id", "transcript_biotype", "gene_id").where("transcript_id is not null")
+    return rows if biotypes is None else rows.where(F.col("transcript_biotype").isin(*biotypes))
+
+
+def gene_bodies(ann: DataFrame) -> DataFrame:
+    return intervals.merge(ann.where("feature = 'gene'"))
+
+
+def noncoding_exons(ann: DataFrame, biotypes: Sequence[str]) -> DataFrame:
+    """Exons of the listed transcript biotypes, without pseudogenes and partial records; the list must not be empty."""
+    if not biotypes:
+        raise ValueError("name at least one biotype")
+    rows = with_attributes(ann.where("feature = 'exon'"), "transcript_id", "transcript_biotype", "gene_biotype").where(F.col("transcript_biotype").isin(*biotypes))
+    bad = F.col("attribute").rlike('(pseudo|partial) "true"') | F.coalesce(F.col("gene_biotype").rlike("(?i)pseudogene"), F.lit(False)) | F.col("transcript_biotype").rlike("(?i)pseudogenic")
+    return rows.where(~F.coalesce(bad, F.lit(False)))
+
+
+def require_protein_coding(ann: DataFrame) -> DataFrame:
+    """``ann``, or an error if none of its transcripts is called ``protein_coding`` (the other vocabulary says ``mRNA``)."""
+    named = ann.where(F.col("feature") == "transcript").where(attribute("transcript_biotype") == "protein_coding")
+    if named.isEmpty():
+        raise ValueError("no protein_coding transcript: another annotation vocabulary")
+    return ann
+
+
+def start_bands(exons: DataFrame, flank: int) -> DataFrame:
+    """``flank`` bases to both sides of each transcript's start, merged."""
+    return promoters(exons, flank, flank)
+
+
+def coding_bounds(ann: DataFrame) -> DataFrame:
+    """``transcript_id, cds_start, cds_end`` over the coding rows of each transcript."""
+    return coding(ann).groupBy("transcript_id").agg(F.min("start").alias("cds_start"), F.max("end").alias("cds_end"))
+
+
+def utr3_table(ann: DataFrame) -> DataFrame:
+    """Parts of messenger exons behind the coding stretch, with its bounds, ``gene_id`` and ``gene_name`` (null where none is given)."""
+    rows = transcript_exons(ann).withColumn("gene_name", attribute("gene")).join(coding_bounds(ann), "transcript_id")
+    plus = F.col("strand") == "+"
+    part = rows.withColumns({"start": F.when(plus, F.greatest("start", "cds_end")).otherwise(F.col("start")), "end": F.when(plus, F.col("end")).otherwise(F.least("end", "cds_start"))})
+    return part.where("start < end").select("chrom", "start", "end", "strand", "transcript_id", "cds_start", "cds_end", "gene_id", "gene_name")
+
+
+def coding_table(ann: DataFrame) -> DataFrame:
+    return with_attributes(ann.where("feature = 'CDS'"), "transcript_id", "gene_id").select("chrom", "start", "end", "strand", "transcript_id", "gene_id")
+
+
+def messenger_exon_table(ann: DataFrame) -> DataFrame:
+    return transcript_exons(ann).select("chrom", "start", "end", "strand", "transcript_id", "gene_id")
+
+
+def noncoding_table(ann: DataFrame, biotypes: Sequence[str] = NCRNA_BIOTYPES) -> DataFrame:
+    """Exons of everything but messenger RNA that has a biotype (else the gbkey), and whether that is a listed one."""
+    rows = with_attributes(ann.where("feature = 'exon'"), "transcript_id", "transcript_biotype", "gbkey", "gene_id").withColumn("gene_name", attribute("gene"))
+    rows = rows.withColumn("biotype", F.coalesce("transcript_biotype", "gbkey")).where("biotype is not null and coalesce(transcript_biotype, '') <> 'mRNA' and coalesce(gbkey, '') <> 'mRNA'")
+    return rows.select("chrom", "start", "end", "strand", "transcript_id", "gene_id", "gene_name", "biotype", F.col("biotype").isin(*biotypes).alias("in_list"))
+
+
+def distance_to_cds(start: str | Column, cds_start: str | Column, cds_end: str | Column, strand: str | Column) -> Column:
+    """Bases, introns included, from the end of the coding stretch along the strand to a 0-based position behind it."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.when(c(strand) == "+", c(start) - c(cds_end)).otherwise(c(cds_start) - c(start) - 1)
+
+
+def transcript_sizes(exons: DataFrame) -> DataFrame:
+    """Summed exon lengths of each transcript."""
+    return exons.groupBy("transcript_id").agg(F.sum(F.col("end") - F.col("start")).alias("transcript_size"))
+
+
+def least_size_at(positions: DataFrame, exons: DataFrame) -> DataFrame:
+    """Per ``chrom, pos`` the size of the smallest of its transcripts; ``positions`` has ``chrom, pos, transcript_id``."""
+    return positions.join(transcript_sizes(exons), "transcript_id", "left").groupBy("chrom", "pos").agg(F.min("transcript_size").alias("transcript_size"))

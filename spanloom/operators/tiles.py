@@ -29,15 +29,15 @@ def cut_at_tiles(df: DataFrame, width: int = TILE) -> DataFrame:
 
 
 def stitched(pieces: DataFrame, by: Sequence[str] = (), width: int = TILE) -> DataFrame:
-    """``pieces`` (sorted and apart inside each tile) joined where they meet at a border. Only pieces at borders are shuffled."""
+    """``pieces`` (sorted and apart inside each tile) joined where they meet at a border: those at borders, at most two a tile, are windowed by
+    chromosome, all others stay in lanes by tile. The input is read once, so chains of sweeps stay linear."""
     low, high = F.col("_tile") * width, (F.col("_tile") + 1) * width
-    at_border = (F.col("start") == low) | (F.col("end") == high)
-    line = Window.partitionBy(*by, "chrom").orderBy("start", "end")
-    border = pieces.where(at_border).withColumn("_new", F.when(F.col("start") == F.lag("end").over(line), 0).otherwise(1))
-    border = border.withColumn("_island", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = border.groupBy(*by, "chrom", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    columns = [*by, "chrom", "start", "end"]
-    return pieces.where(~at_border).select(*columns).union(joined.select(*columns))
+    laned = pieces.withColumn("_lane", F.when((F.col("start") > low) & (F.col("end") < high), F.col("_tile")))
+    line = Window.partitionBy(*by, "chrom", "_lane").orderBy("start", "end")
+    new = F.when(F.col("_lane").isNull() & (F.col("start") == F.lag("end").over(line)), 0).otherwise(1)
+    islands = laned.withColumn("_new", new).withColumn("_island", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = islands.groupBy(*by, "chrom", "_lane", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return joined.select(*by, "chrom", "start", "end")
 
 
 def with_carry(df: DataFrame, **carries: tuple[Column, str, str]) -> DataFrame:

@@ -580,3 +580,6 @@ def matching_qc(v):
     rows = v("variants").where("score is not null or score is null")
     counts, _ = matching.matching_qc(rows, rows.where("row_id % 2 = 0").withColumn("pos", F.col("pos").cast("double")), ["pos"])
     return counts.select("subset", "n_input", "n_kept", "n_dropped")
+
+
+from . import region_queries, table_queries  # noqa: E402, F401  they register theirs

@@ -27,6 +27,18 @@ VIEWS = {
    WHEN 4 THEN 'lncRNA"; product "x, NMD candidate";' WHEN 5 THEN 'lncRNA"; product "LOW QUALITY RNA";' ELSE 'lncRNA";' END) ELSE 'transcript_biotype "TEC"; pseudo "true";' END,
   CASE WHEN kind = 'transcript' AND p_partkey % 5 = 0 THEN ' tag "Ensembl_canonical";' ELSE '' END) AS attribute
  FROM part CROSS JOIN (SELECT 'exon' AS kind, 0 AS part_of UNION ALL SELECT 'CDS', 1 UNION ALL SELECT 'transcript', 0) AS kinds WHERE kind = 'exon' OR (kind = 'CDS' AND p_size > 10) OR (kind = 'transcript' AND p_partkey % 4 = 0)""",
+    "ens": """SELECT concat('chr', CAST(CAST(floor(p_partkey / CAST(8 AS DOUBLE)) AS BIGINT) % 24 AS STRING)) AS chrom, kind AS feature,
+ CASE kind WHEN 'gene' THEN p_partkey * 100 WHEN 'transcript' THEN p_partkey * 100 ELSE p_partkey * 100 + 5 * part_of END AS s,
+ CASE kind WHEN 'gene' THEN p_partkey * 100 + 790 WHEN 'transcript' THEN p_partkey * 100 + 390 ELSE p_partkey * 100 + 40 + p_size - 5 * part_of END AS e,
+ CASE WHEN CAST(floor(p_partkey / CAST(8 AS DOUBLE)) AS BIGINT) % 2 = 0 THEN '+' ELSE '-' END AS strand,
+ concat('gene_id "g', CAST(CAST(floor(p_partkey / CAST(8 AS DOUBLE)) AS BIGINT) AS STRING), '"; ',
+  CASE WHEN kind = 'gene' THEN '' ELSE concat('transcript_id "t', CAST(CAST(floor(p_partkey / CAST(4 AS DOUBLE)) AS BIGINT) AS STRING), '"; transcript_biotype "',
+   CASE CAST(floor(p_partkey / CAST(4 AS DOUBLE)) AS BIGINT) % 5 WHEN 0 THEN 'lncRNA' WHEN 1 THEN 'misc_RNA' ELSE 'protein_coding' END, '"; ') END,
+  CASE WHEN kind = 'transcript' AND CAST(floor(p_partkey / CAST(4 AS DOUBLE)) AS BIGINT) % 3 <> 0 THEN 'tag "Ensembl_canonical"; ' ELSE '' END) AS attribute
+ FROM part CROSS JOIN (SELECT 'exon' AS kind, 0 AS part_of UNION ALL SELECT 'CDS', 1 UNION ALL SELECT 'transcript', 0 UNION ALL SELECT 'gene', 0) AS kinds
+ WHERE kind = 'exon' OR (kind = 'CDS' AND p_size > 10 AND p_partkey % 4 IN (1, 2)) OR (kind = 'transcript' AND p_partkey % 4 = 0) OR (kind = 'gene' AND p_partkey % 8 = 0)""",
+    "cre": "SELECT o_orderkey AS row_id, concat('chr', CAST(o_custkey % 24 AS STRING)) AS chrom, o_orderkey * 6 AS s, o_orderkey * 6 + 150 + o_orderkey % 200 AS e, CASE CAST(floor(o_orderkey / CAST(3 AS DOUBLE)) AS BIGINT) % 4 WHEN 0 THEN 'PLS' WHEN 1 THEN 'dELS' WHEN 2 THEN 'pELS' ELSE 'CA-H3K4me3' END AS cre_class FROM orders",
+    "gaps": "SELECT o_orderkey AS row_id, concat('chr', CAST(o_custkey % 24 AS STRING)) AS chrom, o_orderkey * 5 AS s, o_orderkey * 5 + 1 + o_orderkey % 60 AS e FROM orders WHERE o_orderkey % 60 > 50",
     "genes": "SELECT p_partkey AS gene, concat('chr', CAST(p_partkey % 24 AS STRING)) AS chrom, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand, p_partkey * 40 AS s, p_partkey * 40 + 200 + p_size AS e FROM part",
 }
 
