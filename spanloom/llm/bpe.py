@@ -27,6 +27,8 @@ _NEVER = np.int64(1 << 40)
 CACHE_WORDS = 300_000
 #: Words longer than this are merged one at a time, so that the array of a batch stays narrow.
 WIDE = 40
+#: Words of more bytes aren't proposed in array steps, which would be as many as the word has bytes, but merged at once.
+LONG = 512
 #: The word pattern of the vocabulary file that is read, for characters up to U+024F.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+"
 _PLAIN = re.compile("[\x00-\x1b -ɏ]*")
@@ -340,8 +342,15 @@ class Encoder:
         self.failed = self.proposed = 0
 
     def learn(self, new: list[str]) -> None:
-        """Encode words: propose all, test all neighbours at once, merge exactly the words that fail."""
+        """Encode words: propose all, test all neighbours at once, merge exactly the words that fail, and very long ones."""
         spelled = [self.split.bytes_of(w) for w in new]
+        wide = [w for w, s in zip(new, spelled, strict=True) if len(s) > LONG]
+        for w, exact in zip(wide, self.vocab.exact([self.split.spell(w) for w in wide]), strict=True):
+            self.ids[w], self.text[w] = np.array(exact, "<u4").tobytes(), " ".join([self.shown[t] for t in exact])
+        new = [w for w, s in zip(new, spelled, strict=True) if len(s) <= LONG]
+        spelled = [s for s in spelled if len(s) <= LONG]
+        if not new:
+            return
         flat, owner = self.vocab.propose(spelled)
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         key, back = np.unique(flat[inner] * len(self.vocab.right) + flat[inner + 1], return_inverse=True)

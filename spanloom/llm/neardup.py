@@ -80,7 +80,7 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def common_shingles(texts: DataFrame, share: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(texts: DataFrame, share: float = COMMON, scratch: Scratch | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, of the shingles in at least ``share`` of all documents, and their idf weights. Exact counts over all rows."""
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,8 +105,7 @@ def common_shingles(texts: DataFrame, share: float = COMMON) -> tuple[np.ndarray
         yield pd.DataFrame({"shingle": [None], "n": [total]}).astype({"shingle": "Int64"})
 
     lower = texts.select("text").mapInPandas(blocks, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    scratch = Scratch(texts.sparkSession)
-    lower = scratch.keep(lower)
+    lower = (scratch or Scratch(texts.sparkSession)).keep(lower)
     total = lower.where("shingle is null").agg(F.sum("n")).first()[0] or 0
     candidates = np.array([r[0] for r in lower.where(F.col("shingle").isNotNull() & (F.col("n") >= (share - 0.02) * total)).select("shingle").collect()], np.int64).view(np.uint64)
     candidates.sort()
@@ -308,7 +307,7 @@ def tile_links(members: DataFrame, texts: DataFrame, keyed: DataFrame, common: t
 
 def links(texts: DataFrame, copies: DataFrame, scratch: Scratch, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Verified links (``a``, ``b``) between different texts, enough to connect all that are found alike."""
-    common = common_shingles(texts)
+    common = common_shingles(texts, scratch=scratch)
     keyed = scratch.keep(band_table(texts, common, bands, rows).join(copies.select("doc_id"), "doc_id", "left_anti"))
     places = keyed.select("doc_id", F.explode("bands").alias("key"))
     shared = scratch.keep(places.join(places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))

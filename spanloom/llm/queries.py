@@ -88,7 +88,8 @@ REPLY_SCHEMA = {"reply": {"text": ("string", True), "n_chars": ("integer", True)
 
 
 def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn as a call of ``reply`` that waits for the user turn two before it; every other turn as the result of the turn before it.
+    """Every user turn as a call of ``reply`` that waits for the user turn two before it; every other turn (a null role is
+    not a user's) as the result of the turn before it.
 
     Some calls break the schema on purpose: no text where n_chars is divisible by 11, a number as tag where it is divisible by 7.
     """
@@ -105,7 +106,7 @@ def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = turns.where("role = 'user'").select(
         "conv_id", "turn", call_id.alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.concat_ws(":", F.col("conv_id"), F.col("turn") - 2).alias("after")
     )
-    results = turns.where("role <> 'user'").select("conv_id", "turn", F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    results = turns.where("role is null or role <> 'user'").select("conv_id", "turn", F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return chat.link_calls(calls, results, REPLY_SCHEMA)
 
 
@@ -114,7 +115,7 @@ WITH RECURSIVE u AS (SELECT conv_id, turn, text, length(text) AS n, to_json(text
 l AS (
   SELECT conv_id, turn, 0 AS level FROM u WHERE NOT EXISTS (SELECT 1 FROM u AS p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2)
   UNION ALL SELECT u.conv_id, u.turn, l.level + 1 FROM l JOIN u ON u.conv_id = l.conv_id AND u.turn = l.turn + 2
-), r AS (SELECT conv_id, turn, turn - 1 AS call, to_json(text) AS j FROM conversations WHERE role <> 'user')
+), r AS (SELECT conv_id, turn, turn - 1 AS call, to_json(text) AS j FROM conversations WHERE role IS DISTINCT FROM 'user')
 SELECT coalesce(u.conv_id, r.conv_id) AS conv_id, CAST(l.level AS BIGINT) AS level, coalesce(u.turn, r.turn) AS turn,
   concat(coalesce(u.conv_id, r.conv_id), ':', coalesce(u.turn, r.call)) AS call_id,
   CASE WHEN u.conv_id IS NULL THEN 'orphan' ELSE 'call' END AS kind,

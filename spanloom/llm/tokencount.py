@@ -3,7 +3,8 @@
 For a word of the byte-level BPE in ``bpe.Vocabulary`` the tokens of each prefix end in exactly one token that stands apart
 from the last token of the prefix before it. So ``count[i] = count[j] + 1`` for the one ``j`` where ``word[j:i]`` is a
 token that no merge would have joined to the last token of ``word[:j]``. The table holds the count and the last token at
-every byte of a word; the counts of a text add up over its words.
+every byte of a word; the counts of a text add up over its words, and where a budget cuts a word, its stored table says
+how far the budget reaches. Short words are filled in step by array operations, words of more than ``LONG`` bytes one by one.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, WordSplitter
+from .bpe import LONG, Vocabulary, WordSplitter, byte_letters
 from .common import slices
 
 #: Words kept in a worker's memory; all are forgotten when there are more.
@@ -29,7 +30,15 @@ class PrefixTable:
     def __init__(self, vocab: Vocabulary, file: str) -> None:
         self.vocab, self.split = vocab, WordSplitter(vocab, file)
         self.total: dict[str, int] = {}
-        self.inner: dict[str, bytes] = {}
+        self.inner: dict[str, tuple[bytes, bytes]] = {}
+        value = {c: b for b, c in enumerate(byte_letters())}
+        suffix = vocab.suffix
+        #: Tokens that end a word, by their bytes.
+        self._ending = {bytes(value[c] for c in t[: len(t) - len(suffix)]): i for t, i in vocab.reached.items() if t.endswith(suffix) and t != suffix}
+        self._longest = max(map(len, self._ending))
+        self._seen: dict[int, bool] = {}
+        self._ranks: dict[int, int] = {}
+        self._edges: dict[int, int] = {}
         self._pairs, self._apart = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,29 +104,85 @@ class PrefixTable:
             count[until[~ends]], last[until[~ends]] = count[begin[~ends]] + 1, token[~ends]
         return first, count, last, whole
 
+    def _plain_apart(self, a: int, b: int) -> bool:
+        """``apart`` of one pair, kept."""
+        key = a * len(self.vocab.right) + b
+        known = self._seen.get(key)
+        if known is None:
+            if not self._ranks:
+                self._ranks = dict(zip(self.vocab.pair_keys.tolist(), self.vocab.pair_ranks.tolist(), strict=True))
+            size, known = len(self.vocab.right), True
+            left = [(y, u) for y, u in zip(self.vocab.left[b].tolist(), self.vocab.left_until[b].tolist(), strict=True) if y >= 0]
+            for x, until in zip(self.vocab.right[a].tolist(), self.vocab.right_until[a].tolist(), strict=True):
+                if x < 0:
+                    break
+                if any((r := self._ranks.get(x * size + y)) is not None and r < until and r <= u for y, u in left):
+                    known = False
+                    break
+            if len(self._seen) > 2_000_000:
+                self._seen = {}
+            self._seen[key] = known
+        return known
+
+    def long_table(self, word: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+        """Count and last token at every prefix of one long word, and the count of the whole, in time that grows with its length."""
+        if not self._edges:
+            self._edges = dict(zip(self.vocab.trie_keys.tolist(), self.vocab.trie_next.tolist(), strict=True))
+            self._token = self.vocab.trie_token.tolist()
+        n, edges, tokens, apart = len(word), self._edges, self._token, self._plain_apart
+        count, last, whole = [-1] * (n + 1), [-1] * (n + 1), -1
+        count[0] = 0
+        for j in range(n):
+            more = count[j] + 1
+            if not more:
+                continue
+            node, before = 0, last[j]
+            for i in range(j, n + 1):
+                node = edges.get(node * 257 + (word[i] if i < n else 256), -1)
+                if node < 0:
+                    break
+                token = tokens[node]
+                if token < 0:
+                    continue
+                if i == n:
+                    if whole < 0 and (before < 0 or apart(before, token)):
+                        whole = more
+                elif count[i + 1] < 0 and (before < 0 or apart(before, token)):
+                    count[i + 1], last[i + 1] = more, token
+        return np.array(count, np.int64), np.array(last, np.int64), whole
+
     def learn(self, new: list[str]) -> None:
         spelled = [self.split.bytes_of(w) for w in new]
-        first, count, _, whole = self.table(spelled)
-        cells = count.astype("<u4").tobytes()
-        for w, s, a, n in zip(new, spelled, first.tolist(), whole.tolist(), strict=True):
+        short = [(w, s) for w, s in zip(new, spelled, strict=True) if len(s) <= LONG]
+        first, count, last, whole = self.table([s for _, s in short])
+        counts, lasts = count.astype("<i4").tobytes(), last.astype("<i4").tobytes()
+        for (w, s), a, n in zip(short, first.tolist(), whole.tolist(), strict=True):
             self.total[w] = n
-            self.inner[w] = cells[4 * a : 4 * (a + len(s) + 1)]
+            self.inner[w] = counts[4 * a : 4 * (a + len(s) + 1)], lasts[4 * a : 4 * (a + len(s) + 1)]
+        for w, s in zip(new, spelled, strict=True):
+            if len(s) > LONG:
+                count, last, self.total[w] = self.long_table(s)
+                self.inner[w] = count.astype("<i4").tobytes(), last.astype("<i4").tobytes()
+
+    def longest_within(self, word: str, room: int) -> tuple[int, int]:
+        """Bytes (whole characters) and tokens of the longest prefix of a word, taken as a word of its own, with at most ``room`` tokens.
 
-    def prefix_counts(self, word: str) -> list[int]:
-        """Tokens of every non-empty prefix of a word, each taken as a word of its own: at its end the table of the whole word
-        already has the count and last token of every shorter prefix."""
+        Read from the stored table: a prefix ends in one token that bears the end of a word, behind a shorter prefix whose count and
+        last token the table has."""
         spelled = self.split.bytes_of(word)
-        first, count, last, _ = self.table([spelled])
-        out = []
-        for i in range(1, len(spelled) + 1):
-            n = 0
-            for j in range(i - 1, -1, -1):
-                token = self.vocab.reached.get(self.split.letters_of(spelled[j:i]) + self.vocab.suffix)
-                if token is not None and count[j] >= 0 and (j == 0 or self.apart(last[[j]], np.array([token]))[0]):
-                    n = int(count[j]) + 1
+        count, last = (np.frombuffer(x, "<i4") for x in self.inner[word])
+        fits = np.flatnonzero((count >= 0) & (count < room))
+        ending = self._ending
+        for i in range(min(len(spelled), int(fits[-1]) + self._longest) if len(fits) else 0, 0, -1):
+            if i < len(spelled) and spelled[i] & 0xC0 == 0x80:
+                continue
+            for j in range(i - 1, max(i - 1 - self._longest, -1), -1):
+                token = ending.get(spelled[j:i])
+                if token is not None and count[j] >= 0 and (j == 0 or self._plain_apart(int(last[j]), token)):
+                    if count[j] < room:
+                        return i, int(count[j]) + 1
                     break
-            out.append(n)
-        return out
+        return 0, 0
 
     def count(self, texts: list[str], budget: int) -> Iterator[tuple[int, int, int, int]]:
         """Tokens; whole words that the budget holds; bytes of the next word that still fit; tokens of that prefix."""
@@ -139,12 +204,10 @@ class PrefixTable:
             sums = list(accumulate(map(of, ws)))
             k = int(np.searchsorted(sums, budget, "right"))
             held = sums[k - 1] if k else 0
-            part = 0
+            part = more = 0
             if ws[k][:2] != "  " and held < budget:
-                spelled = self.split.bytes_of(ws[k])
-                fits = [i for i, c in enumerate(self.prefix_counts(ws[k]), 1) if held + c <= budget and (i == len(spelled) or spelled[i] & 0xC0 != 0x80)]
-                part = max(fits, default=0)
-                held += self.prefix_counts(ws[k])[part - 1] if part else 0
+                part, more = self.longest_within(ws[k], budget - held)
+            held += more
             yield n, k, part, held
 
 
