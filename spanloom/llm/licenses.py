@@ -34,16 +34,56 @@ SENTENCES = (
     ("cc-by-short", "licensed under cc by 4 0"),
     ("cc-by-sa-short", "licensed under cc by sa 4 0"),
     ("cc-by-nc-short", "licensed under cc by nc 4 0"),
+    ("bsd-advert", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("bsd2-short", "licensed under the bsd 2 clause license"),
+    ("bsd3-short", "licensed under the bsd 3 clause license"),
+    ("gpl-terms", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("either-2-later", "either version 2 of the license or at your option any later version"),
+    ("gpl2-short", "licensed under the gnu general public license version 2"),
+    ("lgpl-terms", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("either-2-1-later", "either version 2 1 of the license or at your option any later version"),
+    ("lgpl3-free", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-warranty", "see the gnu lesser general public license for more details"),
+    ("lgpl21-short", "licensed under the gnu lesser general public license version 2 1"),
+    ("agpl-free", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-warranty", "see the gnu affero general public license for more details"),
+    ("agpl3-short", "licensed under the gnu affero general public license version 3"),
+    ("zlib-as-is", "this software is provided as is without any express or implied warranty"),
+    ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("unlicense-free", "this is free and unencumbered software released into the public domain"),
+    ("unlicense-grant", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("bsl-grant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("epl-materials", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("cc0-dedicated", "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    ("cc0-short", "licensed under cc0 1 0"),
+    ("perl-terms", "you can redistribute it and or modify it under the same terms as perl itself"),
     ("rights-reserved", "all rights reserved"),
 )
 # Rules in order, each a licence, its kind and the sentences that must follow one another.
 RULES = (
+    ("BSD-4-Clause", "permissive", ("bsd-source", "bsd-binary", "bsd-advert", "bsd-names")),
     ("BSD-3-Clause", "permissive", ("bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", "permissive", ("bsd-source", "bsd-binary")),
     ("MIT", "permissive", ("mit-grant", "mit-notice", "mit-warranty")),
     ("ISC", "permissive", ("isc-grant", "isc-warranty")),
     ("Apache-2.0", "permissive", ("apache-header", "apache-except")),
     ("GPL-3.0-or-later", "copyleft", ("gpl-free", "gpl-warranty")),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl-free", "agpl-warranty")),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl3-free", "lgpl-warranty")),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl-terms", "either-2-1-later", "lgpl-warranty")),
+    ("GPL-2.0-or-later", "copyleft", ("gpl-terms", "either-2-later", "gpl-warranty")),
+    ("Zlib", "permissive", ("zlib-as-is", "zlib-grant")),
+    ("Unlicense", "permissive", ("unlicense-free", "unlicense-grant")),
+    ("BSL-1.0", "permissive", ("bsl-grant",)),
+    ("EPL-2.0", "copyleft", ("epl-materials",)),
+    ("CC0-1.0", "permissive", ("cc0-dedicated",)),
+    ("CC0-1.0", "permissive", ("cc0-short",)),
+    ("Artistic-1.0-Perl OR GPL-1.0-or-later", "copyleft", ("perl-terms",)),
+    ("BSD-3-Clause", "permissive", ("bsd3-short",)),
+    ("BSD-2-Clause", "permissive", ("bsd2-short",)),
+    ("LGPL-2.1-only", "copyleft", ("lgpl21-short",)),
+    ("AGPL-3.0-only", "copyleft", ("agpl3-short",)),
+    ("GPL-2.0-only", "copyleft", ("gpl2-short",)),
     ("MIT", "permissive", ("mit-short",)),
     ("MIT", "permissive", ("mit-licensed",)),
     ("Apache-2.0", "permissive", ("apache-short",)),
@@ -57,7 +97,7 @@ RULES = (
 #: Kinds from the least to the most restrictive.
 KINDS = ("permissive", "copyleft", "noncommercial", "proprietary")
 SENTENCE_END = r"[.!?;:]\s+|\n\s*\n"
-LICENCE_WORD = "licen|rights reserved|permission|redistribut|software"
+LICENCE_WORD = "licen|rights reserved|permission|redistribut|software|public domain"
 
 
 def _found(rules, seq):

@@ -49,6 +49,16 @@ TEXTS = [
     ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0", "noncommercial"),
     ("Copyright 2020 Someone. All rights reserved.", "Proprietary", "proprietary"),
     (WARRANTY, "", "none"),
+    (BSD2 + "\n3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\n   This product includes software.\n\n4. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n", "BSD-4-Clause", "permissive"),
+    ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful. See the\nGNU General Public License for more details.\n", "GPL-2.0-or-later", "copyleft"),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful.  See the GNU\nLesser General Public License for more details.\n", "LGPL-2.1-or-later", "copyleft"),
+    (" * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU Affero General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n * See the\n * GNU Affero General Public License for more details.\n", "AGPL-3.0-or-later", "copyleft"),
+    ("This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin", "Zlib", "permissive"),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.\n", "Unlicense", "permissive"),
+    ('Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license (the "Software") to use, reproduce, display, distribute,\nexecute, and transmit the Software, and to prepare derivative works of the\nSoftware, and to permit third-parties to whom the Software is furnished to\ndo so, all subject to the following:\n\nThe copyright notices', "BSL-1.0", "permissive"),
+    ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/\n\nSPDX", "EPL-2.0", "copyleft"),
+    ("To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software", "CC0-1.0", "permissive"),
+    ("This library is free software; you can redistribute it and/or modify it under the same terms as Perl itself.", "Artistic-1.0-Perl OR GPL-1.0-or-later", "copyleft"),
 ]
 
 
