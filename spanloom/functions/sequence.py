@@ -87,3 +87,33 @@ def context_and_completions(seq: Column, ref: Column, alt: Column, window: int,
         ok, other, at = reverse_complement(ok), reverse_complement(other), window - 1 - window // 2
     cut = lambda s: F.substring(s, at + 1, window)
     return F.struct(F.substring(ok, 1, at).alias("context"), cut(ok).alias("ref_completion"), cut(other).alias("alt_completion"))
+
+
+def variant_example(window: Column, alt: Column, strand: str = "+", bos: bool = False, eos: bool = False) -> Column:
+    """``input_ids`` of the reference window and ``alt_token_id``, the other base's id; on the minus strand both reverse-complemented."""
+    if strand == "-":
+        window, alt = reverse_complement(window), reverse_complement(alt)
+    base = F.instr(F.lit("acgt"), F.lower(alt)) + (1 + bos + eos)
+    return F.struct(char_tokens(window, bos, eos).alias("input_ids"), F.when(base > 1 + bos + eos, base).otherwise(1).alias("alt_token_id"))
+
+
+def special_token_counts(ids: Column, bos_id: int | None, eos_id: int | None) -> Column:
+    """How many marks an encoder put before and behind, from the ids that it gave for one letter."""
+    return F.struct(
+        (F.lit(bos_id is not None) & (F.get(ids, F.lit(0)) == F.lit(bos_id))).cast("int").alias("n_prefix"), (F.lit(eos_id is not None) & (F.element_at(ids, -1) == F.lit(eos_id))).cast("int").alias("n_suffix")
+    )
+
+
+def split_log_likelihood(log_p: Column, upper: Column) -> Column:
+    """Sums and counts over upper-case and other target letters; ``log_p[i]`` is of letter ``i + 1`` of the mask ``upper``."""
+    pairs = F.zip_with(log_p, F.slice(upper, 2, F.greatest(F.size(upper) - 1, F.lit(0))), lambda p, u: F.struct(p.cast("double").alias("p"), u.alias("u")))
+    total = lambda own: F.aggregate(pairs, F.lit(0.0), lambda s, x: s + F.when(x["u"] == F.lit(own), x["p"]).otherwise(0.0))
+    count = lambda own: F.size(F.filter(pairs, lambda x: x["u"] == F.lit(own))).cast("long")
+    return F.struct(total(True).alias("ll_upper"), total(False).alias("ll_lower"), count(True).alias("n_upper"), count(False).alias("n_lower"))
+
+
+def reference_log_probability(log_likelihoods: Column, ref: Column) -> Column:
+    """Log probability of the reference base (0 to 3) among the four sequences that differ in it."""
+    from .columns import log_softmax
+
+    return F.get(log_softmax(log_likelihoods), ref)

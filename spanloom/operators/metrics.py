@@ -88,10 +88,14 @@ def ranking_metrics(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return out
 
 
-def precision_recall(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Precision and recall at each distinct score as threshold."""
+def precision_recall(df: DataFrame, by: Sequence[str] = (), closed: bool = False) -> DataFrame:
+    """Precision and recall at each distinct score as threshold; ``closed`` adds the end of the curve, precision 1 and recall 0, with a null threshold."""
     s = _steps(df, by)
-    return s.select(*by, F.col("score").alias("threshold"), (F.col("tp") / F.col("k")).alias("precision"), (F.col("tp") / F.nullif(F.col("all_p"), F.lit(0.0))).alias("recall"))
+    curve = s.select(*by, F.col("score").alias("threshold"), (F.col("tp") / F.col("k")).alias("precision"), (F.col("tp") / F.nullif(F.col("all_p"), F.lit(0.0))).alias("recall"))
+    if not closed:
+        return curve
+    end = curve.select(*by).distinct() if by else curve.limit(1)
+    return curve.union(end.select(*by, F.lit(None).cast(curve.schema["threshold"].dataType), F.lit(1.0), F.lit(0.0)))
 
 
 def sign_test(wins: int, losses: int) -> float:
@@ -118,16 +122,20 @@ def average_precision(label: np.ndarray, score: np.ndarray, weight: np.ndarray |
 def bootstrap_auprc(df: DataFrame, by: Sequence[str], draws: int = 1000, seed: int = 0) -> DataFrame:
     """Average precision and its error from resampling whole match groups with replacement.
 
-    Each draw is its own Spark group: a row gets in each draw the Poisson(1) weight of its match group, from a hash of seed, draw and
-    group, so draws are independent of partitions and run apart. A draw without both classes counts for nothing.
+    Groups are numbered within ``by``; each draw takes as many numbers as there are groups, from hashes of seed, draw and turn, so draws
+    don't depend on partitions. What a group has at each score is counted first, and weighed by how often a draw took the group. Draw 0
+    has every group once; a draw without both classes counts for nothing.
     """
-    draw = F.explode(F.sequence(F.lit(0), F.lit(draws)))
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", "match_group"), F.lit(1 << 40)) / float(1 << 40)
-    # Cumulated Poisson(1) probabilities.
-    poisson = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
-    weight = F.when(F.col("draw") == 0, 1.0).otherwise(sum(((u >= p).cast("double") for p in poisson), F.lit(0.0)))
-    rows = reject_nan(df).select(*by, "match_group", "label", "score", draw.alias("draw")).withColumn("w", weight).where("w > 0")
-    n = rows.groupBy(*by, "draw", "score").agg(F.sum(F.col("w") * F.col("label").cast("int")).alias("p"), F.sum("w").alias("n"))
+    y = F.col("label").cast("int")
+    cells = reject_nan(df).groupBy(*by, "match_group", "score").agg(F.sum(y).alias("p"), F.count("*").alias("n"))
+    groups = df.select(*by, "match_group").distinct().withColumn("number", F.row_number().over(Window.partitionBy(*by).orderBy("match_group")) - 1)
+    size = groups.groupBy(*by).agg(F.count("*").alias("size"))
+    turns = size.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("size"))))
+    took = turns.select(*by, "draw", F.pmod(F.xxhash64(F.lit(seed), "draw", "turn"), F.col("size")).cast("int").alias("number")).groupBy(*by, "draw", "number").agg(F.count("*").alias("w"))
+    whole = groups.select(*by, "number", F.lit(0).alias("draw"), F.lit(1).cast("long").alias("w"))
+    drawn = took.select(*by, "number", "draw", "w").union(whole).join(groups, [*by, "number"])
+    rows = drawn.join(cells, [*by, "match_group"])
+    n = rows.groupBy(*by, "draw", "score").agg(F.sum(F.col("w") * F.col("p")).cast("double").alias("p"), F.sum(F.col("w") * F.col("n")).cast("double").alias("n"))
     down = Window.partitionBy(*by, "draw").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     steps = n.select(*by, "draw", "p", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("k"))
     value = F.when((F.max("tp") > 0) & (F.max("tp") < F.max("k")), F.sum(F.col("p") * F.col("tp") / F.col("k")) / F.nullif(F.max("tp"), F.lit(0.0)))
@@ -135,7 +143,7 @@ def bootstrap_auprc(df: DataFrame, by: Sequence[str], draws: int = 1000, seed: i
     return per.groupBy(*by).agg(F.max(F.when(F.col("draw") == 0, F.col("v"))).alias("value"), F.stddev_samp(F.when(F.col("draw") > 0, F.col("v"))).alias("se"), F.count(F.when(F.col("draw") > 0, F.col("v"))).alias("n_draws"))
 
 
-def auprc_metrics(df: DataFrame, n_min: int = 1, draws: int = 200, seed: int = 0) -> DataFrame:
+def auprc_metrics(df: DataFrame, n_min: int = 30, draws: int = 1000, seed: int = 0) -> DataFrame:
     """Like ``pairwise_metrics`` for average precision with bootstrap errors; ``n_groups`` counts match groups."""
     rolled = with_rollups(df)
     by = ["score_type", "subset"]

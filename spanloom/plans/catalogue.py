@@ -512,7 +512,7 @@ def matched(v) -> DataFrame:
 
 @query()
 def knn_match(v):
-    """Greedy over whole strata, which SQL doesn't express; tested against a plain loop."""
+    """Greedy over whole strata, which SQL doesn't express; tests hold it against a plain loop."""
     return matched(v).select("row_id", "chrom", "label", "match_group")
 
 
@@ -538,16 +538,16 @@ def ranking_metrics(v):
     return metrics.ranking_metrics(v("scored"), ["subset"]).select("subset", r6("auprc"), r6("auroc"), "n_pos", "n_neg")
 
 
-@query(f"WITH {_STEPS} SELECT subset, score AS threshold, round(tp / k, 6) AS precision, round(tp / pp, 6) AS recall FROM st")
+@query(f"WITH {_STEPS} SELECT subset, score AS threshold, round(tp / k, 6) AS precision, round(tp / nullif(pp, 0), 6) AS recall FROM st UNION ALL SELECT DISTINCT subset, NULL, CAST(1 AS DOUBLE), CAST(0 AS DOUBLE) FROM st")
 def precision_recall(v):
-    return metrics.precision_recall(v("scored"), ["subset"]).select("subset", "threshold", r6("precision"), r6("recall"))
+    return metrics.precision_recall(v("scored"), ["subset"], closed=True).select("subset", "threshold", r6("precision"), r6("recall"))
 
 
 @query()
 def bootstrap_auprc(v):
-    """Resampled, so SQL has no equal; tested against the same draws in NumPy."""
-    rows = v("scored").withColumn("match_group", F.col("id") % 40).withColumn("score_type", F.lit("n_chars"))
-    return metrics.auprc_metrics(rows, draws=50).select("score_type", "subset", r6("value"), r6("se"), "n_groups")
+    """Resampled, so SQL has no equal; tests hold the value and its error against NumPy."""
+    rows = v("scored").withColumn("match_group", F.floor(F.col("id") / 3)).withColumn("score_type", F.lit("n_chars"))
+    return metrics.auprc_metrics(rows).select("score_type", "subset", r6("value"), r6("se"), "n_groups")
 
 
 @query("SELECT match_group AS variant_id, round(avg(score), 6) AS score FROM pairs GROUP BY match_group")

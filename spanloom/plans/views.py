@@ -55,7 +55,9 @@ def sql_for_duckdb(sql: str) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a DataFrame, bounds renamed to ``start`` and ``end``."""
+    """A view, or a table, as a DataFrame, a view's bounds renamed to ``start`` and ``end``."""
+    if name not in VIEWS:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "events", "documents", "labels", "part") if re.search(rf"\b{t}\b", sql)}
     for t in tables:

@@ -56,10 +56,19 @@ def read_vcf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return one.where(F.coalesce(F.try_element_at("info", F.lit("CLNVC")) == "single_nucleotide_variant", F.lit(True)))
 
 
-def read_table(spark: SparkSession, path: str | list[str], columns: dict[str, str], sep: str = "\t", nulls: str = "NA") -> DataFrame:
-    """A table with a header: only the named columns, cast to the given types (null where a value doesn't fit), with a null token."""
+def read_table(spark: SparkSession, path: str | list[str], columns: dict[str, str], sep: str = "\t", nulls: str = "NA", rename: dict[str, str] | None = None) -> DataFrame:
+    """A table with a header: only the named columns, cast to the given types (null where a value doesn't fit), with a null token, and renamed."""
     raw = spark.read.options(header="true", sep=sep, nullValue=nulls, enforceSchema="false").csv(path)
-    return raw.select(*[F.col(c).try_cast(t).alias(c) for c, t in columns.items()])
+    return raw.select(*[F.col(c).try_cast(t).alias((rename or {}).get(c, c)) for c, t in columns.items()])
+
+
+def read_sheets(spark: SparkSession, paths: list[str], columns: dict[str, str]) -> DataFrame:
+    """The sheets of a workbook, saved as CSV in their order, together; the first one is a title page and left out."""
+    out = None
+    for path in paths[1:]:
+        own = read_table(spark, path, columns, ",")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def read_locus_table(spark: SparkSession, path: str | list[str], columns: Sequence[str]) -> DataFrame:
@@ -102,13 +111,13 @@ def read_taxonomy(spark: SparkSession, path: str | list[str], ranks: Sequence[st
 
 def read_newick_leaves(spark: SparkSession, path: str) -> DataFrame:
     """Leaf names of a tree; names of inner nodes, which follow a bracket, are left out."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.regexp_extract_all("value", F.lit(r"[(,]\s*([^(),:;\s]+)"), F.lit(1))).alias("leaf"))
 
 
 def read_after_header(spark: SparkSession, path: str, lines: int, columns: Sequence[str]) -> DataFrame:
-    """A TSV with free text in its first ``lines`` lines, which are told by their place in the file."""
-    rows = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    """A small TSV (each file is one row at first) with free text in its first ``lines`` lines, which are told by their place in the file."""
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
     part = F.split("line", "\t")
     return rows.where((F.col("at") >= lines) & (F.col("line") != "")).select(*[F.get(part, F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
@@ -121,3 +130,35 @@ def split_id(df: DataFrame, column: str = "id") -> DataFrame:
     """``chrom:start-end`` taken apart at its last colon."""
     place = F.substring_index(column, ":", -1)
     return df.withColumns({"chrom": group_one(F.col(column), r"^(.*):[^:]*$"), "start": F.split(place, "-")[0].cast("long"), "end": group_one(place, r"-(\d+)").cast("long")})
+
+
+def read_getfasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``name, strand, seq`` of records of two lines each, ``>name(strand)`` and the sequence; a record of another shape fails the query."""
+    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    form = r"^(.*)\(([+-])\)\r?\n([^\n]+)\n?$"
+    good = F.when(F.col("value").rlike(form), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("malformed record: "), F.substring("value", 1, 60))).cast("string"))
+    return records.select(*[F.regexp_extract(good, form, i).alias(n) for i, n in enumerate(("name", "strand", "seq"), 1)])
+
+
+def read_parquet_intervals(spark: SparkSession, path: str | list[str], merged: bool = True) -> DataFrame:
+    rows = spark.read.parquet(path if isinstance(path, str) else path[0], *([] if isinstance(path, str) else path[1:])).select("chrom", "start", "end")
+    return intervals.merge(rows) if merged else rows
+
+
+def parquet_rows(spark: SparkSession, path: str) -> int:
+    """Rows of a Parquet table; Spark reads only the files' footers for it."""
+    return spark.read.parquet(path).count()
+
+
+def read_registry(spark: SparkSession, path: str, families: Sequence[str]) -> DataFrame:
+    """A small registry of methods, a JSON list of objects with ``id`` and ``family``; repeated ids and unknown families are errors."""
+    rows = spark.read.option("multiLine", "true").json(path)
+    bad = rows.where(~F.coalesce(F.col("family").isin(*families), F.lit(False))).select("id").union(rows.groupBy("id").count().where("count > 1").select("id")).limit(20).collect()
+    if bad:
+        raise ValueError(f"repeated ids or unknown families: {sorted(str(r[0]) for r in bad)}")
+    return rows
+
+
+def read_composition(spark: SparkSession, path: str, labels: Sequence[str]) -> DataFrame:
+    """``label, n, fraction`` rows of the known labels."""
+    return read_table(spark, path, {"label": "string", "n": "long", "fraction": "double"}).where(F.col("label").isin(*labels))
