@@ -1 +1,22 @@
-"""See the package docstring."""
+"""Structured Streaming forms of operators whose state is small: signal histograms and points annotated by fixed intervals."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators import interval_joins, signal
+
+
+def histogram_stream(track: DataFrame, low: float, high: float, n_bins: int, table: str, checkpoint: str) -> StreamingQuery:
+    """Keep the histogram of a streamed track (``chrom, start, end, value``) up to date as the in-memory table ``table``; the state is one row a bin.
+
+    Start it again with the same ``checkpoint`` folder to go on after a failure."""
+    counts = signal.histogram(track, low, high, n_bins)
+    return counts.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).start()
+
+
+def annotate_stream(points: DataFrame, targets: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append to Parquet the pairs of streamed intervals and the fixed ``targets`` that they overlap: an equi-join of bins without state."""
+    pairs = interval_joins.overlap_join(points, targets)
+    return pairs.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
