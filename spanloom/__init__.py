@@ -6,6 +6,6 @@ Sub-packages
 ``functions``  column expressions (sequence, binning, statistics)
 ``operators``  interval algebra, joins, aggregations, sampling, metrics
 ``plans``      multi-step recipes and the demo views over the test tables
-``streaming``  Structured Streaming forms of the mergeable aggregates
+``streaming``  Structured Streaming forms of operators with small state
 ``llm``        training-data operators; nothing else imports it
 """
