@@ -7,28 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def nearest_rank(df: DataFrame, column: str, q: float) -> float | None:
-    """The value at the nearest rank ``round(q * (n - 1))`` (halves up) of the sorted non-null values.
-
-    Values are counted first; the place is then found in running sums over coarse ranges and only the one range that holds it is sorted."""
-    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    n = values.count()
-    if not n:
-        return None
-    at = int(q * (n - 1) + 0.5)
-    cuts = sorted(set(values.approxQuantile("v", [i / 64 for i in range(65)], 0.005)))
-    place = F.lit(0)
-    for c in cuts:
-        place = place + (F.col("v") >= c).cast("int")
-    before = 0
-    for r in sorted(values.groupBy(place.alias("p")).count().collect()):
-        if before + r["count"] > at:
-            inside = values.where(place == r["p"]).groupBy("v").count()
-            line = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-            return inside.select("v", F.sum("count").over(line).alias("upto")).where(F.col("upto") > at - before).agg(F.min("v")).first()[0]
-        before += r["count"]
-    return None
+    """The value at the nearest rank ``round(q * (n - 1))`` (halves up) of the sorted non-null values; None where there is none."""
+    return ranks.quantiles(df, [], column, [q], nearest=True).first()["quantiles"][0]
 
 
 def keep_first(df: DataFrame, key: Sequence[str], *order: Column) -> DataFrame:
@@ -113,7 +97,7 @@ def summary(df: DataFrame, column: str) -> DataFrame:
 def quantile_buckets(df: DataFrame, group: Sequence[str], column: str, n: int, where: Column | None = None) -> DataFrame:
     """Bucket 0 .. n-1 of each row by its group's quantile edges (of the rows that fulfil ``where``); equal values share a bucket."""
     base = df if where is None else df.where(where)
-    edges = base.groupBy(*group).agg(F.percentile(F.col(column), F.array(*[F.lit(i / n) for i in range(1, n)])).alias("_edges"))
+    edges = ranks.quantiles(base, group, column, [i / n for i in range(1, n)]).withColumnRenamed("quantiles", "_edges")
     out = df.join(edges, list(group), "left")
     return out.withColumn("bucket", F.aggregate("_edges", F.lit(0), lambda s, e: s + (F.col(column) > e).cast("int"))).drop("_edges")
 

@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import metrics, ranks
 
 
 def robust_scales(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Median and interquartile range (1 where it is 0) of each feature, in one pass."""
-    row = df.agg(*[F.percentile(F.col(f), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f) for f in features]).first()
-    return {f: (row[f][1], (row[f][2] - row[f][0]) or 1.0) for f in features}
+    """Median and interquartile range (1 where it is 0) of each feature."""
+    rows = ranks.quantiles(metrics.unpivot_scores(df, [], features), ["score_type"], "score", [0.25, 0.5, 0.75]).collect()
+    at = {r["score_type"]: r["quantiles"] for r in rows}
+    return {f: (at[f][1], (at[f][2] - at[f][0]) or 1.0) for f in features}
 
 
 def match_features(pos: DataFrame, neg: DataFrame, key: Sequence[str], features: Sequence[str], strata: Sequence[str], k: int = 1) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 GLOBAL, MACRO = "_global_", "_macro_avg_"
 
 
@@ -59,9 +61,9 @@ def _steps(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per distinct score the positives and rows at it and above it."""
     y = F.col("label").cast("int")
     n = reject_nan(df).groupBy(*by, "score").agg(F.sum(y).cast("double").alias("p"), F.count("*").cast("double").alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return n.select(*by, "score", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("k"), F.sum("p").over(whole).alias("all_p"), F.sum("n").over(whole).alias("all_n"))
+    r = ranks.running_sums(df, n, by, "score", ["p", "n"])
+    tp, k = F.col("p_all") - F.col("p_upto") + F.col("p"), F.col("n_all") - F.col("n_upto") + F.col("n")
+    return r.select(*by, "score", "p", "n", tp.alias("tp"), k.alias("k"), F.col("p_all").alias("all_p"), F.col("n_all").alias("all_n"))
 
 
 def ranking_metrics(df: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that one task may sort.
+SORTED = 100_000
 # Chromosomes whose alternation makes the split.
 CHROMOSOMES = [*map(str, range(1, 23)), "X", "Y"]
 
@@ -17,8 +19,26 @@ def draw(seed: int, *key: str) -> Column:
 
 
 def sample(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
-    """``n`` rows without replacement: those with the smallest draws."""
-    return df.orderBy(draw(seed, *key), *key).limit(n)
+    """``n`` rows without replacement: those with the smallest draws, ``key`` telling rows apart.
+
+    The last draw is bracketed by counts of draw prefixes (16^3 a pass) until at most ``SORTED`` rows share its prefix; rows before that
+    prefix are kept by a filter, and only those with it are sorted."""
+    marked = df.withColumn("_draw", draw(seed, *key))
+    prefix, left = "", max(n, 0)
+    while len(prefix) < 30:
+        inside = marked.where(F.col("_draw").startswith(prefix)).groupBy(F.substring("_draw", len(prefix) + 1, 3).alias("p")).count()
+        share = 0
+        for p, share in sorted(map(tuple, inside.collect())):
+            if share >= left:
+                prefix += p
+                break
+            left -= share
+        else:
+            return df  # fewer than n rows
+        if share <= SORTED:
+            break
+    rest = marked.where(F.col("_draw").startswith(prefix)).orderBy("_draw", *key).limit(left)
+    return marked.where(F.col("_draw") < prefix).unionByName(rest).drop("_draw")
 
 
 def cap_groups(df: DataFrame, group: Sequence[str], most: int, seed: int, *key: str, salts: int = 16) -> DataFrame:
@@ -51,14 +71,22 @@ def shard_bounds(total: int, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def with_shard(df: DataFrame, n: int, seed: int, *key: str, prefix_digits: int = 3) -> DataFrame:
+def with_shard(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     """Shuffle and cut into ``n`` shards of even size: ``shard`` and ``place``, the row's 0-based place in the whole order.
 
-    Places come from ranks among draws with a common prefix and the counts of the prefixes before it, so no task sorts the whole table."""
-    marked = df.withColumn("_draw", draw(seed, *key)).withColumn("_prefix", F.substring("_draw", 1, prefix_digits))
-    per = marked.groupBy("_prefix").agg(F.count("*").alias("_n"))
-    line = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select("_prefix", F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    Places come from ranks among draws with a common prefix and the counts of the prefixes before it. Prefixes are as long as it takes for
+    about ``SORTED`` rows each, and are counted within their first three digits, so no task sorts the whole table or all prefixes."""
+    digits = 3
+    total = df.count()
+    while 16**digits * SORTED < total and digits < 32:
+        digits += 1
+    marked = df.withColumn("_draw", draw(seed, *key)).withColumn("_prefix", F.substring("_draw", 1, digits))
+    per = marked.groupBy("_prefix").agg(F.count("*").alias("_n")).withColumn("_head", F.substring("_prefix", 1, 3))
+    line = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    heads = per.groupBy("_head").agg(F.sum("_n").alias("_n"))
+    heads = heads.select("_head", F.coalesce(F.sum("_n").over(line(Window.orderBy("_head"))), F.lit(0)).alias("_skip"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    inner = F.coalesce(F.sum("_n").over(line(Window.partitionBy("_head").orderBy("_prefix"))), F.lit(0))
+    offsets = per.withColumn("_inner", inner).join(F.broadcast(heads), "_head").select("_prefix", (F.col("_skip") + F.col("_inner")).alias("_before"), "_total")
     placed = marked.join(offsets, "_prefix").withColumn("place", F.col("_before") + F.row_number().over(Window.partitionBy("_prefix").orderBy("_draw", *key)) - 1)
     base, more = F.floor(F.col("_total") / n), F.col("_total") % n
     long_part = more * (base + 1)

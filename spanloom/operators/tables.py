@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 from .sampling import draw, sample
 
 
@@ -22,8 +23,7 @@ def summary_with_quantiles(df: DataFrame, group: str, value: str, quantiles: Seq
 
     Quantiles come from counts by distinct value, so equal values of a hot group are one row."""
     counts = df.groupBy(group, value).agg(F.count("*").alias("c"))
-    below = F.sum("c").over(Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumns({"upto": below, "n": F.sum("c").over(Window.partitionBy(group))})
+    ranked = ranks.running_sums(df, counts, [group], value, ["c"]).withColumnsRenamed({"c_upto": "upto", "c_all": "n"})
     place = lambda q: F.floor(F.lit(q) * (F.col("n") - 1) + 0.5) + 1
     picks = [F.min(F.when(F.col("upto") >= place(q), F.col(value))).alias(f"p{round(q * 100)}") for q in quantiles]
     n, total = F.sum("c"), F.sum(F.col("c") * F.col(value))
