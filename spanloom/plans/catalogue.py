@@ -394,9 +394,9 @@ def calibrated_threshold(v):
 
 
 @query("""WITH a AS (SELECT chrom, s AS pos, strand FROM genes), o AS (SELECT chrom, k AS "offset", pos + CASE WHEN strand = '-' THEN -k ELSE k END AS p FROM a CROSS JOIN (SELECT unnest(range(-20, 21)) AS k) AS ks WHERE k <> 0)
-SELECT CAST("offset" AS INTEGER) AS "offset", count(*) AS n, round(sum(coalesce(t.value, 0)) / count(*), 6) AS mean FROM o LEFT JOIN signal AS t ON o.chrom = t.chrom AND o.p >= t.s AND o.p < t.e WHERE p >= 0 GROUP BY 1""")
+SELECT CAST("offset" AS INTEGER) AS "offset", count(*) AS n, round(sum(coalesce(t.value, 0)) / count(*), 9) AS mean FROM o LEFT JOIN signal AS t ON o.chrom = t.chrom AND o.p >= t.s AND o.p < t.e WHERE p >= 0 GROUP BY 1""")
 def anchor_profile(v):
-    return signal.anchor_profile(v("genes").select("chrom", F.col("start").alias("pos"), "strand"), v("signal"), 20).select("offset", "n", r6("mean"))
+    return signal.anchor_profile(v("genes").select("chrom", F.col("start").alias("pos"), "strand"), v("signal"), 20).select("offset", "n", F.round("mean", 9).alias("mean"))
 
 
 @query("WITH m AS (SELECT *, min(pos) OVER (PARTITION BY chrom) AS low, max(pos) OVER (PARTITION BY chrom) AS high FROM variants) SELECT row_id, CAST(CASE WHEN high = low THEN 0 ELSE least(4, floor((pos - low) * 5 / CAST(high - low AS DOUBLE))) END AS BIGINT) AS bucket FROM m")
