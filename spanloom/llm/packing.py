@@ -23,12 +23,37 @@ from .common import slices
 
 #: Fixed value: how text splits before the merges of the byte-level vocabulary that is read.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The settings of a tokenizer file that this encoder follows. A file that says otherwise is an error.
+SETTINGS = {
+    "normalizer": {None},
+    "pre_tokenizer.type": {"ByteLevel"},
+    "pre_tokenizer.add_prefix_space": {False},
+    "pre_tokenizer.use_regex": {True},
+    "model.type": {"BPE"},
+    "model.dropout": {None},
+    "model.continuing_subword_prefix": {None, ""},
+    "model.end_of_word_suffix": {None, ""},
+    "model.ignore_merges": {None, False},
+}
 #: Runs of text kept in a worker's memory with their ids; all are forgotten when there are more.
 CACHE_RUNS = 200_000
 #: Where a blank isn't the only white space between two runs, or a text ends on one, the text is encoded in one go.
 _UNEVEN = re.compile(r" (?:\s|\Z)")
 
 
+def require_settings(whole: dict) -> None:
+    """Raise ``ValueError`` where a parsed tokenizer file asks for another split, normal form or merge rule than ``ByteEncoder`` has."""
+    for path, fit in SETTINGS.items():
+        value = whole
+        for name in path.split("."):
+            value = value.get(name) if isinstance(value, dict) else None
+        if isinstance(value, dict | list) or value not in fit:
+            raise ValueError(f"tokenizer file: {path} is {value!r}")
+    for token in whole.get("added_tokens", []):
+        if any(token.get(flag) for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"tokenizer file: added token {token['content']!r} isn't matched as it stands")
+
+
 class ByteEncoder:
     """Ids of whole texts, by looking up runs that begin at a blank; merges never reach over those."""
 
@@ -115,7 +140,7 @@ class Bins:
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, last_split: int = 32) -> DataFrame:
     """Encode every whole text, end it with ``end_id`` and pack the pieces into sequences of at most ``capacity`` tokens.
 
-    ``docs``: ``doc_id``, ``text``; other columns are not read. ``path``: a tokenizers JSON file of a byte-level BPE.
+    ``docs``: ``doc_id``, ``text``; other columns are not read. ``path``: a tokenizers JSON file of a byte-level BPE; one with other ``SETTINGS`` is an error.
     Returns one row a piece: ``doc_id``, ``start`` (ids of its document before it), ``length``, ``ids`` (binary, little-endian
     unsigned 32-bit), ``doc_tokens`` (with ``end_id``), ``sequence_id`` and ``offset`` there. A sequence shorter than
     ``capacity`` is padded to it unless its length is a power of two; padding isn't a row. Every row is a document: a null
@@ -126,7 +151,9 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int =
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     with open(path, encoding="utf-8") as source:
-        shared = docs.sparkSession.sparkContext.broadcast(source.read())
+        file = source.read()
+    require_settings(json.loads(file))
+    shared = docs.sparkSession.sparkContext.broadcast(file)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
