@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,27 @@ def slices(texts: Sequence[str], most: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield a, len(texts)
 
 
+def utf8_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts one after another, without a copy, and where each begins (one more at the end); null is empty."""
+    texts = texts.fill_null("") if texts.null_count else texts
+    wide = pa.types.is_large_string(texts.type)
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, at, data = texts.buffers()
+    offsets = np.frombuffer(at, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def runs_of(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs ``[a, b)`` of consecutive texts with at most ``most`` bytes together; a longer text stands alone."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = max(int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1, a + 1)
+        yield a, min(b, n)
+        a = min(b, n)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Avalanche of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, langid, licenses, neardup, packing, quality, tokencount, topk
+from . import bpe, chat, divergence, fingerprints, langid, licenses, neardup, packing, quality, tokencount, topk
 from .common import crc_bucket, table
 
 
@@ -129,6 +129,10 @@ FROM u LEFT JOIN l USING (conv_id, turn) FULL JOIN r ON u.conv_id = r.conv_id AN
 """
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -147,5 +151,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_quality_ranking": op10_quality_ranking,
+    "op11_source_divergence": op11_source_divergence,
 }
-ORACLE_SQL: dict[str, str] = {"op1_topk_search": OP1_SQL, "op2_tool_call_linking": OP2_SQL, "op9_license_scan": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": OP1_SQL, "op2_tool_call_linking": OP2_SQL, "op9_license_scan": licenses.oracle_sql(), "op11_source_divergence": divergence.ORACLE_SQL}
