@@ -100,29 +100,18 @@ def _powers_of(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def shingle_hashes(texts: Sequence[str], words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the word shingles of each text, in text order, and the index where each text's begin (one more at the end).
-
-    Words are the maximal runs of letters, digits and non-ASCII characters of the lower-case text. A text of fewer than
-    ``words`` words has one shingle of all its words; one without words has none.
-    """
-    if words > SHINGLE_WORDS:
-        raise ValueError(f"at most {SHINGLE_WORDS} words")
-    coded = [t.lower().encode("utf-8", "replace") for t in texts]
-    first = np.zeros(len(coded) + 1, np.int64)
-    np.cumsum([len(c) + 1 for c in coded], out=first[1:])
-    data = np.frombuffer(b"\n".join(coded) + b"\n", np.uint8) if coded else np.zeros(0, np.uint8)
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = _IN_WORD[data]
-    edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the slices ``[start, end)`` of ``data``."""
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_VALUE[data] * _powers_of(_STEP, len(data)), out=run[1:])
-    word = mix64((run[end] - run[start]) * _powers_of(_STEP_BACK, len(data))[start] + (end - start).astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
-    at = np.searchsorted(start, first)  # the first word of each text
+    return mix64((run[end] - run[start]) * _powers_of(_STEP_BACK, len(data))[start] + (end - start).astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
+
+
+def word_shingles(word: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``words`` words of each text and where each text's begin; ``word``: hashes of all words, ``at``: each text's first."""
     count = np.diff(at)
     n = np.where(count >= words, count - words + 1, np.minimum(count, 1))
-    begin = np.zeros(len(coded) + 1, np.int64)
+    begin = np.zeros(len(at), np.int64)
     np.cumsum(n, out=begin[1:])
     out = np.empty(begin[-1], np.uint64)
     if len(word) >= words:
@@ -143,6 +132,27 @@ def shingle_hashes(texts: Sequence[str], words: int = SHINGLE_WORDS) -> tuple[np
     return out, begin
 
 
+def shingle_hashes(texts: Sequence[str], words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the word shingles of each text, in text order, and the index where each text's begin (one more at the end).
+
+    Words are the maximal runs of letters, digits and non-ASCII characters of the lower-case text. A text of fewer than
+    ``words`` words has one shingle of all its words; one without words has none.
+    """
+    if words > SHINGLE_WORDS:
+        raise ValueError(f"at most {SHINGLE_WORDS} words")
+    coded = [t.lower().encode("utf-8", "replace") for t in texts]
+    first = np.zeros(len(coded) + 1, np.int64)
+    np.cumsum([len(c) + 1 for c in coded], out=first[1:])
+    data = np.frombuffer(b"\n".join(coded) + b"\n", np.uint8) if coded else np.zeros(0, np.uint8)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = _IN_WORD[data]
+    edge = np.diff(inside)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    word = word_hashes(data, start, end)
+    at = np.searchsorted(start, first)  # the first word of each text
+    return word_shingles(word, at, words)
+
+
 def hashed(texts: Sequence[str], words: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
     """Each text's shingle hashes, as ``shingle_hashes`` but in slices of bounded size."""
     for a, b in slices(texts, HASH_BYTES):

@@ -34,9 +34,9 @@ BLOCK_CELLS = 100_000
 SOURCE_ROWS = 512
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``data`` with its letters folded and all else 0, and where the terms of the texts that ``offsets`` delimit start and end."""
-    folded = _FOLDED[data]
+def tokens(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _FOLDED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``data`` by the table ``fold``, which gives 0 for what belongs to no term, and where the terms of the texts that ``offsets`` delimit start and end."""
+    folded = fold[data]
     inside = folded != 0
     cut = np.zeros(len(data) + 1, bool)  # whether a text starts here
     cut[offsets] = True
@@ -72,11 +72,11 @@ def group_slices(folded: np.ndarray, start: np.ndarray, end: np.ndarray, digest=
     return group, first
 
 
-def count_run(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+def count_run(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray, fold: np.ndarray = _FOLDED) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Occurrences and documents of each term for each owner: (owner, terms, term of each cell, occurrences, documents).
 
     ``owner``: a small number for each text."""
-    folded, start, end = tokens(data, offsets)
+    folded, start, end = tokens(data, offsets, fold)
     if not len(start):
         none = np.zeros(0, np.int64)
         return none, [], none, none, none

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, divergence, fingerprints, langid, licenses, neardup, packing, quality, tokencount, topk
+from . import bpe, chat, divergence, fingerprints, langid, licenses, neardup, packing, quality, setjoin, tokencount, topk, treaps
 from .common import crc_bucket, table
 
 
@@ -133,6 +133,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = neardup.Scratch(spark).keep(treaps.build_index(table(spark, sf_dir, "documents")))
+    return treaps.search(index, table(spark, sf_dir, "benchmark"), k=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -152,5 +161,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_quality_ranking": op10_quality_ranking,
     "op11_source_divergence": op11_source_divergence,
+    "op12_set_join": op12_set_join,
+    "op13_lexical_search": op13_lexical_search,
 }
-ORACLE_SQL: dict[str, str] = {"op1_topk_search": OP1_SQL, "op2_tool_call_linking": OP2_SQL, "op9_license_scan": licenses.oracle_sql(), "op11_source_divergence": divergence.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": OP1_SQL, "op2_tool_call_linking": OP2_SQL, "op9_license_scan": licenses.oracle_sql(), "op11_source_divergence": divergence.ORACLE_SQL, "op12_set_join": setjoin.ORACLE_SQL, "op13_lexical_search": treaps.ORACLE_SQL}
