@@ -29,7 +29,7 @@ _FOLDED = np.array([b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b
 #: Bytes of text that are counted as one matrix; a longer text is one by itself.
 RUN_BYTES = 4 << 20
 #: Cells (term and source) of one block, about.
-BLOCK_CELLS = 100_000
+BLOCK_CELLS = 8192
 #: Sources whose rows one task compares with all sources of the language.
 SOURCE_ROWS = 512
 
