@@ -49,6 +49,17 @@ TEXTS = [
     ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0", "noncommercial"),
     ("Copyright 2020 Someone. All rights reserved.", "Proprietary", "proprietary"),
     (WARRANTY, "", "none"),
+    ("Copyright (c) 1990, The Regents.\nAll rights reserved.\n\n" + BSD2 + "\n3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n", "BSD-3-Clause", "permissive"),
+    ("Copyright 2008, Some Inc. All rights reserved.\n\n" + BSD2 + "\n   * Neither the name of Some Inc. nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n", "BSD-3-Clause", "permissive"),
+    ("# Title\n\nThis project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details.\n", "MIT", "permissive"),
+    ("Code is licensed under the Apache License 2.0.", "Apache-2.0", "permissive"),
+    ("Distributed under the terms of the GNU General Public License v3.0.", "GPL-3.0-only", "copyleft"),
+    ("// SPDX-License-Identifier: GPL-2.0-or-later\n#include <x.h>\n", "GPL-2.0-or-later", "copyleft"),
+    ("/* SPDX-License-Identifier: MIT */\nint x;", "MIT", "permissive"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n", "Apache-2.0", "permissive"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n", "GPL-3.0-only", "copyleft"),
+    ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n", "MPL-2.0", "copyleft"),
+    ("The sea under the ice. Materials and contributors were many.", "", "none"),
     (BSD2 + "\n3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\n   This product includes software.\n\n4. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n", "BSD-4-Clause", "permissive"),
     ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful. See the\nGNU General Public License for more details.\n", "GPL-2.0-or-later", "copyleft"),
     ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful.  See the GNU\nLesser General Public License for more details.\n", "LGPL-2.1-or-later", "copyleft"),
