@@ -129,7 +129,7 @@ def _away_from(p: np.ndarray, points: np.ndarray) -> np.ndarray:
     return points * k - run[k] + (run[-1] - run[k]) - points * (len(p) - k)
 
 
-def _block(scale: int, smoothing: int, top: int):
+def _block(scale: int, smoothing: int, top: int, source_rows: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         is_head = pc.is_null(table["term"])
@@ -160,7 +160,7 @@ def _block(scale: int, smoothing: int, top: int):
         out: dict[str, list] = {"source": [], "part": [], "item": [], "value": []}
         lang, _, chunk = (k.as_py() for k in key)
         name = names.to_pylist()
-        for g in range(chunk * SOURCE_ROWS, min((chunk + 1) * SOURCE_ROWS, len(name))):
+        for g in range(chunk * source_rows, min((chunk + 1) * source_rows, len(name))):
             mine = slice(ptr[g], ptr[g + 1])
             row = np.full(len(terms), absent[g])
             row[term[mine]] = p[mine]
@@ -224,7 +224,7 @@ def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, smoothing: in
     heads = groups.drop("cells").join(langs, "lang").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     heads = heads.select("lang", "block", chunk.alias("chunk"), "source", "n", "v", "lang_n")
     dealt = terms.unionByName(heads, allowMissingColumns=True)
-    found = dealt.groupBy("lang", "block", "chunk").applyInArrow(_block(scale, smoothing, top), "lang string, source string, part string, item string, value long")
+    found = dealt.groupBy("lang", "block", "chunk").applyInArrow(_block(scale, smoothing, top, SOURCE_ROWS), "lang string, source string, part string, item string, value long")
     found = scratch.keep(found)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")).withColumn("rank", F.row_number().over(order))

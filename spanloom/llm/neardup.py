@@ -1,10 +1,10 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF word shingles.
 
-Weights. A shingle weighs ``tf * idf`` with ``idf = sqrt(1 + ln(min(N / df, 20)))``: shingles in fewer than a twentieth of all
-documents weigh alike, and only wording that is common in the corpus weighs less. So only shingles of at least ``N / 20``
-documents need their frequency known, and there are at most 20 times as many of those as a document has on average,
-however large the corpus is. They are counted exactly, in two passes: one finds candidates from blocks of documents (what
-is common in the corpus is common in some block, and what blocks leave out is bounded), one counts the candidates.
+Weights. A shingle weighs ``tf * idf`` with ``idf = sqrt(1 + ln(N / df))``. Every shingle of at least a thousandth of all documents
+has its exact frequency; rarer ones weigh as if they were in a thousandth, so up to 1000 documents every weight is exact. Of shingles
+whose frequency must be known there are at most 1000 times as many as a document has on average, however large the corpus is.
+They are counted in two passes: one finds candidates from blocks of documents (what is common in the corpus is common in some
+block, and what blocks leave out is bounded), one counts the candidates.
 
 Signature. For each of ``bands * rows`` hash functions every shingle draws two gamma variates and an offset from its hash;
 the shingle with the smallest resulting value, with its quantised weight, is the sample. Two documents agree in a sample
@@ -33,14 +33,17 @@ from .common import hashed, mix64, slices
 BANDS, ROWS = 12, 4
 SIMILARITY = 0.8
 #: Shingles in at least this share of all documents have their own weight.
-COMMON = 1 / 20
+COMMON = 1 / 1000
 #: Documents and bytes of text on one side of a tile; a bucket of up to twice as many is one tile.
 TILE, TILE_BYTES = 512, 4 << 20
 #: Rows up to which an id list is broadcast (16 bytes each); longer ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of rows that go to a Python worker at once while a table is kept; Spark's own bound is larger.
 ARROW_BYTES = "16m"
-_BLOCK_DOCS, _BLOCK_SHINGLES = 4096, 2_000_000
+#: Documents of a block; shingles that are counted at once; distinct ones at which a block is closed before it is full.
+_BLOCK_DOCS, _BLOCK_SHINGLES, _BLOCK_DISTINCT = 2048, 2_000_000, 8_000_000
+#: Members of a leader that are compared with it in one run.
+GROUP = 512
 
 
 class Scratch:
@@ -83,32 +86,42 @@ def _prepared(docs: DataFrame) -> DataFrame:
 def common_shingles(texts: DataFrame, share: float = COMMON, scratch: Scratch | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, of the shingles in at least ``share`` of all documents, and their idf weights. Exact counts over all rows."""
 
+    def counted(shingles: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        every, n = np.concatenate(shingles), np.concatenate(counts)
+        found, at = np.unique(every, return_inverse=True)
+        return found, np.bincount(at, n, len(found)).astype(np.int64)
+
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         docs = size = total = 0
 
-        def close() -> pd.DataFrame:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            # what is left out of a block of 50 or more is at most a fiftieth of its documents
-            many = n >= (1 if docs < 50 else max(2, docs // 200))
-            return pd.DataFrame({"shingle": found[many].view(np.int64), "n": n[many].astype(np.int64)})
+        def close(full: bool) -> pd.DataFrame:
+            found, n = counted(held, counts)
+            many = n > full  # a full block leaves out what it has once
+            return pd.DataFrame({"shingle": found[many].view(np.int64), "n": n[many]})
 
         for batch in batches:
             for h in hashed(batch["text"].tolist()):
-                held.append(np.unique(h))
-                docs, size, total = docs + 1, size + len(held[-1]), total + 1
-                if docs >= _BLOCK_DOCS or size >= _BLOCK_SHINGLES:
-                    yield close()
-                    held, docs, size = [], 0, 0
+                own = np.unique(h)
+                held.append(own)
+                counts.append(np.ones(len(own), np.int64))
+                docs, size, total = docs + 1, size + len(own), total + 1
+                if size >= _BLOCK_SHINGLES:
+                    found, n = counted(held, counts)
+                    held, counts, size = [found], [n], 0
+                if docs >= _BLOCK_DOCS or len(held[0]) >= _BLOCK_DISTINCT:
+                    yield close(docs >= _BLOCK_DOCS)
+                    held, counts, docs, size = [], [], 0, 0
         if docs:
-            yield close()
+            yield close(False)
         yield pd.DataFrame({"shingle": [None], "n": [total]}).astype({"shingle": "Int64"})
 
     lower = texts.select("text").mapInPandas(blocks, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     lower = (scratch or Scratch(texts.sparkSession)).keep(lower)
     total = lower.where("shingle is null").agg(F.sum("n")).first()[0] or 0
-    candidates = np.array([r[0] for r in lower.where(F.col("shingle").isNotNull() & (F.col("n") >= (share - 0.02) * total)).select("shingle").collect()], np.int64).view(np.uint64)
-    candidates.sort()
+    likely = lower.where(F.col("shingle").isNotNull() & (F.col("n") >= (share - 1 / _BLOCK_DOCS) * total)).select("shingle")
+    candidates = np.sort(likely.toArrow().column("shingle").to_numpy().view(np.uint64))
     if not len(candidates):
         return np.zeros(0, np.uint64), np.zeros(0)
 
@@ -116,14 +129,16 @@ def common_shingles(texts: DataFrame, share: float = COMMON, scratch: Scratch |
         n = np.zeros(len(candidates), np.int64)
         for batch in batches:
             for h in hashed(batch["text"].tolist()):
-                n[np.flatnonzero(np.isin(candidates, h))] += 1
+                own = np.unique(h)
+                at = np.minimum(np.searchsorted(candidates, own), len(candidates) - 1)
+                n[at[candidates[at] == own]] += 1
         hit = np.flatnonzero(n)
         yield pd.DataFrame({"at": hit, "n": n[hit]})
 
-    counted = texts.select("text").mapInPandas(exact, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= share * total).collect()
-    counted.sort()
-    at, df = np.array([r["at"] for r in counted], np.int64), np.array([r["n"] for r in counted], np.float64)
-    return candidates[at], _idf(total / df, share)
+    known = texts.select("text").mapInPandas(exact, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= share * total).toArrow()
+    at, df = known.column("at").to_numpy(), known.column("n").to_numpy()
+    order = np.argsort(at)
+    return candidates[at[order]], _idf(total / df[order], share)
 
 
 def _idf(rarity: np.ndarray | float, share: float = COMMON) -> np.ndarray | float:
@@ -214,20 +229,33 @@ def exact_copies(texts: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``pairs`` of ids (``a``, ``b``) with the weighted Jaccard ``similarity`` of their whole texts."""
+    """``pairs`` of ids (``a``, ``b``) with the weighted Jaccard ``similarity`` of their whole texts.
+
+    The members ``a`` of one ``b`` are dealt to runs of about ``GROUP``, and the text of ``b`` goes once to each run, so a document that leads
+    many is neither one task nor copied for each of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = head = None
         for batch in batches:
-            left, right = batch["text_a"].tolist(), batch["text_b"].tolist()
-            for i, j in slices([x + y for x, y in zip(left, right, strict=True)]):
-                known = list(dict.fromkeys(left[i:j] + right[i:j]))
-                sets = {t: weighted(h, common) for t, h in zip(known, hashed(known), strict=True)}
-                sim = [similarity(sets[x], sets[y]) for x, y in zip(left[i:j], right[i:j], strict=True)]
-                yield pd.DataFrame({"a": batch["a"].iloc[i:j].array, "b": batch["b"].iloc[i:j].array, "similarity": sim})
-
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long, similarity double")
+            b, part, ids, is_head, texts_ = (batch[c].tolist() for c in ("b", "part", "doc_id", "head", "text"))
+            for i, j in slices(texts_):
+                found = []
+                for k, h in zip(range(i, j), hashed(texts_[i:j]), strict=True):
+                    own = weighted(h, common)
+                    if is_head[k]:
+                        place, head = (b[k], part[k]), own
+                    elif place == (b[k], part[k]):
+                        found.append((ids[k], b[k], similarity(own, head)))
+                    else:
+                        raise ValueError("a member without its leader before it")
+                yield pd.DataFrame(found, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+
+    parts = F.ceil(F.col("n") / GROUP)
+    heads = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    members = pairs.join(heads, "b").select("b", F.pmod(F.xxhash64("a"), parts).alias("part"), F.col("a").alias("doc_id"), F.lit(False).alias("head"))
+    leaders = heads.select("b", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("b").alias("doc_id"), F.lit(True).alias("head"))
+    rows = members.union(leaders).join(texts.select("doc_id", "text"), "doc_id").select("b", "part", "doc_id", "head", "text")
+    return rows.repartition("b", "part").sortWithinPartitions("b", "part", F.desc("head")).mapInPandas(run, "a long, b long, similarity double")
 
 
 def _linked(rows: pd.DataFrame, common: tuple[np.ndarray, np.ndarray], threshold: float) -> pd.DataFrame:

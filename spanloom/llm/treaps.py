@@ -64,19 +64,22 @@ def _block_rows(block: int, ids: pa.Array, texts: pa.Array) -> Iterator[pa.Recor
         yield batch(pa.array(terms, pa.string()), docs=_lists(doc[by_term], ends, pa.int32()), counts=_lists(count[by_term], ends, pa.int32()))
 
 
-def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        texts = batch.column("text")
-        for a, b in runs_of(utf8_buffer(texts)[1], BLOCK_BYTES):
-            yield from _block_rows(block, batch.column("doc_id").slice(a, b - a), texts.slice(a, b - a))
-            block += 1
+def _indexed(block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            texts = batch.column("text")
+            for a, b in runs_of(utf8_buffer(texts)[1], block_bytes):
+                yield from _block_rows(block, batch.column("doc_id").slice(a, b - a), texts.slice(a, b - a))
+                block += 1
+
+    return run
 
 
-def build_index(docs: DataFrame) -> DataFrame:
+def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The inverted index of ``docs`` (``doc_id``, ``text``; null text is empty) in the columns of ``INDEX``: for each block a row without
     term, with the ids and lengths of its documents, and a row for each of its terms. Write it to a table before searching."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_indexed, INDEX)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_indexed(block_bytes), INDEX)
 
 
 def treap(priority: list[int], first: int, left: list[int], right: list[int]) -> int:
@@ -179,12 +182,14 @@ def norms(lengths: np.ndarray, n_docs: int, n_terms: int, slope: int = 75) -> np
     return np.array([100 - slope + slope * int(n) * n_docs // n_terms for n in known], np.int64)[at]
 
 
-def _searched(vocabulary: list[str], weight: list[int], items: list[tuple[int, list[int], list[int]]], n_docs: int, n_terms: int, k: int):
+def _searched(vocabulary: list[str], weight: list[int], items: list[tuple[int, list[int], list[int]]], n_docs: int, n_terms: int, k: int, leaf: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         is_head = pc.is_null(table["term"])
         heads, body = table.filter(is_head), table.filter(pc.invert(is_head))
         out: list[list] = [[], [], []]
+        if len(body) and not len(heads):
+            raise ValueError("write the index to a table before searching it")
         if len(body):
             ids, lengths = heads["ids"].combine_chunks().flatten(), heads["lengths"].combine_chunks().flatten().to_numpy()
             known = pc.index_in(body["term"], value_set=pa.array(vocabulary, pa.string())).to_numpy().astype(np.int64)
@@ -199,7 +204,7 @@ def _searched(vocabulary: list[str], weight: list[int], items: list[tuple[int, l
                 terms = np.array(terms, np.int64)
                 w = per_term[terms] * np.array(repeats, np.int64)
                 here = (row[terms] >= 0) & (w > 0)
-                docs, scores, _ = block.best(row[terms[here]], w[here], k)
+                docs, scores, _ = block.best(row[terms[here]], w[here], k, leaf)
                 out[0] += [item] * len(docs)
                 out[1] += ids.take(pa.array(docs)).to_pylist()
                 out[2] += scores.tolist()
@@ -215,7 +220,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(owner)), pa.array(terms, pa.string()).take(pa.array(term)), pa.array(n.astype(np.int64))], names=["item_id", "term", "n"])
 
 
-def search(index: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, k: int = 10, leaf: int = LEAF) -> DataFrame:
     """``item_id``, ``rank`` (from 1), ``doc_id``, ``score`` of the ``k`` best documents of each item; equal scores by rising id.
 
     ``index``: a table of ``build_index``. ``items``: ``item_id`` (a whole number), ``text``; the texts of rows that share an id, null too,
@@ -245,7 +250,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
         weight = [math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) for t in vocabulary]
         names = list(queries)
         coded = [(i, [at[t] for t in queries[x] if t in at], [n for t, n in queries[x].items() if t in at]) for i, x in enumerate(names)]
-        hits = rows.unionByName(heads).groupBy("block").applyInArrow(_searched(vocabulary, weight, coded, n_docs, n_terms, k), "item int, doc_id long, score long")
+        hits = rows.unionByName(heads).groupBy("block").applyInArrow(_searched(vocabulary, weight, coded, n_docs, n_terms, k, leaf), "item int, doc_id long, score long")
         named = spark.createDataFrame(list(enumerate(names)), "item int, item_id long")
         hits = hits.join(F.broadcast(named), "item").select("item_id", "doc_id", "score")
         found = hits if found is None else found.union(hits)

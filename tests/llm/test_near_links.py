@@ -89,3 +89,29 @@ def test_small_corpus_has_idf(spark):
     shingles, idf = neardup.common_shingles(docs)
     assert len(shingles) == 11
     assert sorted(idf) == pytest.approx([1.0] + [(1 + math.log(10)) ** 0.5] * 10)
+
+
+def test_a_passage_in_few_documents_links_nothing(spark):
+    """40 of 2000 documents share a passage of 104 words beside 12 words of their own: by TF-IDF they are at 0.76, so each stays alone."""
+    passage = " ".join(f"p{i}" for i in range(104))
+    rows = [(i, passage + " " + " ".join(f"own{i}_{k}" for k in range(12))) for i in range(40)]
+    rows += [(i, " ".join(f"t{i}_{k}" for k in range(60))) for i in range(40, 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r["class_id"] == r["doc_id"] for r in neardup.near_duplicates(docs).collect())
+
+
+def test_frequencies_over_blocks(spark, monkeypatch):
+    """Every shingle of at least a thousandth of 5000 documents has its exact weight, whatever block it is in."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(5000):
+        at = int(rng.paretovariate(0.7)) % 300
+        rows.append((i, " ".join(words[at : at + 8] + [f"o{i}_{k}" for k in range(6)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    df = defaultdict(int)
+    for _, text in rows:
+        for h in set(next(neardup.hashed([text])).tolist()):
+            df[h] += 1
+    shingles, idf = neardup.common_shingles(docs.repartition(3))
+    assert dict(zip(shingles.tolist(), idf.tolist(), strict=True)) == pytest.approx({h: math.sqrt(1 + math.log(5000 / n)) for h, n in df.items() if n >= 5})

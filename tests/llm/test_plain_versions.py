@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import fingerprints, langid, neardup, quality
-from spanloom.llm.common import hashed
 from tests.conftest import LARGER
 
 
@@ -135,10 +134,16 @@ def test_recall_in_a_large_group(spark):
         texts += [own, changed(own, rng.randint(1, 4))]
     rng.shuffle(texts)
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    common = neardup.common_shingles(docs)
-    sets = [neardup.weighted(h, common) for h in hashed([" ".join(t) for t in texts])]
+    counts = [Counter(tuple(t[i : i + 5]) for i in range(len(t) - 4)) for t in texts]
+    df = Counter(x for c in counts for x in c)
+    sets = [{x: n * math.sqrt(1 + math.log(len(texts) / df[x])) for x, n in c.items()} for c in counts]
+
+    def similar(i, j):
+        both = sum(min(w, sets[j][x]) for x, w in sets[i].items() if x in sets[j])
+        return both / (sum(sets[i].values()) + sum(sets[j].values()) - both)
+
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
-    near = [(i, j) for i, j in combinations(range(len(texts)), 2) if neardup.similarity(sets[i], sets[j]) >= 0.8]
+    near = [(i, j) for i, j in combinations(range(len(texts)), 2) if not sets[i].keys().isdisjoint(sets[j]) and similar(i, j) >= 0.8]
     root = list(range(len(texts)))
 
     def find(i):

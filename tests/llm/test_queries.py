@@ -131,7 +131,7 @@ def test_token_counts(spark):
 def weights_of(texts):
     sets = [shingles_of(t) for t in texts]
     df = Counter(s for x in sets for s in x)
-    return [{s: n * np.sqrt(1 + np.log(min(len(texts) / df[s], 20))) for s, n in x.items()} for x in sets]
+    return [{s: n * np.sqrt(1 + np.log(len(texts) / df[s])) for s, n in x.items()} for x in sets]
 
 
 def brute_classes(documents, threshold=0.8):

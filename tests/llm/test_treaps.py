@@ -38,19 +38,18 @@ def plain(docs, items, k):
 
 
 @pytest.mark.parametrize(("block", "leaf", "passes"), [(8 << 20, 256, 500_000), (2000, 4, 7), (200, 1, 500_000)])
-def test_plain(spark, monkeypatch, block, leaf, passes):
-    monkeypatch.setattr(treaps, "BLOCK_BYTES", block)
+def test_plain(spark, monkeypatch, tmp_path, block, leaf, passes):
     monkeypatch.setattr(treaps, "PASS_TERMS", passes)
-    monkeypatch.setattr(treaps.Block.best, "__defaults__", (leaf,))
     rng = np.random.default_rng(3)
     words = np.array([f"w{i}" for i in range(60)] + ["Ärger", "ÄRGER", "x1", "日本"])
     docs = [(int(i), " ".join(rng.choice(words, rng.integers(1, 60), p=None))) for i in rng.permutation(300)]
     docs += [(7, docs[0][1]), (None, docs[1][1]), (None, docs[1][1]), (400, None), (401, ""), (402, "..."), (403, "w1 " * 20_000), (404, docs[2][1])]
     items = [(i, " ".join(rng.choice(words, 12))) for i in range(20)] + [(1, "w1 w1 W2"), (None, "w3"), (50, None), (51, "nowhere"), (52, "")]
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("term", "Block", "score")})
-    index = treaps.build_index(frame)
+    treaps.build_index(frame, block).write.parquet(f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
     asked = spark.createDataFrame(items, "item_id long, text string").withColumn("rank", F.lit("clash"))
-    got = [tuple(r) for r in treaps.search(index, asked, k=5).collect()]
+    got = [tuple(r) for r in treaps.search(index, asked, k=5, leaf=leaf).collect()]
     assert len(got) == len(set(got)) and set(got) == plain(docs, items, 5)
     assert treaps.search(treaps.build_index(frame.limit(0)), asked).count() == 0
     assert treaps.search(index, asked.limit(0)).count() == 0
