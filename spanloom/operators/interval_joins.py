@@ -1,7 +1,9 @@
 """Joins of intervals: overlap, coverage, nearest, and labels made from them.
 
-Overlap joins are equi-joins on ``(chrom, bin)``: each side is exploded into the bins that it touches and a pair is kept in the one
-bin where the later of the two starts lies, so nothing is met twice and no chromosome is one task.
+Overlap joins are equi-joins on ``(chrom, bin)`` with bins of several widths. An interval lives at the level of the narrowest bins that are as
+wide as itself, where it touches two at most, and stands in the bins that it touches at every wider level too. A pair is met at the
+wider one of its two levels, in the one bin where the later of the two starts lies, so nothing is met twice, no interval makes more than
+two rows a level, however long it is, and no chromosome is one task.
 """
 
 from __future__ import annotations
@@ -14,26 +16,43 @@ from pyspark.sql import functions as F
 from . import intervals
 from .tiles import TILE, inside, with_carry, with_tile
 
-BIN = 4096
-
-
-def _binned(df: DataFrame, width: int) -> DataFrame:
-    first = F.floor(F.col("start") / width)
-    last = F.floor(F.greatest(F.col("start"), F.col("end") - 1) / width)
-    return df.withColumn("_bin", F.explode(F.sequence(first, last)))
-
-
-def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", width: int = BIN) -> DataFrame:
+#: Widths of bins, as powers of two. Intervals beyond the widest take as many of its bins as they touch.
+LEVELS = (12, 16, 20, 24, 28)
+
+
+def _binned(df: DataFrame, left: bool) -> DataFrame:
+    """Rows with ``_bin``, one for each bin. A bin's number tells its level and whose own level it is: the left side's, where the right side
+    is as narrow or narrower, or the right side's, where the left side is narrower."""
+    length, last = F.col("end") - F.col("start"), F.greatest(F.col("start"), F.col("end") - 1)
+    own = F.lit(len(LEVELS) - 1)
+    for i in reversed(range(len(LEVELS) - 1)):
+        own = F.when(length <= 1 << LEVELS[i], i).otherwise(own)
+    bins = []
+    for i, power in enumerate(LEVELS):
+        touched = F.sequence(F.shiftright("start", power), F.shiftright(last, power))
+        numbers = lambda side, t=touched, i=i: F.transform(t, lambda b: (b * 8 + i) * 2 + side)
+        none = F.array().cast("array<bigint>")
+        if left:
+            bins.append(F.when(own == i, numbers(0)).when(own < i, numbers(1)).otherwise(none))
+        else:
+            bins += [F.when(own <= i, numbers(0)).otherwise(none), F.when(own == i, numbers(1)).otherwise(none)]
+    typed = df.withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
+    return typed.withColumn("_bin", F.explode(F.concat(*bins)))
+
+
+def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     """Pairs with ``a.start < b.end and b.start < a.end`` on one chromosome.
 
     Columns of ``b`` get the suffix ``_b``. ``how``: inner, or left_semi / left_anti, which need ``row_id`` in ``a`` to be unique.
     """
-    right = _binned(b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns]).withColumnsRenamed({"start_b": "start", "end_b": "end"}), width)
+    right = _binned(b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns]).withColumnsRenamed({"start_b": "start", "end_b": "end"}), left=False)
     right = right.withColumnsRenamed({"start": "start_b", "end": "end_b", "_bin": "_bin_b"})
-    left = _binned(a, width)
+    left = _binned(a, left=True)
     meets = (F.col("chrom") == F.col("chrom_b")) & (F.col("_bin") == F.col("_bin_b")) & (F.col("start") < F.col("end_b")) & (F.col("start_b") < F.col("end"))
     if how == "inner":
-        pairs = left.join(right, meets & (F.col("_bin") == F.floor(F.greatest("start", "start_b") / width)))
+        power = F.element_at(F.array(*map(F.lit, LEVELS)), (F.pmod(F.shiftright("_bin", 1), F.lit(8)) + 1).cast("int"))
+        later = F.call_function("shiftright", F.greatest("start", "start_b"), power)
+        pairs = left.join(right, meets & (F.shiftright("_bin", 4) == later))
         return pairs.drop("_bin", "_bin_b", "chrom_b")
     hit = left.join(right, meets, "left_semi").select("row_id").distinct()
     return a.join(hit, "row_id", how)
@@ -45,9 +64,9 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("row_id", F.concat_ws("|", *df.columns, F.row_number().over(order)))
 
 
-def coverage(a: DataFrame, b: DataFrame, name: str = "covered", width: int = BIN) -> DataFrame:
+def coverage(a: DataFrame, b: DataFrame, name: str = "covered") -> DataFrame:
     """``a`` (with a unique ``row_id``) and how many of its bases the union of ``b`` covers."""
-    pairs = overlap_join(a.select("row_id", "chrom", "start", "end"), intervals.merge(b), width=width)
+    pairs = overlap_join(a.select("row_id", "chrom", "start", "end"), intervals.merge(b))
     length = F.least("end", "end_b") - F.greatest("start", "start_b")
     summed = pairs.groupBy("row_id").agg(F.sum(length).alias(name))
     return a.join(summed, "row_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))

@@ -79,11 +79,26 @@ def calibrate(reference: DataFrame, cutoff: float, target: DataFrame, low: float
 
 
 def anchor_profile(anchors: DataFrame, track: DataFrame, reach: int) -> DataFrame:
-    """Mean value at each offset -reach .. reach (without 0) of ``chrom, pos, strand`` anchors, counted along the strand; gaps count 0."""
-    spots = anchors.select("chrom", "pos", "strand").withColumn("offset", F.explode(F.filter(F.sequence(F.lit(-reach), F.lit(reach)), lambda x: x != 0)))
-    at = F.col("pos") + F.when(F.col("strand") == "-", -F.col("offset")).otherwise(F.col("offset"))
-    per_place = spots.select("chrom", at.alias("start"), "offset").where("start >= 0").groupBy("chrom", "start", "offset").agg(F.count("*").alias("times"))
-    placed = per_place.withColumn("end", F.col("start") + 1)
-    hits = overlap_join(placed, known(track)).groupBy("offset").agg(F.sum(F.col("value_b").cast("double") * F.col("times")).alias("total"))
-    n = placed.groupBy("offset").agg(F.sum("times").alias("n"))
-    return n.join(hits, "offset", "left").select("offset", "n", (F.coalesce("total", F.lit(0.0)) / F.col("n")).alias("mean"))
+    """Mean value at each offset -reach .. reach (without 0) of ``chrom, pos, strand`` anchors, counted along the strand; gaps count 0.
+
+    Each run of the track about an anchor adds its value where its offsets begin and takes it away behind them, so the profile is the running
+    sum over the offsets, and no row stands for an anchor and an offset. Offsets before position 0 count for nothing."""
+    spots = anchors.groupBy("chrom", "pos", "strand").agg(F.count("*").alias("times"))
+    spots = spots.withColumns({"start": F.greatest(F.col("pos") - reach, F.lit(0)), "end": F.col("pos") + reach + 1}).where("end > 0")
+    minus = F.coalesce(F.col("strand") == "-", F.lit(False))
+
+    def events(rows: DataFrame, start, end, total, n) -> DataFrame:
+        first = F.when(minus, F.col("pos") - end + 1).otherwise(start - F.col("pos"))
+        last = F.when(minus, F.col("pos") - start).otherwise(end - 1 - F.col("pos"))
+        both = F.array(F.struct(first.alias("offset"), total.alias("total"), n.alias("n")), F.struct((last + 1).alias("offset"), (-total).alias("total"), (-n).alias("n")))
+        return rows.select(F.explode(both).alias("e")).select("e.*")
+
+    times = F.col("times")
+    found = overlap_join(spots, known(track))
+    start, end = F.greatest("start", "start_b"), F.least("end", "end_b")
+    changes = events(found, start, end, F.col("value_b").cast("double") * times, F.lit(0).cast("long")).union(events(spots, F.col("start"), F.col("end"), F.lit(0.0), times))
+    per_offset = changes.groupBy("offset").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    line = Window.partitionBy(F.lit(0)).orderBy("offset")  # 2 * reach + 2 rows at most
+    offsets = anchors.sparkSession.range(-reach, reach + 2).withColumnRenamed("id", "offset")
+    sums = offsets.join(per_offset, "offset", "left").select("offset", F.sum(F.coalesce("total", F.lit(0.0))).over(line).alias("total"), F.sum(F.coalesce("n", F.lit(0))).over(line).alias("n"))
+    return sums.where((F.col("offset") != 0) & (F.col("offset") <= reach) & (F.col("n") > 0)).select(F.col("offset").cast("int").alias("offset"), "n", (F.col("total") / F.col("n")).alias("mean"))
