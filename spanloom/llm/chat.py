@@ -144,31 +144,52 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
+def _repeated(rows: DataFrame, firsts: DataFrame, own: list[str]) -> DataFrame:
+    """The rows of the keys of ``firsts`` but for one that equals its key's first ``x``."""
+    alike = rows.groupBy("conv_id", "call_id", *own).agg(F.count("*").alias("copies")).join(firsts, ["conv_id", "call_id"])
+    left = F.col("copies") - F.struct(*own).eqNullSafe(F.col("x")).cast("long")
+    return alike.where(left > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), left))).select("conv_id", "call_id", *own)
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row per call, and one per result without a call.
+    """One row per call, and one per result that no call takes.
 
     ``calls``: ``conv_id``, ``turn``, ``call_id``, ``name``, ``arguments`` (JSON text), ``after`` (the call it waits for, an array
     of such calls, or null). ``results``: ``conv_id``, ``turn``, ``call_id``, ``content``. Other columns are not read.
     Returns ``conv_id``, ``level`` (place in a topological order: sort by level, turn, call_id), ``turn``, ``call_id``, ``kind``
-    (``call`` or ``orphan``), ``linked``, ``problems`` (joined by commas; ``cycle`` and ``duplicate`` beside those of ``problems_of``) and
+    (``call``, ``orphan``, ``repeated_call`` or ``repeated_result``), ``linked``, ``problems`` (joined by commas; ``cycle`` and ``duplicate`` beside those of ``problems_of``) and
     ``json``, canonical: keys sorted, no blanks, nested values too. Of calls, or results, that share an id the first by turn (then by
-    content) counts. A null ``conv_id`` or ``call_id`` is an id like others for calls and results on their own, but links nothing.
+    content) is linked and ordered; each other one is a row of its own, marked as repeated, without level and link. Rows with a null ``conv_id``
+    or ``call_id`` are calls and orphans without level and link, one each.
     Null arguments are a problem, a null content is JSON null. Empty tables give no rows.
     """
     scratch = Scratch(calls.sparkSession)
     key = ["conv_id", "call_id"]
-    once = calls.groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("x"), F.count("*").alias("n")).select(*key, "x.*", "n")
-    answered = results.groupBy(*key).agg(F.min(F.struct(F.col("turn").alias("result_turn"), F.col("content"))).alias("r"))
+    own_call, own_result = ["turn", "name", "arguments", "after"], ["turn", "content"]
+    named = "conv_id is not null and call_id is not null"
+    calls, results = calls.select(*key, *own_call), results.select(*key, *own_result)
+    once = calls.where(named).groupBy(*key).agg(F.min(F.struct(*own_call)).alias("x"), F.count("*").alias("n")).select(*key, "x.*", "n")
+    answered = results.where(named).groupBy(*key).agg(F.min(F.struct(*own_result)).alias("r"), F.count("*").alias("n_results"))
     once = scratch.keep(once)
-    depth = levels(once.where("conv_id is not null and call_id is not null"), scratch)
+    answered = scratch.keep(answered)
+    depth = levels(once, scratch)
     placed = once.join(depth, key, "left")
     placed = placed.withColumn("is_call", F.lit(True))
-    both = placed.join(answered.hint("shuffle_hash"), key, "full")
+    both = placed.join(answered.drop("n_results").hint("shuffle_hash"), key, "full").withColumn("kind", F.when(F.col("is_call"), "call").otherwise("orphan"))
+    others = [
+        calls.where(f"not ({named})").withColumn("kind", F.lit("call")),
+        _repeated(calls.where(named), once.where("n > 1").select(*key, F.struct(*own_call).alias("x")), own_call).withColumns({"kind": F.lit("repeated_call"), "n": F.lit(2).cast("long")}),
+        results.where(f"not ({named})").select(*key, F.struct(F.col("turn"), F.col("content")).alias("r"), F.lit("orphan").alias("kind")),
+        _repeated(results.where(named), answered.where("n_results > 1").select(*key, F.col("r").alias("x")), own_result).select(*key, F.struct(F.col("turn"), F.col("content")).alias("r"), F.lit("repeated_result").alias("kind")),
+    ]
+    for part in others:
+        both = both.unionByName(part, allowMissingColumns=True)
+    both = both.withColumn("is_call", F.col("kind").isin("call", "repeated_call"))
     parsed = F.try_parse_json("arguments")
     given = F.from_json("arguments", "map<string,variant>")
-    row = both.withColumn("is_call", F.coalesce("is_call", F.lit(False))).withColumn("parsed", parsed).withColumn("given", F.when(F.schema_of_variant("parsed").startswith("OBJECT"), given))
+    row = both.withColumn("parsed", parsed).withColumn("given", F.when(F.schema_of_variant("parsed").startswith("OBJECT"), given))
     wrong = F.concat(
-        F.when(F.col("level").isNull() & F.col("conv_id").isNotNull() & F.col("call_id").isNotNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("level").isNull() & (F.col("kind") == "call") & F.col("conv_id").isNotNull() & F.col("call_id").isNotNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")),
         F.when(F.col("n") > 1, F.array(F.lit("duplicate"))).otherwise(F.array().cast("array<string>")),
         problems_of(F.col("name"), F.col("parsed"), F.col("given"), schemas),
     )
@@ -180,9 +201,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     return row.select(
         "conv_id",
         "level",
-        F.coalesce("turn", "r.result_turn").alias("turn"),
+        F.coalesce("turn", "r.turn").alias("turn"),
         "call_id",
-        F.when(F.col("is_call"), "call").otherwise("orphan").alias("kind"),
+        "kind",
         linked.alias("linked"),
         F.when(F.col("is_call"), F.array_join(wrong, ",")).otherwise("").alias("problems"),
         F.when(F.col("is_call"), call_json).otherwise(orphan_json).alias("json"),

@@ -80,3 +80,28 @@ def test_rules_of_arguments(spark):
     calls = spark.createDataFrame([("a", i, f"k{i:02}", name, text, None) for i, (name, text, _) in enumerate(cases)], CALLS)
     got = {r["call_id"]: r["problems"] for r in chat.link_calls(calls, spark.createDataFrame([], RESULTS), schemas).collect()}
     assert got == {f"k{i:02}": want for i, (_, _, want) in enumerate(cases)}
+
+
+def test_repeated_and_null_ids_are_kept(spark):
+    calls = [("a", 1, "x", "f", "{}", None), ("a", 3, "x", "f", '{"k":1}', ["x"]), ("a", 1, "x", "f", "{}", None), ("a", 5, None, "f", "{}", None), ("a", 5, None, "f", "{}", None), (None, 6, "x", "g", None, None), ("a", 7, "y", "f", "{}", ["x"])]
+    results = [("a", 2, "x", "one"), ("a", 2, "x", "one"), ("a", 4, "x", "two"), ("a", 8, "z", "z1"), ("a", 9, "z", "z2"), ("a", 9, None, "n"), (None, 9, "x", None), (None, 9, "x", None)]
+    got = sorted(((r["kind"], r["turn"], r["call_id"], r["linked"], r["level"], r["problems"]) for r in chat.link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), {"f": {}}).collect()), key=repr)
+    assert got == sorted(
+        [
+            ("call", 1, "x", True, 0, "duplicate"),
+            ("repeated_call", 1, "x", False, None, "duplicate"),
+            ("repeated_call", 3, "x", False, None, "duplicate,extra:k"),
+            ("call", 5, None, False, None, ""),
+            ("call", 5, None, False, None, ""),
+            ("call", 6, "x", False, None, "arguments"),
+            ("call", 7, "y", False, 1, ""),
+            ("repeated_result", 2, "x", False, None, ""),
+            ("repeated_result", 4, "x", False, None, ""),
+            ("orphan", 8, "z", False, None, ""),
+            ("repeated_result", 9, "z", False, None, ""),
+            ("orphan", 9, None, False, None, ""),
+            ("orphan", 9, "x", False, None, ""),
+            ("orphan", 9, "x", False, None, ""),
+        ],
+        key=repr,
+    )
