@@ -94,11 +94,11 @@ def common_shingles(texts: DataFrame, share: float = COMMON, scratch: Scratch |
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
         counts: list[np.ndarray] = []
+        full: list[tuple[np.ndarray, np.ndarray]] = []  # a block that waits for what follows, so that the last one isn't small
         docs = size = total = 0
 
-        def close(full: bool) -> pd.DataFrame:
-            found, n = counted(held, counts)
-            many = n > full  # a full block leaves out what it has once
+        def given(found: np.ndarray, n: np.ndarray, singles: bool) -> pd.DataFrame:
+            many = n > (not singles)  # a full block leaves out what it has once
             return pd.DataFrame({"shingle": found[many].view(np.int64), "n": n[many]})
 
         for batch in batches:
@@ -107,14 +107,18 @@ def common_shingles(texts: DataFrame, share: float = COMMON, scratch: Scratch |
                 held.append(own)
                 counts.append(np.ones(len(own), np.int64))
                 docs, size, total = docs + 1, size + len(own), total + 1
-                if size >= _BLOCK_SHINGLES:
+                if size >= _BLOCK_SHINGLES or docs >= _BLOCK_DOCS:
                     found, n = counted(held, counts)
                     held, counts, size = [found], [n], 0
                 if docs >= _BLOCK_DOCS or len(held[0]) >= _BLOCK_DISTINCT:
-                    yield close(docs >= _BLOCK_DOCS)
+                    for block in full:
+                        yield given(*block, singles=False)
+                    full = [(held[0], counts[0])] if docs >= _BLOCK_DOCS else []
+                    if not full:
+                        yield given(held[0], counts[0], singles=True)
                     held, counts, docs, size = [], [], 0, 0
-        if docs:
-            yield close(False)
+        if full or held:
+            yield given(*counted([*held, *[f for f, _ in full]], [*counts, *[n for _, n in full]]), singles=not full)
         yield pd.DataFrame({"shingle": [None], "n": [total]}).astype({"shingle": "Int64"})
 
     lower = texts.select("text").mapInPandas(blocks, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
