@@ -1,17 +1,18 @@
 """Harmonic packing of token sequences: reciprocal-capacity classes whose bins take a fixed number of pieces.
 
-Class j holds the pieces of length in ``(capacity / (j + 1), capacity / j]`` and its bins take exactly j of them, so a bin
-needs no search and every worker fills its own. As documents may be cut, all but the last of a document's pieces are cut
-to exactly ``capacity / j`` for j = 1, 2, 4, ... ``last_split``, which fills those bins without padding; only what is left,
-shorter than ``capacity / last_split``, goes to its class as it is. Bins that a worker's rows end on are poured together
-at the end, and the last of these is split into sequences whose lengths are powers of two, which need no padding.
+Class j holds the documents, or what is left of longer ones, of length in ``(capacity / (j + 1), capacity / j]``, and its bins take exactly j
+of them, so a bin needs no search and every worker fills its own. A bin that has its j documents lacks less than each of them is long. It
+waits for a piece that closes it: a document longer than a bin closes waiting bins before it is cut to whole bins; where more than ``WAIT``
+bins wait, so does the next document that is long enough. Whatever closes no bin stays whole. What a worker's rows end on is poured
+together at the end, and the last of it is split into sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -83,24 +84,18 @@ class ByteEncoder:
         return self.whole(head) + b"".join(map(known.__getitem__, runs))
 
 
-def cut(length: int, capacity: int, last_split: int) -> list[int]:
-    """Lengths of a document's pieces: whole bins, then halves, quarters ... of a bin, then what is left."""
-    pieces, left = [capacity] * (length // capacity), length % capacity
-    j = 2
-    while j <= last_split and capacity // j:
-        if left >= capacity // j:
-            pieces.append(capacity // j)
-            left -= capacity // j
-        j *= 2
-    return pieces + [left] * (left > 0)
+#: Bins with all their documents that wait to be closed, before documents shorter than a bin are cut for them.
+WAIT = 32
 
 
 class Bins:
-    """The open bins of one worker. A piece is (document row, start, length)."""
+    """The bins of one worker. A piece ends in its start and length; ``cut_piece`` parts one."""
 
-    def __init__(self, capacity: int, first_id: int) -> None:
-        self.capacity, self.next_id = capacity, first_id
+    def __init__(self, capacity: int, first_id: int, cut_piece: Callable[[tuple, int], tuple[tuple, tuple]], wait: int = WAIT) -> None:
+        self.capacity, self.next_id, self.cut_piece, self.wait = capacity, first_id, cut_piece, wait
         self.open: dict[int, list[tuple]] = {}
+        self.waiting: list[tuple[int, int, list[tuple]]] = []  # what is lacking, a count, the documents; in that order
+        self.turn = 0
 
     def _close(self, pieces: list[tuple]) -> Iterator[tuple]:
         offset = 0
@@ -110,17 +105,50 @@ class Bins:
         self.next_id += 1
 
     def add(self, piece: tuple) -> Iterator[tuple]:
-        """Rows of the bin that the piece has filled, if it has."""
+        """Rows of the bins that a document has filled."""
+        while self.waiting and (piece[-1] > self.capacity or len(self.waiting) > self.wait):
+            i = bisect.bisect_left(self.waiting, (piece[-1],)) - 1  # the bin that lacks most, but less than the document
+            if i < 0:
+                break
+            lack, _, pieces = self.waiting.pop(i)
+            last, piece = self.cut_piece(piece, lack)
+            yield from self._close([*pieces, last])
+        while piece[-1] > self.capacity:
+            whole, piece = self.cut_piece(piece, self.capacity)
+            yield from self._close([whole])
+        piece, _ = self.cut_piece(piece, piece[-1])  # its own ids, without those of the document that are already given out
         j = self.capacity // piece[-1]
         bin_ = self.open.setdefault(j, [])
         bin_.append(piece)
         if len(bin_) == j:
-            yield from self._close(self.open.pop(j))
+            lack = self.capacity - sum(p[-1] for p in self.open.pop(j))
+            if lack:
+                self.turn += 1
+                bisect.insort(self.waiting, (lack, self.turn, bin_))
+            else:
+                yield from self._close(bin_)
 
-    def end(self, cut_piece) -> Iterator[tuple]:
-        """Pour what is left together: full sequences first, then powers of two from the largest down."""
+    def _rest(self) -> Iterator[tuple]:
+        """Rows of the waiting bins, closed by the documents of bins that are still open; returns what is left."""
         rest = [p for j in sorted(self.open) for p in self.open[j]]
-        self.open = {}
+        for lack, _, pieces in self.waiting:
+            while lack and rest:
+                piece = rest.pop()
+                if piece[-1] > lack:
+                    piece, after = self.cut_piece(piece, lack)
+                    rest.append(after)
+                pieces.append(piece)
+                lack -= piece[-1]
+            if lack:
+                rest += pieces
+            else:
+                yield from self._close(pieces)
+        self.open, self.waiting = {}, []
+        return rest
+
+    def end(self) -> Iterator[tuple]:
+        """Close what waits and pour what is left together: full sequences first, then powers of two from the largest down."""
+        rest = yield from self._rest()
         total, bin_, room = sum(p[-1] for p in rest), [], 0
         while rest:
             if not room:
@@ -128,7 +156,7 @@ class Bins:
                 total -= room
             piece = rest.pop(0)
             if piece[-1] > room:
-                piece, after = cut_piece(piece, room)
+                piece, after = self.cut_piece(piece, room)
                 rest.insert(0, after)
             bin_.append(piece)
             room -= piece[-1]
@@ -137,7 +165,7 @@ class Bins:
                 bin_ = []
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, last_split: int = 32) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, wait: int = WAIT) -> DataFrame:
     """Encode every whole text, end it with ``end_id`` and pack the pieces into sequences of at most ``capacity`` tokens.
 
     ``docs``: ``doc_id``, ``text``; other columns are not read. ``path``: a tokenizers JSON file of a byte-level BPE; one with other ``SETTINGS`` is an error.
@@ -160,12 +188,14 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int =
         encoder = _encoders.get(path)
         if encoder is None:
             encoder = _encoders.setdefault(path, ByteEncoder(shared.value))
-        bins = Bins(capacity, TaskContext.get().partitionId() << 40)
         names = ["doc_id", "ids", "doc_tokens", "start", "length", "sequence_id", "offset"]
 
         def split(piece: tuple, at: int) -> tuple[tuple, tuple]:
             doc_id, ids, n, start, length = piece
-            return (doc_id, ids[: 4 * at], n, start, at), (doc_id, ids[4 * at :], n, start + at, length - at)
+            ids = memoryview(ids)
+            return (doc_id, bytes(ids[: 4 * at]), n, start, at), (doc_id, ids[4 * at :], n, start + at, length - at)
+
+        bins = Bins(capacity, TaskContext.get().partitionId() << 40, split, wait)
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
             out = pd.DataFrame(rows, columns=names)
@@ -177,15 +207,12 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int =
             for a, b in slices(texts):
                 rows: list[tuple] = []
                 for i in range(a, b):
-                    ids, start = encoder.encode(texts[i]) + end, 0
-                    n = len(ids) // 4
+                    ids = encoder.encode(texts[i]) + end
                     doc_id = None if pd.isna(doc_ids[i]) else int(doc_ids[i])
-                    for length in cut(n, capacity, last_split):
-                        rows += bins.add((doc_id, ids[4 * start : 4 * (start + length)], n, start, length))
-                        start += length
+                    rows += bins.add((doc_id, ids, len(ids) // 4, 0, len(ids) // 4))
                 if rows:
                     yield frame(rows)
-        rows = list(bins.end(split))
+        rows = list(bins.end())
         if rows:
             yield frame(rows)
 
