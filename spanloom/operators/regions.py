@@ -8,10 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import annotation, interval_joins, intervals
+from .kept import kept
+from .tiles import TILE
+
+#: Places of one lookup range, as a power of two.
+WAYS = 16
 
 Step = tuple
 # What follows most sources in a recipe.
@@ -171,32 +176,67 @@ def above_threshold(predictions: DataFrame, threshold: float, score: str = "logi
     return intervals.merge(predictions.where(F.col(score) >= threshold))
 
 
-def place_at_random(rows: DataFrame, free: DataFrame, seed: int, times: int = 1) -> DataFrame:
+def _spread(stretches: DataFrame, keys: list[str], ways: str) -> tuple[DataFrame, DataFrame]:
+    """``stretches`` (``s`` and the number of ``ways``) with ``first``, the ways before each by ``keys``, once for each ``_bin`` of ways; and ``total`` by key."""
+    cut = stretches.withColumn("_part", F.floor(F.col("s") / TILE))
+    line = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy(*keys, "_part").agg(F.sum(ways).alias("w")).withColumn("before", F.coalesce(F.sum("w").over(line), F.lit(0)))
+    inner = Window.partitionBy(*keys, "_part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = cut.join(parts.drop("w"), [*keys, "_part"]).withColumn("first", F.col("before") + F.coalesce(F.sum(ways).over(inner), F.lit(0)))
+    bins = F.sequence(F.shiftright("first", WAYS), F.shiftright(F.col("first") + F.col(ways) - 1, WAYS))
+    return numbered.withColumn("_bin", F.explode(bins)), parts.groupBy(*keys).agg(F.sum("w").alias("total"))
+
+
+def place_at_random(rows: DataFrame, free: DataFrame, seed: int, times: int = 1, tries: int = 16) -> DataFrame:
     """A place in the free stretches of its chromosome for each row (unique ``row_id``), of the row's length, ``times`` over.
 
-    ``free``: disjoint stretches. A start is drawn evenly over all starts that fit: stretches that hold the length are numbered by what
-    fits before them, and a hash of seed, row and turn picks one number. The lookup is an equi-join on (chromosome, length, range of
-    numbers), so no chromosome is one task. Rows for which nothing fits are dropped, as are repeated places of one chromosome.
+    ``free``: disjoint stretches. A start is even over all starts that fit: of ``tries`` bases of the free stretches, each from a hash of seed, row
+    and turn, the first one where the row fits is taken. Only rows for which none does are drawn by counting what fits, by chromosome and
+    length. Lookups are equi-joins on (chromosome, range of numbers), so no chromosome is one task. Places may overlap or repeat. Rows that fit
+    nowhere have a null place. Runs two jobs while it is built.
     """
     need = rows.select("row_id", "chrom", (F.col("end") - F.col("start")).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("turn"))
-    lengths = need.select("chrom", "n").distinct()
-    fits = free.select("chrom", F.col("start").alias("s"), (F.col("end") - F.col("start")).alias("room")).join(lengths, "chrom").where("room >= n").withColumn("ways", F.col("room") - F.col("n") + 1)
-    from pyspark.sql import Window
-
-    from .tiles import TILE
-
-    fits = fits.withColumn("_part", F.floor(F.col("s") / TILE))
-    line = Window.partitionBy("chrom", "n").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = fits.groupBy("chrom", "n", "_part").agg(F.sum("ways").alias("w")).withColumn("before", F.coalesce(F.sum("w").over(line), F.lit(0)))
-    total = parts.groupBy("chrom", "n").agg(F.sum("w").alias("total"))
-    inner = Window.partitionBy("chrom", "n", "_part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = fits.join(parts.drop("w"), ["chrom", "n", "_part"]).withColumn("first", F.col("before") + F.coalesce(F.sum("ways").over(inner), F.lit(0)))
-    width = 1 << 16
-    spread = numbered.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor((F.col("first") + F.col("ways") - 1) / width)))).select("chrom", "n", "_bin", "s", "first", "ways")
-    drawn = need.join(total, ["chrom", "n"]).withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "row_id", "turn"), F.col("total"))).withColumn("_bin", F.floor(F.col("at") / width))
-    hit = drawn.join(spread, ["chrom", "n", "_bin"]).where((F.col("at") >= F.col("first")) & (F.col("at") < F.col("first") + F.col("ways")))
-    placed = hit.select("row_id", "chrom", (F.col("s") + F.col("at") - F.col("first")).alias("start"), "n").withColumn("end", F.col("start") + F.col("n"))
-    return placed.select("row_id", "chrom", "start", "end").groupBy("chrom", "start", "end").agg(F.min("row_id").alias("row_id")).select("row_id", "chrom", "start", "end")
+    stretches = free.where("`end` > start").select("chrom", F.col("start").alias("s"), (F.col("end") - F.col("start")).alias("room"))
+    spread, total = _spread(stretches, ["chrom"], "room")
+    tried = need.join(total, "chrom").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    tried = tried.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "row_id", "turn", "try"), F.col("total"))).withColumn("_bin", F.shiftright("at", WAYS))
+    ahead = F.col("at") - F.col("first")
+    hit = tried.join(spread, ["chrom", "_bin"]).where((ahead >= 0) & (ahead + F.greatest("n", F.lit(1)) <= F.col("room")))
+    drawn = kept(hit.groupBy("row_id", "chrom", "n", "turn").agg(F.min_by(F.col("s") + ahead, "try").alias("start")))
+    rest = kept(need.join(drawn.select("row_id", "turn"), ["row_id", "turn"], "left_anti").select("row_id", "chrom", "n", "turn"))
+    if not rest.isEmpty():
+        fits = stretches.join(rest.select("chrom", "n").distinct(), "chrom").where("room >= n").withColumn("ways", F.col("room") - F.col("n") + 1)
+        spread, total = _spread(fits, ["chrom", "n"], "ways")
+        counted = rest.join(total, ["chrom", "n"]).withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "row_id", "turn"), F.col("total"))).withColumn("_bin", F.shiftright("at", WAYS))
+        found = counted.join(spread, ["chrom", "n", "_bin"]).where((ahead >= 0) & (ahead < F.col("ways"))).select("row_id", "turn", (F.col("s") + ahead).alias("start"))
+        drawn = drawn.union(rest.join(found, ["row_id", "turn"], "left").select(drawn.columns))
+    return drawn.select("row_id", "chrom", "start", (F.col("start") + F.col("n")).alias("end"))
+
+
+def place_apart(rows: DataFrame, free: DataFrame, seed: int) -> DataFrame:
+    """A place for each row as ``place_at_random`` gives it, but no two places overlap.
+
+    In each round all rows that are left draw, draws that overlap are found by a join of the draws with themselves, and of such draws those stay that
+    no draw of a higher priority (a hash of seed and row) touches; the others draw again in what is free then. Every round places at
+    least the draw of the highest priority, and most where space isn't tight. Rows that don't fit into what is left have a null place. The result depends on
+    rows and seed only. Runs a few jobs a round.
+    """
+    need, open_, placed, turn = kept(rows.select("row_id", "chrom", "start", "end")), kept(intervals.merge(free)), None, 0
+    while True:
+        turn += 1
+        drawn = place_at_random(need, open_, seed * 1_000_003 + turn).where("start is not null")
+        drawn = kept(drawn.withColumn("priority", F.struct(F.xxhash64(F.lit(seed), "row_id"), "row_id")))
+        if drawn.isEmpty():
+            break
+        lost = interval_joins.overlap_join(drawn, drawn).where(F.col("priority") < F.col("priority_b")).select("row_id").distinct()
+        won = kept(drawn.join(lost, "row_id", "left_anti").select("row_id", "chrom", "start", "end"))
+        placed = won if placed is None else placed.union(won)
+        need = kept(need.join(won.select("row_id"), "row_id", "left_anti").select(need.columns))
+        if need.isEmpty():
+            break
+        open_ = kept(intervals.subtract(open_, won))
+    none = need.select("row_id", "chrom", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
+    return none if placed is None else placed.union(none)
 
 
 def exclusion(positives: DataFrame, undefined: DataFrame) -> DataFrame:

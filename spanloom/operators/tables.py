@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from . import ranks
 from .sampling import draw, sample
+from .tiles import inside, with_carry, with_tile
 
 
 def joined_in_order(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, sep: str = "|") -> DataFrame:
@@ -40,12 +43,19 @@ def wide_row(df: DataFrame, name_of: Mapping[str, str], source: str, value: str,
     from ..functions.columns import mapped
 
     named = df.withColumn("_name", mapped(F.col(source), name_of, strict=True))
-    index = F.row_number().over(Window.partitionBy("_name").orderBy(*order)) - 1
-    return named.select(F.concat("_name", F.lit("_"), index).alias("track"), value)
+    return index_in_group(named, ["_name"], order).select(F.concat("_name", F.lit("_"), F.col("index")).alias("track"), value)
 
 
 def index_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "index") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+    """A row's number in its group, from 0. Where the first of ``order`` is a number, rows are dealt to cells of it (``ranks.cell_of``, which runs a
+    job), so a hot group isn't sorted in one task."""
+    celled = df.withColumn("_cell", ranks.cell_of(df, order[0]) if isinstance(df.schema[order[0]].dataType, NumericType) else F.lit(0))
+    line = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = celled.groupBy(*group, "_cell").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(line), F.lit(0)))
+    before = before.select("_before", *[F.col(c).alias(f"_at_{c}") for c in (*group, "_cell")])
+    placed = celled.join(before, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in (*group, "_cell")]))
+    index = F.col("_before") + F.row_number().over(Window.partitionBy(*group, "_cell").orderBy(*order)) - 1
+    return placed.withColumn(name, index).select(*df.columns, name)
 
 
 def group_audit(df: DataFrame, group: str, size: int, one: Sequence[str], two: Sequence[str] = ()) -> DataFrame:
@@ -113,8 +123,9 @@ def row_max(df: DataFrame, columns: Sequence[str], name: str = "score") -> DataF
 
 def gaps_in_order(df: DataFrame, group: str) -> DataFrame:
     """Rows whose successor in the group begins before they end: none in a clean list of intervals."""
-    after = F.lead("start").over(Window.partitionBy(group).orderBy("start", "end"))
-    return df.withColumn("_after", after).where(F.col("_after") < F.col("end")).drop("_after")
+    rows = with_carry(with_tile(df.withColumn("chrom", F.col(group)), "start"), _next=(F.min("start"), "min", "after"))
+    after = F.coalesce(F.lead("start").over(inside("start", "end")), "_next")
+    return rows.withColumn("_after", after).where(F.col("_after") < F.col("end")).select(df.columns)
 
 
 def value_set_difference(a: DataFrame, b: DataFrame, column: str) -> DataFrame:

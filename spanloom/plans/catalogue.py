@@ -469,10 +469,14 @@ def case_encode(v):
     return plain.select("id", Q.case_encode("raw", values, 2.0).alias("seq"))
 
 
-@query("SELECT id, substr(raw, 1, 5) AS context, substr(raw, 6, 6) AS ref_completion, concat('A', substr(raw, 7, 5)) AS alt_completion FROM seqs WHERE length(raw) >= 11")
+@query("""WITH w AS (SELECT id, unnest(range(length(raw) // 11)) AS number, raw FROM seqs), x AS (SELECT id, number, substr(raw, 11 * number + 1, 11) AS f FROM w),
+y AS (SELECT *, concat(substr(f, 1, 5), 'A', substr(f, 7)) AS g FROM x), r AS (SELECT id, number, reverse(translate(f, 'ACGTacgt', 'TGCAtgca')) AS f, reverse(translate(g, 'ACGTacgt', 'TGCAtgca')) AS g FROM y)
+SELECT id, number, '+' AS strand, substr(f, 1, 5) AS context, substr(f, 6) AS ref_completion, substr(g, 6) AS alt_completion FROM y UNION ALL SELECT id, number, '-', substr(f, 1, 5), substr(f, 6), substr(g, 6) FROM r""")
 def context_completion(v):
-    x = Q.context_and_completions(F.substring("raw", 1, 11), F.substring("raw", 6, 1), F.lit("A"), 11)
-    return v("seqs").where("length(raw) >= 11").select("id", x.alias("x")).select("id", "x.*")
+    """Every window of 11 letters of every text, with an A in its middle as the other base, on both strands."""
+    windows = letter_windows(v("seqs"), 11)
+    one = lambda strand: windows.select("id", "number", F.lit(strand).alias("strand"), Q.context_and_completions(F.col("window"), F.substring("window", 6, 1), F.lit("A"), 11, strand).alias("x"))
+    return one("+").union(one("-")).select("id", "number", "strand", "x.*")
 
 
 @query("SELECT row_id, CASE WHEN score IS NULL THEN 'OOR' WHEN score >= 0 AND score < 50 THEN 'b0' WHEN score >= 50 AND score < 200 THEN 'b1' WHEN score >= 200 AND score <= 400 THEN 'b2' ELSE 'OOR' END AS bin FROM variants")
@@ -562,17 +566,47 @@ def lift_over(v):
     return variants.lift_over(v("variants"), blocks).select("row_id", "chrom", "pos", "ref")
 
 
+def letter_windows(seqs, size):
+    """``id, number, window``: all whole windows of ``size`` letters of each text, one after another."""
+    number = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.length("raw") / size) - 1))
+    rows = seqs.where(F.length("raw") >= size).select("id", "raw", number.alias("number"))
+    return rows.select("id", "number", F.substring("raw", (F.col("number") * size + 1).cast("int"), F.lit(size)).alias("window"))
+
+
+def genome(v):
+    """All texts as 24 chromosomes, in chunks."""
+    records = v("seqs").select(F.concat(F.lit("chr"), F.col("id").cast("long") % 24).alias("chrom"), F.col("id").cast("long").alias("ord"), F.col("raw").alias("seq"))
+    return variants.chunks_of_records(records, 1 << 12)
+
+
 @query("""WITH g AS (SELECT concat('chr', CAST(id AS BIGINT) % 24) AS chrom, string_agg(raw, '' ORDER BY CAST(id AS BIGINT)) AS seq FROM seqs GROUP BY 1), x AS (SELECT v.*, upper(substr(g.seq, v.pos, 1)) AS base FROM variants AS v JOIN g ON v.chrom = g.chrom WHERE v.pos <= length(g.seq))
 SELECT row_id, CASE WHEN base = ref THEN ref ELSE alt END AS ref, CASE WHEN base = ref THEN alt ELSE ref END AS alt FROM x WHERE base = ref OR base = alt""")
 def check_reference(v):
-    records = v("seqs").select(F.concat(F.lit("chr"), F.col("id").cast("long") % 24).alias("chrom"), F.col("id").cast("long").alias("ord"), F.col("raw").alias("seq"))
-    return variants.check_reference(v("variants"), variants.chunks_of_records(records, 1 << 12), 1 << 12).select("row_id", "ref", "alt")
+    return variants.check_reference(v("variants"), genome(v), 1 << 12).select("row_id", "ref", "alt")
 
 
-@query("SELECT row_id, subset FROM variants WHERE chrom IN (SELECT chrom FROM variants GROUP BY chrom HAVING count(DISTINCT ref) = 4)")
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND text IN (SELECT text FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(DISTINCT lang) + max(CASE WHEN lang IS NULL THEN 1 ELSE 0 END) = 1 AND count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) = 1)")
 def unambiguous_ids(v):
-    four = v("variants").groupBy("chrom").agg(F.count_distinct("ref").alias("n")).withColumn("n", F.when(F.col("n") == 4, 1))
-    return variants.unambiguous(v("variants").join(four.where("n = 1"), "chrom", "left_semi").withColumn("one", F.lit(1)), "chrom", ["one"]).select("row_id", "subset")
+    """Documents of one language whose text comes with one language and one source only."""
+    return variants.unambiguous(v("documents"), "text", ["lang", "source"]).where("lang = 'en'").select("doc_id")
+
+
+@query("SELECT source, count(DISTINCT doc_id) AS doc_id, count(DISTINCT lang) AS lang, count(DISTINCT n_chars) AS n_chars FROM documents GROUP BY source")
+def distinct_per_group(v):
+    rows = v("documents").select("source", "doc_id", "lang", "n_chars")
+    return rows.groupBy("source").agg(*[F.count_distinct(c).alias(c) for c in rows.columns[1:]])
+
+
+@query("""WITH g AS (SELECT concat('chr', CAST(id AS BIGINT) % 24) AS chrom, string_agg(raw, '' ORDER BY CAST(id AS BIGINT)) AS seq FROM seqs GROUP BY 1),
+x AS (SELECT v.row_id, rpad(concat(repeat('N', CAST(greatest(0, 5 - pos) AS INTEGER)), coalesce(substr(g.seq, CAST(greatest(1, pos - 4) AS BIGINT), CAST(pos + 3 - greatest(1, pos - 4) + 1 AS BIGINT)), '')), 8, 'N') AS f FROM variants AS v LEFT JOIN g ON v.chrom = g.chrom)
+SELECT row_id, '+' AS strand, f AS window, regexp_replace(regexp_replace(f, '[A-Z]', '1', 'g'), '[a-z]', '0', 'g') AS upper FROM x
+UNION ALL SELECT row_id, '-', reverse(translate(f, 'ACGTacgt', 'TGCAtgca')), reverse(regexp_replace(regexp_replace(f, '[A-Z]', '1', 'g'), '[a-z]', '0', 'g')) FROM x""")
+def variant_windows(v):
+    """The 8 bases about every variant (4 before it) of the genome that all texts make, N beyond its ends, on both strands, and which are upper case."""
+    found = variants.bases_at(v("variants"), genome(v), 4, 3, 1 << 12).select("row_id", F.col("window").alias("f"))
+    both = found.select("row_id", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("f").alias("window")), F.struct(F.lit("-").alias("strand"), Q.reverse_complement("f").alias("window")))).alias("x"))
+    upper = F.array_join(F.transform(Q.upper_mask(F.col("x.window")), lambda u: u.cast("int").cast("string")), "")
+    return both.select("row_id", "x.*", upper.alias("upper"))
 
 
 @query("WITH p AS (SELECT subset, count(*) AS n_input FROM variants WHERE label GROUP BY subset), q AS (SELECT subset, count(*) FILTER (WHERE label) AS n_kept FROM variants WHERE row_id % 2 = 0 GROUP BY subset) SELECT coalesce(p.subset, q.subset) AS subset, coalesce(n_input, 0) AS n_input, coalesce(n_kept, 0) AS n_kept, coalesce(n_input, 0) - coalesce(n_kept, 0) AS n_dropped FROM p FULL JOIN q ON p.subset = q.subset")

@@ -182,6 +182,13 @@ def random_placement(v):
     return regions.place_at_random(v("iv_b"), free, 7)
 
 
+@query()
+def placement_apart(v):
+    """Drawn places of which no two overlap; tests hold that, their lengths and chromosomes, and that nothing excluded is touched."""
+    free = intervals.subtract(_defined(v)(), regions.exclusion(v("iv_b"), v("gaps")))
+    return regions.place_apart(v("iv_b"), free, 7)
+
+
 @query("SELECT count(*) AS n_intervals, CAST(sum(e - s) AS BIGINT) AS total_bases, CAST(sum(coalesce(n, 0)) AS BIGINT) AS conserved_bases, round(100.0 * sum(coalesce(n, 0)) / CAST(sum(e - s) AS DOUBLE), 6) AS percent FROM cre LEFT JOIN (SELECT c.row_id, sum(CASE WHEN t.value >= 0 THEN least(c.e, t.e) - greatest(c.s, t.s) ELSE 0 END) AS n FROM cre AS c JOIN signal AS t ON c.chrom = t.chrom AND c.s < t.e AND t.s < c.e WHERE t.value IS NOT NULL GROUP BY c.row_id) AS k ON cre.row_id = k.row_id")
 def conserved_totals(v):
     return regions.conserved_totals(v("cre"), v("signal"), 0.0).select("n_intervals", "total_bases", "conserved_bases", r6("percent"))

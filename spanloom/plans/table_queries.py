@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as Q
 from ..operators import aggregates, matching, metrics, tables, variants
-from .catalogue import _STEPS, query, r6
+from .catalogue import _STEPS, letter_windows, query, r6
 
 
 @query("WITH f AS (SELECT query, target, min(bits) AS b FROM hits GROUP BY query, target) SELECT query, string_agg(target, '|' ORDER BY b, target) AS target FROM f GROUP BY query")
@@ -190,12 +190,15 @@ def matching_leak(v):
     return leak.select("subset", "feature", r6("auprc"))
 
 
-@query("SELECT id, array_to_string(list_transform(string_split(substr(raw, 1, 9), ''), lambda c: coalesce(nullif(list_position(['a','c','g','t'], lower(c)), 0) + 1, 1)), ' ') AS input_ids, CASE substr(id, -1) WHEN '1' THEN 3 WHEN '2' THEN 4 WHEN '3' THEN 5 ELSE 2 END AS alt_token_id FROM seqs WHERE length(raw) >= 9")
+@query("""WITH w AS (SELECT id, unnest(range(length(raw) // 9)) AS number, raw FROM seqs), x AS (SELECT id, number, substr(raw, 9 * number + 1, 9) AS f, substr('ACGT', CAST(1 + number % 4 AS INTEGER), 1) AS alt FROM w),
+y AS (SELECT id, number, '+' AS strand, f, alt FROM x UNION ALL SELECT id, number, '-', reverse(translate(f, 'ACGTacgt', 'TGCAtgca')), translate(alt, 'ACGT', 'TGCA') FROM x)
+SELECT id, number, strand, array_to_string(list_transform(string_split(f, ''), lambda c: coalesce(nullif(list_position(['a','c','g','t'], lower(c)), 0) + 1, 1)), ' ') AS input_ids, CAST(list_position(['A','C','G','T'], alt) + 1 AS INTEGER) AS alt_token_id FROM y""")
 def variant_examples(v):
-    last = F.right("id", F.lit(1))
-    alt = F.when(last == "1", "C").when(last == "2", "G").when(last == "3", "T").otherwise("A")
-    x = Q.variant_example(F.substring("raw", 1, 9), alt)
-    return v("seqs").where("length(raw) >= 9").select("id", x.alias("x")).select("id", F.array_join(F.col("x.input_ids").cast("array<string>"), " ").alias("input_ids"), F.col("x.alt_token_id").alias("alt_token_id"))
+    """Every window of 9 letters of every text with another base for its middle, on both strands."""
+    windows = letter_windows(v("seqs"), 9)
+    alt = F.substring(F.lit("ACGT"), (1 + F.col("number") % 4).cast("int"), F.lit(1))
+    one = lambda strand: windows.select("id", "number", F.lit(strand).alias("strand"), Q.variant_example(F.col("window"), alt, strand).alias("x"))
+    return one("+").union(one("-")).select("id", "number", "strand", F.array_join(F.col("x.input_ids").cast("array<string>"), " ").alias("input_ids"), F.col("x.alt_token_id").alias("alt_token_id"))
 
 
 @query("SELECT row_id, round(u, 6) AS ll_upper, round(l, 6) AS ll_lower, CAST(2 AS BIGINT) AS n_upper, CAST(1 AS BIGINT) AS n_lower FROM (SELECT row_id, 0 - CAST(row_id % 3 AS DOUBLE) - CAST(row_id % 5 AS DOUBLE) / 2 AS u, 0 - CAST(row_id % 7 AS DOUBLE) AS l FROM variants) AS t")
