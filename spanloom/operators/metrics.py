@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranks
+from .kept import kept
 
 GLOBAL, MACRO = "_global_", "_macro_avg_"
 
@@ -121,28 +122,103 @@ def average_precision(label: np.ndarray, score: np.ndarray, weight: np.ndarray |
     return float((np.diff(tp, prepend=0) * tp / np.maximum(k, 1e-300)).sum() / tp[-1])
 
 
+#: Groups of a bucket of the resampling tree, about, and buckets of one of its nodes.
+BUCKET_GROUPS, FAN = 1024, 1024
+
+
+def _part(counts: np.ndarray, at: int, n: np.ndarray, key: Sequence[int]) -> np.ndarray:
+    """How many of each draw's ``n`` picks fall to ``counts[at]``, by halving the range: a node of the tree deals its picks to its halves by
+    binomials that depend on the key and the node alone, so every bucket sees the same draws."""
+    lo, hi = 0, len(counts)
+    run = np.append(0, np.cumsum(counts))
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = np.random.default_rng([*key, lo, hi]).binomial(n, (run[mid] - run[lo]) / max(run[hi] - run[lo], 1))
+        n, lo, hi = (left, lo, mid) if at < mid else (n - left, mid, hi)
+    return n
+
+
+def _weighted(by: Sequence[str], draws: int, seed: int):
+    """Rows of one bucket with ``w``: how often each draw takes the row's group, after a one for the data itself."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        key = [seed, int(first["_key"])]
+        picks = _part(np.array(first["_tops"]), int(first["_top"]), np.full(draws, int(first["_groups"])), key)
+        picks = _part(np.array(first["_leaves"]), int(first["_leaf"]), picks, [*key, int(first["_top"])])
+        names = sorted(set(rows["match_group"]))
+        rng = np.random.default_rng([*key, int(first["_top"]), int(first["_leaf"]), 0])
+        w = np.ones((draws + 1, len(names)), np.uint32)
+        w[1:] = rng.multinomial(picks, np.full(len(names), 1 / len(names)))
+        at = {g: i for i, g in enumerate(names)}
+        return rows[[*by, "score", "_cell", "p", "n"]].assign(w=[np.ascontiguousarray(w[:, at[g]]).tobytes() for g in rows["match_group"]])
+
+    return run
+
+
+def _sums(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted positives and rows at each distinct score of ``rows``, from the highest down: a row for each score, a column for each draw."""
+    rows = rows.sort_values("score", ascending=False)
+    score, w = rows["score"].to_numpy(), np.stack([np.frombuffer(x, np.uint32) for x in rows["w"]])
+    start = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+    return tuple(np.add.reduceat(w * rows[c].to_numpy()[:, None], start, dtype=np.float64) for c in ("p", "n"))
+
+
 def bootstrap_auprc(df: DataFrame, by: Sequence[str], draws: int = 1000, seed: int = 0) -> DataFrame:
     """Average precision and its error from resampling whole match groups with replacement.
 
-    Groups are numbered within ``by``; each draw takes as many numbers as there are groups, from hashes of seed, draw and turn, so draws
-    don't depend on partitions. What a group has at each score is counted first, and weighed by how often a draw took the group. Draw 0
-    has every group once; a draw without both classes counts for nothing.
+    Each draw takes as many groups as there are. The picks go down a tree of buckets of groups by binomials that are seeded by ``seed``, the group of
+    ``by`` and the node, so a bucket finds its share of all draws by itself, deals it to its groups, and the draws don't depend on
+    partitions. A row then carries its weights of all draws as one value; rows are summed inside cells of scores (``ranks.cell_of``), with what lies above
+    a cell from the sums of cells, so the number of rows that are shuffled doesn't depend on ``draws``. A task holds the rows of one cell
+    (a 1024th) with 4 bytes a draw. A draw without both classes counts for nothing. Runs three jobs while it is built.
     """
-    y = F.col("label").cast("int")
-    cells = reject_nan(df).groupBy(*by, "match_group", "score").agg(F.sum(y).alias("p"), F.count("*").alias("n"))
-    groups = df.select(*by, "match_group").distinct().withColumn("number", F.row_number().over(Window.partitionBy(*by).orderBy("match_group")) - 1)
-    size = groups.groupBy(*by).agg(F.count("*").alias("size"))
-    turns = size.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("size"))))
-    took = turns.select(*by, "draw", F.pmod(F.xxhash64(F.lit(seed), "draw", "turn"), F.col("size")).cast("int").alias("number")).groupBy(*by, "draw", "number").agg(F.count("*").alias("w"))
-    whole = groups.select(*by, "number", F.lit(0).alias("draw"), F.lit(1).cast("long").alias("w"))
-    drawn = took.select(*by, "number", "draw", "w").union(whole).join(groups, [*by, "number"])
-    rows = drawn.join(cells, [*by, "match_group"])
-    n = rows.groupBy(*by, "draw", "score").agg(F.sum(F.col("w") * F.col("p")).cast("double").alias("p"), F.sum(F.col("w") * F.col("n")).cast("double").alias("n"))
-    down = Window.partitionBy(*by, "draw").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = n.select(*by, "draw", "p", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("k"))
-    value = F.when((F.max("tp") > 0) & (F.max("tp") < F.max("k")), F.sum(F.col("p") * F.col("tp") / F.col("k")) / F.nullif(F.max("tp"), F.lit(0.0)))
-    per = steps.groupBy(*by, "draw").agg(value.alias("v"))
-    return per.groupBy(*by).agg(F.max(F.when(F.col("draw") == 0, F.col("v"))).alias("value"), F.stddev_samp(F.when(F.col("draw") > 0, F.col("v"))).alias("se"), F.count(F.when(F.col("draw") > 0, F.col("v"))).alias("n_draws"))
+    by, y = list(by), F.col("label").cast("int")
+    celled = reject_nan(df).withColumn("_cell", ranks.cell_of(df, "score"))
+    cells = celled.groupBy(*by, "match_group", "score", "_cell").agg(F.sum(y).cast("double").alias("p"), F.count("*").cast("double").alias("n"))
+    groups = df.select(*by, "match_group").distinct()
+    size = groups.groupBy(*by).agg(F.count("*").alias("_groups"))
+    buckets = F.greatest(F.ceil(F.col("_groups") / BUCKET_GROUPS), F.lit(1))
+    dealt = groups.join(size, by).withColumn("_bucket", F.pmod(F.xxhash64("match_group"), buckets))
+    dealt = dealt.withColumns({"_top": F.shiftright("_bucket", 10), "_leaf": F.pmod("_bucket", F.lit(FAN))})
+    leaf = dealt.groupBy(*by, "_top", "_leaf").agg(F.count("*").alias("_n"))
+    in_order = lambda place: F.transform(F.array_sort(F.collect_list(F.struct(place, "_n"))), lambda x: x["_n"])
+    # buckets of a node without groups don't stand in the lists, so places are ranks among those that do
+    leaves = leaf.groupBy(*by, "_top").agg(in_order("_leaf").alias("_leaves"), F.array_sort(F.collect_list("_leaf")).alias("_leaf_ids"), F.sum("_n").alias("_n"))
+    tops = leaves.groupBy(*by).agg(in_order("_top").alias("_tops"), F.array_sort(F.collect_list("_top")).alias("_top_ids"))
+    nodes = leaves.drop("_n").join(tops, by)
+    placed = dealt.join(nodes, [*by, "_top"]).withColumns({"_leaf": F.array_position("_leaf_ids", F.col("_leaf")) - 1, "_top": F.array_position("_top_ids", F.col("_top")) - 1})
+    placed = placed.withColumn("_key", F.pmod(F.xxhash64(*by), F.lit(1 << 62))).drop("_leaf_ids", "_top_ids", "_bucket")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema.fields)
+    rows = kept(cells.join(placed, [*by, "match_group"]).groupBy(*by, "_top", "_leaf").applyInPandas(_weighted(by, draws, seed), f"{schema}, score double, _cell int, p double, n double, w binary"))
+
+    def totals(part: pd.DataFrame) -> pd.DataFrame:
+        p, n = _sums(part)
+        return part[[*by, "_cell"]].head(1).assign(p=p.sum(0).tobytes(), n=n.sum(0).tobytes())
+
+    def before(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_cell", ascending=False)
+        run = {c: np.cumsum(np.stack([np.frombuffer(x) for x in part[c]]), 0) for c in ("p", "n")}
+        return part[[*by, "_cell"]].assign(**{f"{c}_above": [(x - np.frombuffer(own)).tobytes() for x, own in zip(run[c], part[c], strict=True)] for c in run}, p_all=run["p"][-1].tobytes(), n_all=run["n"][-1].tobytes())
+
+    def steps(part: pd.DataFrame) -> pd.DataFrame:
+        above, first = part[part["w"].isna()].iloc[0], part[[*by]].head(1)
+        p, n = _sums(part[part["w"].notna()])
+        tp, k = np.frombuffer(above["p_above"]) + np.cumsum(p, 0), np.frombuffer(above["n_above"]) + np.cumsum(n, 0)
+        return first.assign(area=(p * tp / np.maximum(k, 1)).sum(0).tobytes(), p_all=above["p_all"], n_all=above["n_all"])
+
+    def errors(part: pd.DataFrame) -> pd.DataFrame:
+        area, p, n = np.stack([np.frombuffer(x) for x in part["area"]]).sum(0), np.frombuffer(part["p_all"].iloc[0]), np.frombuffer(part["n_all"].iloc[0])
+        good = (p > 0) & (p < n)
+        value = np.where(good, area / np.maximum(p, 1), np.nan)
+        own = value[1:][good[1:]]
+        return part[by].head(1).assign(value=value[0], se=np.std(own, ddof=1) if len(own) > 1 else np.nan, n_draws=len(own))
+
+    summed = rows.groupBy(*by, "_cell").applyInPandas(totals, f"{schema}, _cell int, p binary, n binary")
+    above = summed.groupBy(*by).applyInPandas(before, f"{schema}, _cell int, p_above binary, n_above binary, p_all binary, n_all binary")
+    areas = rows.unionByName(above, allowMissingColumns=True).groupBy(*by, "_cell").applyInPandas(steps, f"{schema}, area binary, p_all binary, n_all binary")
+    found = areas.groupBy(*by).applyInPandas(errors, f"{schema}, value double, se double, n_draws long")
+    return found.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("value", "se")})
 
 
 def auprc_metrics(df: DataFrame, n_min: int = 30, draws: int = 1000, seed: int = 0) -> DataFrame:

@@ -63,18 +63,34 @@ def test_gc_repeat_match(spark):
     assert np.mean([abs(where[r["id"]][2] - where[r["positive_id"]][2]) for r in got]) < 0.08
 
 
-def test_bootstrap(spark):
+def test_bootstrap(spark, monkeypatch):
     rng = np.random.default_rng(6)
-    rows = [(g, bool(i == 0), float(rng.normal() + (i == 0))) for g in range(60) for i in range(3)]
+    rows = [(g, bool(i == 0), round(float(rng.normal() + (i == 0)), 1)) for g in range(60) for i in range(3)]
     df = spark.createDataFrame(rows, "match_group long, label boolean, score double").withColumn("subset", F.lit("a"))
-    got = metrics.bootstrap_auprc(df, ["subset"], draws=300).first()
+    alone = spark.createDataFrame([(1, True, 0.5), (2, True, 0.7)], "match_group long, label boolean, score double").withColumn("subset", F.lit("b"))
     y, x, g = (np.array([r[k] for r in rows]) for k in (1, 2, 0))
-    assert got["value"] == pytest.approx(metrics.average_precision(y.astype(float), x))
     own = []
-    for _ in range(400):
+    for _ in range(2000):
         weight = np.bincount(rng.integers(0, 60, 60), minlength=60)[g]
         own.append(metrics.average_precision(y[weight > 0].astype(float), x[weight > 0], weight[weight > 0].astype(float)))
-    assert got["n_draws"] == 300 and got["se"] == pytest.approx(np.std(own, ddof=1), rel=0.25)
+    found = set()
+    for bucket_groups in (1024, 4):  # one bucket, and a tree of fifteen
+        monkeypatch.setattr(metrics, "BUCKET_GROUPS", bucket_groups)
+        got = {r["subset"]: r for r in metrics.bootstrap_auprc(df.union(alone), ["subset"], draws=1000, seed=bucket_groups).collect()}
+        assert got["a"]["value"] == pytest.approx(metrics.average_precision(y.astype(float), x))
+        assert got["a"]["n_draws"] == 1000 and got["a"]["se"] == pytest.approx(np.std(own, ddof=1), rel=0.1)
+        assert (got["b"]["value"], got["b"]["se"], got["b"]["n_draws"]) == (None, None, 0)
+        again = metrics.bootstrap_auprc(df.union(alone).repartition(5), ["subset"], draws=1000, seed=bucket_groups).where("subset = 'a'").first()
+        assert again["se"] == pytest.approx(got["a"]["se"], rel=1e-9)
+        found.add(round(got["a"]["se"], 9))
+    assert len(found) == 2
+
+
+def test_picks_of_a_tree():
+    counts, draws = np.array([5, 1, 9, 40, 3]), np.full(4000, 58)
+    parts = np.stack([metrics._part(counts, i, draws, [3, 1]) for i in range(5)])
+    assert (parts.sum(0) == 58).all() and parts.mean(1) == pytest.approx(counts, rel=0.06)
+    assert parts[2].var() == pytest.approx(58 * (9 / 58) * (49 / 58), rel=0.1)
 
 
 FREE = [("c0", 0, 50), ("c0", 100, 3_000_000), ("c1", 7, 9), ("c1", 40, 700), ("c2", 5, 9)]
