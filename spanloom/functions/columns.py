@@ -93,3 +93,8 @@ def assert_columns(df: DataFrame, *names: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {missing}")
     return df
+
+
+def score_transforms(score: Column) -> dict[str, Column]:
+    """What a log-likelihood ratio is turned to before it is ranked, by name."""
+    return {"minus_llr": -score, "abs_llr": F.abs(score)}

@@ -117,3 +117,15 @@ def reference_log_probability(log_likelihoods: Column, ref: Column) -> Column:
     from .columns import log_softmax
 
     return F.get(log_softmax(log_likelihoods), ref)
+
+
+def char_vocabulary(bos: bool = False, eos: bool = False) -> dict[str, int]:
+    """The letters' vocabulary that ``char_tokens`` gives ids of."""
+    marks = ["[PAD]", "[UNK]", *["[BOS]"] * bos, *["[EOS]"] * eos]
+    return {token: i for i, token in enumerate([*marks, *"acgt"])}
+
+
+def likelihood_example(window: Column, bos: bool = False, eos: bool = False) -> Column:
+    """``input_ids`` of a window and ``is_upper``, false for marks: what a likelihood by case is summed over."""
+    mark = lambda there: F.array(F.lit(False)) if there else F.array().cast("array<boolean>")
+    return F.struct(char_tokens(window, bos, eos).alias("input_ids"), F.concat(mark(bos), upper_mask(window), mark(eos)).alias("is_upper"))

@@ -16,8 +16,8 @@ def nearest_rank(df: DataFrame, column: str, q: float) -> float | None:
 
 
 def keep_first(df: DataFrame, key: Sequence[str], *order: Column) -> DataFrame:
-    """One row a key: the first in ``order``, which should end in a full tie-break. By aggregation, so a hot key is combined before the shuffle
-    where all order columns ascend; otherwise by rank."""
+    """One row a key: the first in ``order``, which should end in a full tie-break. By rank; Spark keeps only the first row of a key in each
+    task before the shuffle, so a hot key is combined there."""
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
@@ -107,3 +107,31 @@ def width_buckets(df: DataFrame, group: Sequence[str], column: str, n: int) -> D
     ends = df.groupBy(*group).agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
     place = F.floor(F.try_divide((F.col(column) - F.col("_low")) * F.lit(n), F.col("_high") - F.col("_low")))
     return df.join(ends, list(group), "left").withColumn("bucket", F.greatest(F.lit(0), F.least(F.lit(n - 1), F.coalesce(place, F.lit(0))))).drop("_low", "_high")
+
+
+def quantile_cut(df: DataFrame, group: Sequence[str], column: str, n: int) -> DataFrame:
+    """``bucket`` of each row between the distinct edges among its group's ``n`` quantiles, closed on the right, the first on both sides; repeated edges
+    make one bucket less. Null for a null value."""
+    edges = ranks.quantiles(df, group, column, [i / n for i in range(n + 1)]).withColumn("_edges", F.array_distinct("quantiles")).drop("quantiles")
+    out = df.join(edges, list(group), "left")
+    inner = F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0)))
+    place = F.aggregate(inner, F.lit(0), lambda s, e: s + (F.col(column) > e).cast("int"))
+    return out.withColumn("bucket", F.when(F.col(column).isNotNull(), place)).drop("_edges")
+
+
+def scheme_bins(df: DataFrame, subset: str, column: str, scheme: dict[str, Sequence[float] | int], local: Sequence[str], floor: float = 1e-10) -> DataFrame:
+    """``bin`` by a scheme for each subset: a list of edges gives ``<first eight letters>:b0, ...`` (closed on the right), a number ``n`` gives ``ll:0 .. ll:n-1``,
+    equal parts of the logarithm between the least and greatest value of the row's ``local`` group. Other subsets are ``UNKNOWN``."""
+    from ..functions.columns import edge_bins
+
+    log = F.log10(F.greatest(F.lit(floor), F.least(F.col(column), F.lit(1.0))))
+    ends = df.groupBy(*local).agg(F.min(log).alias("_low"), F.max(log).alias("_high"))
+    label = F.lit("UNKNOWN")
+    for name, rule in scheme.items():
+        if isinstance(rule, int):
+            place = F.floor(F.try_divide(log - F.col("_low"), (F.col("_high") - F.col("_low")) / rule))
+            own = F.concat(F.lit("ll:"), F.greatest(F.lit(0), F.least(F.lit(rule - 1), F.coalesce(place, F.lit(0)))))
+        else:
+            own = F.concat(F.lit(f"{name[:8]}:"), edge_bins(F.col(column), list(rule), right_closed=True))
+        label = F.when(F.col(subset) == name, own).otherwise(label)
+    return df.join(ends, list(local)).withColumn("bin", label).drop("_low", "_high")

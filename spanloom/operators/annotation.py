@@ -12,8 +12,8 @@ from . import intervals
 
 # Biotypes of non-coding transcripts that count as functional.
 NCRNA_BIOTYPES = (
-    "antisense_RNA", "lnc_RNA", "miRNA", "ncRNA", "piRNA", "RNase_MRP_RNA", "RNase_P_RNA", "rRNA", "scaRNA",
-    "scRNA", "snoRNA", "snRNA", "SRP_RNA", "telomerase_RNA", "tRNA", "vault_RNA", "Y_RNA",
+    "lnc_RNA", "miRNA", "snoRNA", "tRNA", "snRNA", "rRNA", "antisense_RNA", "ncRNA", "scRNA",
+    "vault_RNA", "Y_RNA", "scaRNA", "RNase_P_RNA", "RNase_MRP_RNA", "telomerase_RNA", "SRP_RNA", "piRNA",
 )
 
 

@@ -242,8 +242,10 @@ def sign_tests(df: DataFrame, by: Sequence[str], tests: int | None = None) -> Da
         return pd.Series(out, dtype="float64")
 
     out = n.withColumn("accuracy", (F.col("wins") + 0.5 * (F.col("n") - F.col("wins") - F.col("losses"))) / F.col("n")).withColumn("p_value", tail("wins", "losses"))
-    many = F.lit(tests) if tests else F.count("*").over(Window.partitionBy())
-    return out.withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p_value") * many))
+    if tests:
+        return out.withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p_value") * tests))
+    many = n.agg(F.count("*").alias("_tests"))
+    return out.join(F.broadcast(many)).withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p_value") * F.col("_tests"))).drop("_tests")
 
 
 def attached_sequences(rows: DataFrame, sequences: DataFrame, key: Sequence[str], length: int) -> DataFrame:

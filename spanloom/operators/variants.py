@@ -79,6 +79,86 @@ def attach_consequences(variants: DataFrame, consequences: DataFrame, column: st
     return variants.join(consequences.select(*KEY, column), KEY, "left")
 
 
+#: Ranges of positions of a chromosome that are pushed to a scan.
+RANGES = 64
+
+
+def write_by_chromosome(df: DataFrame, path: str, files: int = 8) -> None:
+    """A table of variants laid out for ``attach_from_table``: a folder for each chromosome, each file a range of positions in their order."""
+    df.repartitionByRange(files * 8, "chrom", "pos").sortWithinPartitions("chrom", "pos").write.mode("overwrite").partitionBy("chrom").parquet(path)
+
+
+def position_ranges(variants: DataFrame, width: int = 1 << 16, most: int = RANGES) -> dict[str, list[tuple[int, int]]]:
+    """Ranges of positions that hold all of ``variants``, at most ``most`` a chromosome, cut at the widest gaps between blocks of ``width`` bases.
+    Runs a job; the driver gets two numbers a block that holds a variant."""
+    blocks = variants.groupBy("chrom", F.floor(F.col("pos") / width).alias("b")).agg(F.min("pos").alias("low"), F.max("pos").alias("high")).where("chrom is not null and b is not null")
+    found: dict[str, list[tuple[int, int]]] = {}
+    for chrom, _, low, high in sorted(map(tuple, blocks.toLocalIterator())):
+        found.setdefault(chrom, []).append((low, high))
+    for chrom, own in found.items():
+        gaps = sorted(((own[i + 1][0] - own[i][1], i) for i in range(len(own) - 1)), reverse=True)[: most - 1]
+        cuts = [-1, *sorted(i for _, i in gaps), len(own) - 1]
+        found[chrom] = [(own[a + 1][0], own[b][1]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return found
+
+
+def attach_from_table(variants: DataFrame, path: str, columns: Sequence[str]) -> DataFrame:
+    """Left join of ``columns`` of a table that ``write_by_chromosome`` wrote, by the variant key. Only the folders of the variants' chromosomes are
+    listed, and the ranges of their positions go to the scan as filters, so files and row groups without any are left unread. Runs a job to
+    find the ranges."""
+    table = variants.sparkSession.read.parquet(path).withColumn("chrom", F.col("chrom").cast("string"))
+    wanted = position_ranges(variants)
+    where = F.lit(False)
+    for chrom, ranges in wanted.items():
+        inside = F.lit(False)
+        for low, high in ranges:
+            inside = inside | F.col("pos").between(low, high)
+        where = where | ((F.col("chrom") == chrom) & inside)
+    # the filter by chromosome alone prunes folders, the ranges of all chromosomes together prune row groups
+    low, high = min((r[0][0] for r in wanted.values()), default=0), max((r[-1][1] for r in wanted.values()), default=-1)
+    few = table.where(F.col("chrom").isin(list(wanted)) & F.col("pos").between(low, high) & where)
+    return variants.join(few.select(*KEY, *columns), KEY, "left")
+
+
+# Consequences of variants outside exons.
+NON_EXONIC = ("intergenic_variant", "intron_variant", "upstream_gene_variant", "downstream_gene_variant")
+
+
+def _nearest_of_both(spots: DataFrame, coding: DataFrame, noncoding: DataFrame, what: str) -> DataFrame:
+    out = None
+    for kind, table in (("pc", coding), ("nc", noncoding)):
+        own = nearest(spots, table.select("chrom", "start", "end", "gene_id"), "gene_id")
+        own = own.select("row_id", F.col("distance").alias(f"distance_{what}_{kind}"), F.col("gene_id").alias(f"{what}_closest_{kind}_gene_id"))
+        out = own if out is None else out.join(own, "row_id")
+    first = F.col(f"distance_{what}_pc") <= F.col(f"distance_{what}_nc")
+    gene = F.when(first, F.col(f"{what}_closest_pc_gene_id")).otherwise(F.col(f"{what}_closest_nc_gene_id"))
+    return out.withColumns({f"distance_{what}": F.least(f"distance_{what}_pc", f"distance_{what}_nc"), f"{what}_closest_gene_id": gene})
+
+
+def evaluation_table(
+    variants: DataFrame, exons: tuple[DataFrame, DataFrame], starts: tuple[DataFrame, DataFrame], excluded: Sequence[str], exon_near: int, start_near: int, groups: dict[str, Sequence[str]]
+) -> DataFrame:
+    """The whole build of an evaluation set, sorted by coordinates.
+
+    ``variants``: unique ``row_id``, the variant key, ``label``, ``consequence``, ``consequence_cre``. ``exons``, ``starts``: coding and non-coding features with
+    ``gene_id``. Consequences in ``excluded`` go. Distances to and genes of the nearest exon and start of both kinds are attached.
+    ``consequence_final`` is ``tss_proximal`` within ``start_near`` of a start for what lies outside exons, else ``exon_proximal`` within ``exon_near`` of an exon
+    for introns, else ``consequence_cre``. Only final consequences that occur among positives stay. ``consequence_group`` is the name in ``groups``
+    that lists the final consequence, or that itself; a null one fails the query.
+    """
+    own = variants.where(~F.col("consequence").isin(list(excluded)))
+    spots = own.select("row_id", "chrom", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"))
+    out = own.join(_nearest_of_both(spots, *exons, "exon"), "row_id").join(_nearest_of_both(spots, *starts, "tss"), "row_id")
+    near_start = F.col("consequence").isin(*NON_EXONIC) & (F.col("distance_tss") <= start_near)
+    near_exon = (F.col("consequence") == "intron_variant") & (F.col("distance_exon") <= exon_near)
+    out = out.withColumn("consequence_final", F.when(near_start, "tss_proximal").when(near_exon, "exon_proximal").otherwise(F.col("consequence_cre")))
+    out = keep_positive_classes(out, "consequence_final")
+    names = {c: g for g, own in groups.items() for c in own}
+    group = F.coalesce(*[F.when(F.col("consequence_final") == c, F.lit(g)) for c, g in names.items()], F.col("consequence_final"))
+    checked = F.coalesce(group, F.raise_error(F.lit("a variant without a group")).cast("string"))
+    return out.withColumn("consequence_group", checked).orderBy(*KEY)
+
+
 def dual_nearest(variants: DataFrame, coding: DataFrame, noncoding: DataFrame, near: int, override: str) -> DataFrame:
     """Distances to the nearest coding and non-coding feature (``gene_id``), the smaller of them with its gene (the coding one on a tie), and
     ``consequence`` replaced by ``override`` within ``near`` bases of a feature."""

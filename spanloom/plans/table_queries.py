@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions import sequence as Q
-from ..operators import aggregates, matching, metrics, tables, variants
-from .catalogue import _STEPS, letter_windows, query, r6
+from ..operators import aggregates, matching, metrics, selection, tables, variants
+from ..operators.kept import shared_folder
+from .catalogue import _STEPS, _nearest_sql, letter_windows, query, r6
 
 
 @query("WITH f AS (SELECT query, target, min(bits) AS b FROM hits GROUP BY query, target) SELECT query, string_agg(target, '|' ORDER BY b, target) AS target FROM f GROUP BY query")
@@ -171,11 +175,11 @@ def validation_metrics(v):
     return tables.validation_metrics(v("scored").withColumnRenamed("subset", "genome")).select("genome", r6("auroc"), r6("auprc"))
 
 
-@query("WITH g AS (SELECT match_group, max(CASE WHEN label THEN score END) AS p, max(CASE WHEN NOT label THEN score END) AS q FROM pairs GROUP BY match_group HAVING count(*) = 2) SELECT match_group % 200 AS part, count(*) AS n, CAST(sum(CASE WHEN p > q THEN 1 ELSE 0 END) AS BIGINT) AS wins, round(avg(CASE WHEN p > q THEN 1.0 WHEN p = q THEN 0.5 ELSE 0.0 END), 6) AS accuracy, round(least(1.0, 2 * (SELECT sum(exp(lgamma(m + 1) - lgamma(CAST(k AS DOUBLE) + 1) - lgamma(m - k + 1) - m * ln(2.0))) FROM (SELECT unnest(range(0, 1 + least(CAST(sum(CASE WHEN p > q THEN 1 ELSE 0 END) AS BIGINT), CAST(sum(CASE WHEN p < q THEN 1 ELSE 0 END) AS BIGINT)))) AS k, CAST(sum(CASE WHEN p <> q THEN 1 ELSE 0 END) AS DOUBLE) AS m) AS r)), 6) AS p_value FROM g GROUP BY 1")
+@query("WITH g AS (SELECT match_group, max(CASE WHEN label THEN score END) AS p, max(CASE WHEN NOT label THEN score END) AS q FROM pairs GROUP BY match_group HAVING count(*) = 2) SELECT part, n, wins, accuracy, round(p_exact, 6) AS p_value, round(least(1.0, p_exact * count(*) OVER ()), 6) AS p_adjusted FROM (SELECT match_group % 200 AS part, count(*) AS n, CAST(sum(CASE WHEN p > q THEN 1 ELSE 0 END) AS BIGINT) AS wins, round(avg(CASE WHEN p > q THEN 1.0 WHEN p = q THEN 0.5 ELSE 0.0 END), 6) AS accuracy, least(1.0, 2 * (SELECT sum(exp(lgamma(m + 1) - lgamma(CAST(k AS DOUBLE) + 1) - lgamma(m - k + 1) - m * ln(2.0))) FROM (SELECT unnest(range(0, 1 + least(CAST(sum(CASE WHEN p > q THEN 1 ELSE 0 END) AS BIGINT), CAST(sum(CASE WHEN p < q THEN 1 ELSE 0 END) AS BIGINT)))) AS k, CAST(sum(CASE WHEN p <> q THEN 1 ELSE 0 END) AS DOUBLE) AS m) AS r)) AS p_exact FROM g GROUP BY 1) AS t")
 def sign_tests(v):
     whole = v("pairs").groupBy("match_group").agg(F.count("*").alias("n")).where("n = 2").drop("n")
     rows = v("pairs").join(whole, "match_group", "left_semi").withColumn("part", F.col("match_group") % 200)
-    return tables.sign_tests(rows, ["part"]).select("part", "n", "wins", r6("accuracy"), r6("p_value"))
+    return tables.sign_tests(rows, ["part"]).select("part", "n", "wins", r6("accuracy"), r6("p_value"), r6("p_adjusted"))
 
 
 @query(f"WITH {_STEPS}, a AS (SELECT subset, max(pp) AS pp, max(nn) AS nn, sum(p * (nn - k + (n + 1) / 2)) AS rs, sum(n * (nn - k + (n + 1) / 2) * (nn - k + (n + 1) / 2)) AS sq FROM st GROUP BY subset), b AS (SELECT subset, (nn + 1) / 2 AS m, pp, nn, rs, sq, (nn - pp) + (pp + 1) / 2 AS ry, (nn - pp + 1) / 2 AS rn FROM a) SELECT subset, round((rs * ry + (nn * m - rs) * rn - nn * m * m) / nullif(sqrt((sq - nn * m * m) * (pp * ry * ry + (nn - pp) * rn * rn - nn * m * m)), 0), 6) AS spearman FROM b")
@@ -232,3 +236,70 @@ def attach_consequences(v):
     x = v("variants")
     table = x.where("row_id % 3 = 0").select(*variants.KEY, F.concat(F.lit("c"), F.col("row_id") % 4).alias("consequence"))
     return variants.attach_consequences(x.select("row_id", *variants.KEY), table)
+
+
+@query("SELECT DISTINCT chrom, pos FROM (SELECT chrom, pos FROM variants WHERE label UNION ALL SELECT chrom, s + 1 FROM iv_b)")
+def union_of_keys(v):
+    return v("variants").where("label").select("chrom", "pos").union(v("iv_b").select("chrom", (F.col("start") + 1).alias("pos"))).distinct()
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT chrom, s, e FROM iv_b EXCEPT ALL SELECT chrom, s, e FROM gaps)) AS only_left, (SELECT count(*) FROM (SELECT chrom, s, e FROM gaps EXCEPT ALL SELECT chrom, s, e FROM iv_b)) AS only_right, (SELECT count(*) FROM (SELECT chrom, s, e FROM iv_b INTERSECT SELECT chrom, s, e FROM gaps)) AS shared")
+def rows_in_common(v):
+    a, b = (v(name).select("chrom", "start", "end") for name in ("iv_b", "gaps"))
+    counts = [x.agg(F.count("*").alias(name)) for x, name in ((a.exceptAll(b), "only_left"), (b.exceptAll(a), "only_right"), (a.intersect(b), "shared"))]
+    return counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2]))
+
+
+@query("SELECT subset, chrom, score FROM (SELECT subset, chrom, score, row_number() OVER (PARTITION BY subset ORDER BY score DESC, chrom) AS k FROM (SELECT subset, chrom, round(avg(coalesce(score, 0)), 6) AS score FROM variants GROUP BY subset, chrom) AS m) AS t WHERE k = 1")
+def best_of_family(v):
+    per = v("variants").groupBy("subset", "chrom").agg(F.round(F.avg(F.coalesce("score", F.lit(0.0))), 6).alias("score"))
+    return selection.best_of_family(per, "subset", "score", "chrom").select("subset", "chrom", "score")
+
+
+@query("SELECT row_id, -score AS minus_llr, abs(score) AS abs_llr FROM variants")
+def score_transforms(v):
+    return v("variants").select("row_id", *[c.alias(n) for n, c in C.score_transforms(F.col("score")).items()])
+
+
+@query("WITH q AS (SELECT subset, quantile_cont(pos, [0, 0.25, 0.5, 0.75, 1]) AS c FROM (SELECT subset, CAST(row_id % 3 AS DOUBLE) AS pos FROM variants) GROUP BY subset), d AS (SELECT subset, list_sort(list_distinct(c)) AS c FROM q) SELECT row_id, CAST(len(list_filter(list_slice(c, 2, len(c) - 1), lambda e: row_id % 3 > e)) AS INTEGER) AS bucket FROM variants JOIN d USING (subset)")
+def quantile_cut(v):
+    rows = v("variants").select("row_id", "subset", (F.col("row_id") % 3).cast("double").alias("pos"))
+    return aggregates.quantile_cut(rows, ["subset"], "pos", 4).select("row_id", "bucket")
+
+
+@query("""WITH x AS (SELECT row_id, chrom, subset, (row_id % 97) / CAST(97 AS DOUBLE) AS maf FROM variants), m AS (SELECT *, log10(greatest(1e-10, least(maf, 1.0))) AS g FROM x), l AS (SELECT chrom, min(g) AS low, max(g) AS high FROM m GROUP BY chrom)
+SELECT row_id, CASE subset WHEN 'click' THEN concat('ll:', CAST(greatest(0, least(3, coalesce(floor((g - low) / nullif((high - low) / 4, 0)), 0))) AS BIGINT)) WHEN 'purchase' THEN concat('purchase:', CASE WHEN maf >= 0 AND maf <= 0.1 THEN 'b0' WHEN maf > 0.1 AND maf <= 0.5 THEN 'b1' ELSE 'OOR' END) ELSE 'UNKNOWN' END AS bin FROM m JOIN l USING (chrom)""")
+def scheme_bins(v):
+    rows = v("variants").select("row_id", "chrom", "subset", (F.col("row_id") % 97 / 97.0).alias("maf"))
+    return aggregates.scheme_bins(rows, "subset", "maf", {"click": 4, "purchase": [0, 0.1, 0.5]}, ["chrom"]).select("row_id", "bin")
+
+
+@query("SELECT row_id, chrom, pos, ref, alt, c AS consequence FROM (SELECT * FROM variants WHERE chrom IN ('chr3', 'chr7') AND pos < 3000) LEFT JOIN (SELECT row_id AS k, concat('c', row_id % 4) AS c FROM variants WHERE row_id % 3 = 0) AS t ON row_id = k")
+def attach_from_table(v):
+    """A table of consequences, written by chromosome, of which only folders and row groups with the variants are read."""
+    x = v("variants")
+    path = f"{shared_folder(x.sparkSession)}/{uuid.uuid4().hex}"
+    variants.write_by_chromosome(x.where("row_id % 3 = 0").select(*variants.KEY, F.concat(F.lit("c"), F.col("row_id") % 4).alias("consequence")), path)
+    return variants.attach_from_table(x.where("chrom in ('chr3', 'chr7') and pos < 3000").select("row_id", *variants.KEY), path, ["consequence"]).select("row_id", *variants.KEY, "consequence")
+
+
+_CONSEQUENCE = "CASE row_id % 5 WHEN 0 THEN 'intron_variant' WHEN 1 THEN 'intergenic_variant' WHEN 2 THEN 'missense_variant' WHEN 3 THEN 'upstream_gene_variant' ELSE 'stop_gained' END"
+
+
+@query(f"""WITH {_nearest_sql('ep', 'SELECT * FROM genes WHERE gene % 48 < 24')}, {_nearest_sql('en', 'SELECT * FROM genes WHERE gene % 48 >= 24')},
+{_nearest_sql('tp', "SELECT gene, chrom, CASE WHEN strand = '-' THEN e - 1 ELSE s END AS s, CASE WHEN strand = '-' THEN e ELSE s + 1 END AS e FROM genes WHERE gene % 48 < 24")}, {_nearest_sql('tn', "SELECT gene, chrom, CASE WHEN strand = '-' THEN e - 1 ELSE s END AS s, CASE WHEN strand = '-' THEN e ELSE s + 1 END AS e FROM genes WHERE gene % 48 >= 24")},
+x AS (SELECT *, {_CONSEQUENCE} AS consequence, CASE WHEN row_id % 7 = 0 THEN 'PLS' ELSE {_CONSEQUENCE} END AS cre FROM variants),
+d AS (SELECT x.*, least(ep.distance, en.distance) AS distance_exon, CASE WHEN ep.distance <= en.distance THEN ep.gene ELSE en.gene END AS exon_closest_gene_id, least(tp.distance, tn.distance) AS distance_tss, CASE WHEN tp.distance <= tn.distance THEN tp.gene ELSE tn.gene END AS tss_closest_gene_id
+  FROM x LEFT JOIN ep USING (row_id) LEFT JOIN en USING (row_id) LEFT JOIN tp USING (row_id) LEFT JOIN tn USING (row_id) WHERE consequence <> 'stop_gained'),
+f AS (SELECT *, CASE WHEN consequence IN ('intergenic_variant', 'intron_variant', 'upstream_gene_variant', 'downstream_gene_variant') AND distance_tss <= 100 THEN 'tss_proximal' WHEN consequence = 'intron_variant' AND distance_exon <= 20 THEN 'exon_proximal' ELSE cre END AS consequence_final FROM d)
+SELECT row_id, distance_exon, exon_closest_gene_id, distance_tss, tss_closest_gene_id, consequence_final, CASE WHEN consequence_final IN ('intergenic_variant', 'upstream_gene_variant') THEN 'distal' WHEN consequence_final IN ('tss_proximal', 'PLS') THEN 'promoter' ELSE consequence_final END AS consequence_group
+FROM f WHERE consequence_final IN (SELECT consequence_final FROM f WHERE label)""")
+def evaluation_table(v):
+    genes = v("genes").withColumnRenamed("gene", "gene_id")
+    minus = F.col("strand") == "-"
+    starts = genes.select("gene_id", "chrom", F.when(minus, F.col("end") - 1).otherwise(F.col("start")).alias("start"), F.when(minus, F.col("end")).otherwise(F.col("start") + 1).alias("end"))
+    both = lambda x: (x.where("gene_id % 48 < 24"), x.where("gene_id % 48 >= 24"))
+    own = F.expr(_CONSEQUENCE)
+    rows = v("variants").withColumns({"consequence": own, "consequence_cre": F.when(F.col("row_id") % 7 == 0, "PLS").otherwise(own)})
+    out = variants.evaluation_table(rows, both(genes), both(starts), ["stop_gained"], 20, 100, {"distal": ["intergenic_variant", "upstream_gene_variant"], "promoter": ["tss_proximal", "PLS"]})
+    return out.select("row_id", "distance_exon", "exon_closest_gene_id", "distance_tss", "tss_closest_gene_id", "consequence_final", "consequence_group")

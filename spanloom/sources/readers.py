@@ -49,11 +49,11 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_vcf(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Single-nucleotide rows with one alternative, and INFO as a map."""
+    """Single-nucleotide rows (by length and by ``CLNVC``; rows without it go) with one alternative, and INFO as a map."""
     rows = _tsv(spark, path, "chrom string, pos long, id string, ref string, alt string, qual string, filter string, info string", comment="#", quote="")
     info = F.str_to_map("info", F.lit(";"), F.lit("="))
     one = rows.withColumn("info", info).where(~F.col("alt").contains(",") & (F.length("ref") == 1) & (F.length("alt") == 1))
-    return one.where(F.coalesce(F.try_element_at("info", F.lit("CLNVC")) == "single_nucleotide_variant", F.lit(True)))
+    return one.where(F.try_element_at("info", F.lit("CLNVC")) == "single_nucleotide_variant")
 
 
 def read_table(spark: SparkSession, path: str | list[str], columns: dict[str, str], sep: str = "\t", nulls: str = "NA", rename: dict[str, str] | None = None) -> DataFrame:
@@ -109,6 +109,13 @@ def read_taxonomy(spark: SparkSession, path: str | list[str], ranks: Sequence[st
     return rows.select(F.get_json_object("value", "$.accession").alias("accession"), *cols)
 
 
+def with_taxonomy(genomes: DataFrame, taxonomy: DataFrame, key: str = "accession", unknown: str = "unknown") -> DataFrame:
+    """``genomes`` with the ranks of their accession; a missing accession or rank is ``unknown``, a repeated accession of the taxonomy counts once."""
+    ranks = [c for c in taxonomy.columns if c != key]
+    once = taxonomy.groupBy(key).agg(*[F.max(c).alias(c) for c in ranks])
+    return genomes.join(once, key, "left").fillna(unknown, ranks)
+
+
 def read_newick_leaves(spark: SparkSession, path: str) -> DataFrame:
     """Leaf names of a tree; names of inner nodes, which follow a bracket, are left out."""
     text = spark.read.text(path, wholetext=True)

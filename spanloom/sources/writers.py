@@ -73,3 +73,14 @@ def dataset_card(title: str, splits: dict[str, int], retention: DataFrame) -> st
 def as_json(df: DataFrame) -> str:
     """A small table as a JSON list; null fields are left out at every depth."""
     return "[" + ",".join(r[0] for r in df.select(F.to_json(F.struct(*df.columns))).collect()) + "]"
+
+
+def as_parquet(df: DataFrame) -> bytes:
+    """A small table as one Parquet file in memory, for a program that reads it from a pipe."""
+    import io
+
+    from pyarrow import parquet
+
+    out = io.BytesIO()
+    parquet.write_table(df.toArrow(), out, compression="zstd")
+    return out.getvalue()

@@ -285,7 +285,7 @@ def test_sequence_readers(spark, write):
 
 
 def test_table_readers(spark, write):
-    vcf = "##h\n#CHROM\n1\t5\t.\tA\tC\t.\t.\tCLNVC=single_nucleotide_variant\n1\t6\t.\tA\tC,G\t.\t.\tx=1\n1\t7\t.\tAT\tA\t.\t.\tx=1\n"
+    vcf = "##h\n#CHROM\n1\t5\t.\tA\tC\t.\t.\tCLNVC=single_nucleotide_variant\n1\t6\t.\tA\tC,G\t.\t.\tx=1\n1\t7\t.\tAT\tA\t.\t.\tx=1\n1\t8\t.\tA\tC\t.\t.\tx=1\n1\t9\t.\tA\tC\t.\t.\tCLNVC=Deletion\n"
     assert [(r["pos"], r["alt"]) for r in readers.read_vcf(spark, write("a.vcf", vcf)).collect()] == [(5, "C")]
     got = readers.read_table(spark, write("t.tsv", "a\tb\tc\n1\tNA\tx\nq\t2.5\ty\n"), {"a": "int", "b": "double"}).collect()
     assert [tuple(r) for r in got] == [(1, None), (None, 2.5)]
@@ -297,6 +297,8 @@ def test_table_readers(spark, write):
     assert rows(readers.read_names(spark, write("n.txt", "#c\n\n a \nb\na\n"))) == [("a",), ("b",)]
     tax = readers.read_taxonomy(spark, write("x.jsonl", json.dumps({"accession": "A1", "taxonomy": {"classification": {"order": {"name": "Primates"}}}}) + "\n"), ["order", "family"])
     assert rows(tax) == [("A1", "Primates", None)]
+    genomes = spark.createDataFrame([("A1", 5), ("A2", 6)], "accession string, n int")
+    assert rows(readers.with_taxonomy(genomes, tax.union(tax))) == [("A1", 5, "Primates", "unknown"), ("A2", 6, "unknown", "unknown")]
     assert rows(readers.read_newick_leaves(spark, write("t.nw", "((a_x:1,b:2)anc1:3,c:1)root;"))) == [("a_x",), ("b",), ("c",)]
     assert rows(readers.read_after_header(spark, write("h.tsv", "junk\nmore\nx\t1\ny\t2\n"), 2, ["a", "b"])) == [("x", "1"), ("y", "2")]
     models = readers.read_registry(spark, write("m.json", json.dumps([{"id": "a", "family": "lm"}, {"id": "b", "family": "track", "display": "B"}])), ["lm", "track"])
@@ -350,3 +352,50 @@ def test_numbers_in_hot_groups(spark):
     spans = sorted(("c", int(s), int(s + n)) for s, n in zip(rng.integers(0, 40 << 20, 300), rng.integers(1, 400_000, 300), strict=True))
     want = {a for a, b in zip(spans, spans[1:], strict=False) if b[1] < a[2]}
     assert {tuple(r) for r in tables.gaps_in_order(spark.createDataFrame(spans, "chrom string, start long, end long"), "chrom").collect()} == want
+
+
+def test_examples_and_vocabulary(spark):
+    assert Q.char_vocabulary() == {"[PAD]": 0, "[UNK]": 1, "a": 2, "c": 3, "g": 4, "t": 5}
+    assert Q.char_vocabulary(True, True) == {"[PAD]": 0, "[UNK]": 1, "[BOS]": 2, "[EOS]": 3, "a": 4, "c": 5, "g": 6, "t": 7}
+    one = spark.createDataFrame([("aCGnT",)], "w string")
+    for bos, eos in ((False, False), (True, False), (True, True)):
+        ids = Q.char_vocabulary(bos, eos)
+        got = one.select(Q.likelihood_example(F.col("w"), bos, eos).alias("x"), Q.special_token_counts(Q.char_tokens(F.lit("a"), bos, eos), 2 if bos else None, 2 + bos if eos else None).alias("n")).first()
+        assert got["x"]["input_ids"] == [ids.get("[BOS]")] * bos + [ids.get(c.lower(), 1) for c in "aCGnT"] + [ids.get("[EOS]")] * eos
+        assert got["x"]["is_upper"] == [False] * bos + [False, True, True, False, True] + [False] * eos
+        assert tuple(got["n"]) == (int(bos), int(eos))
+    import io
+
+    import pyarrow.parquet as pq
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "n long, s string")
+    assert pq.read_table(io.BytesIO(writers.as_parquet(df))).to_pylist() == [{"n": 1, "s": "a"}, {"n": 2, "s": None}]
+
+
+def test_pruned_join_reads_only_what_it_needs(spark, tmp_path):
+    table = spark.range(200_000).select(F.concat(F.lit("c"), F.col("id") % 5).alias("chrom"), (F.col("id") * 3).alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"), F.concat(F.lit("x"), F.col("id")).alias("consequence"))
+    path = str(tmp_path / "table")
+    variants.write_by_chromosome(table.withColumn("junk", F.rand(1)), path)
+    keys = [("c2", 2 * 3, "A", "C"), ("c2", 7 * 3, "A", "C"), ("c2", 100_002 * 3, "A", "C"), ("c2", 8, "A", "C"), ("c2", 7 * 3, "A", "G"), ("nowhere", 5, "A", "C"), (None, 5, "A", "C")]
+    df = spark.createDataFrame(keys, "chrom string, pos long, ref string, alt string")
+    assert variants.position_ranges(df, width=16, most=2) == {"c2": [(6, 21), (300_006, 300_006)], "nowhere": [(5, 5)]}
+    got = variants.attach_from_table(df, path, ["consequence"])
+    assert sorted((r["pos"], r["alt"], r["consequence"]) for r in got.collect() if r["chrom"] == "c2") == [(6, "C", "x2"), (8, "C", None), (21, "C", "x7"), (21, "G", None), (300_006, "C", "x100002")]
+    assert got.count() == len(keys)
+    few = variants.attach_from_table(df.where("chrom = 'c2' and pos < 100"), path, ["consequence"])
+    few.collect()
+    leaves = few._jdf.queryExecution().executedPlan().finalPhysicalPlan().collectLeaves()
+    scans = [leaves.apply(i) for i in range(leaves.size())]
+    scans = [s.plan() if "QueryStage" in s.nodeName() else s for s in scans]
+    found = []
+
+    def walk(node):
+        if "Scan parquet" in node.nodeName():
+            found.append({k: node.metrics().apply(k).value() for k in ("numFiles", "numOutputRows")})
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    for s in scans:
+        walk(s)
+    (scan,) = found
+    assert scan["numFiles"] <= 20 and 0 < scan["numOutputRows"] <= 20_000  # one folder of five, with its share of 64 files, and few of 200,000 rows
