@@ -6,7 +6,8 @@ where ``checked`` is applied.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,6 +56,41 @@ def sweep(a: DataFrame, b: DataFrame, keep: Callable[[Column, Column], Column],
     return stitched(pieces, (), width)
 
 
+Rule = Callable[[Mapping[str, Column]], Column]
+
+
+def sweep_many(sets: Mapping[str, DataFrame], rules: Mapping[str, Rule], width: int = TILE, name: str = "label") -> DataFrame:
+    """``name, chrom, start, end``: for each of ``rules`` where it holds of the numbers of intervals that lie over a base, by set; none may hold of zeros.
+
+    All sets go through one sweep, so however many sets and rules there are, each set is read once and shuffled once by tile."""
+    rows = None
+    for i, df in enumerate(sets.values()):
+        pieces = cut_at_tiles(df.select(*COLUMNS).where("start < end"), width)
+        ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("k")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("k")))
+        own = pieces.select("chrom", "_tile", F.explode(ends).alias("x")).select("chrom", "_tile", "x.pos", F.lit(i).alias("set"), "x.k")
+        rows = own if rows is None else rows.union(own)
+    depth = [f"d{i}" for i in range(len(sets))]
+    steps = rows.repartition("chrom", "_tile").groupBy("chrom", "_tile", "pos").agg(*[F.sum(F.when(F.col("set") == i, F.col("k")).otherwise(0)).alias(d) for i, d in enumerate(depth)])
+    so_far = inside("pos").rowsBetween(Window.unboundedPreceding, 0)
+    depths = steps.select("chrom", "_tile", "pos", *[F.sum(d).over(so_far).alias(d) for d in depth])
+    over = {key: F.col(d) for key, d in zip(sets, depth, strict=True)}
+    found = depths.select("chrom", "_tile", "pos", F.explode(F.array(*[F.struct(F.lit(label).alias("label"), rule(over).alias("on")) for label, rule in rules.items()])).alias("x"))
+    line = Window.partitionBy("label", "chrom", "_tile").orderBy("pos")
+    turns = found.select("x.label", "chrom", "_tile", "pos", "x.on").withColumn("was", F.coalesce(F.lag("on").over(line), F.lit(False))).where("on <> was")
+    pieces = turns.withColumn("end", F.lead("pos").over(line)).where("on").select("label", "chrom", "_tile", F.col("pos").alias("start"), "end")
+    return stitched(pieces, ["label"], width).withColumnRenamed("label", name)
+
+
+def inside_and_outside(base: DataFrame, within: Sequence[DataFrame], without: Sequence[DataFrame]) -> DataFrame:
+    """What ``base`` and each of ``within`` cover and none of ``without`` does, in one sweep."""
+    sets = {"base": base, **{f"in{i}": s for i, s in enumerate(within)}, **{f"out{i}": s for i, s in enumerate(without)}}
+
+    def rule(over: Mapping[str, Column]) -> Column:
+        return reduce(Column.__and__, [c == 0 if key.startswith("out") else c > 0 for key, c in over.items()])
+
+    return sweep_many(sets, {"": rule}).select(*COLUMNS)
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return merge(a.select(*COLUMNS).union(b.select(*COLUMNS)))
 

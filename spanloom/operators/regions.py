@@ -65,21 +65,27 @@ def build(recipe: str, sets: Sets) -> DataFrame:
     if recipe not in RECIPES:
         raise ValueError(f"unknown recipe {recipe}: one of {sorted(RECIPES)}")
     source, steps = RECIPES[recipe]
-    out = intervals.merge(sets[source]())
-    for kind, *with_ in steps:
+    out, steps = sets[source](), list(steps)
+    merged = False
+    while steps:
+        kind, *with_ = steps.pop(0)
+        if kind in ("minus", "and"):  # with all that follow of this kind, one sweep
+            asked = [(kind, with_[0])]
+            while steps and steps[0][0] in ("minus", "and"):
+                asked.append(steps.pop(0))
+            out, merged = intervals.inside_and_outside(out, [sets[n]() for k, n in asked if k == "and"], [sets[n]() for k, n in asked if k == "minus"]), True
+            continue
+        if not merged:
+            out, merged = intervals.merge(out), True
         if kind == "size":
             out = intervals.filter_size(out, *with_)
         elif kind == "flank":
             out = intervals.merge(intervals.add_flank(out, *with_))
         elif kind == "expand":
             out = intervals.merge(intervals.expand_min_size(out, *with_))
-        elif kind == "resize":
-            out = intervals.merge(intervals.resize(out, *with_))
-        elif kind == "minus":
-            out = intervals.subtract(out, sets[with_[0]]())
         else:
-            out = intervals.intersect(out, sets[with_[0]]())
-    return out
+            out = intervals.merge(intervals.resize(out, *with_))
+    return out if merged else intervals.merge(out)
 
 
 def defined(sizes: DataFrame, undefined: DataFrame) -> DataFrame:
@@ -138,24 +144,29 @@ def conserved_totals(windows: DataFrame, track: DataFrame, threshold: float) ->
     return signal.score_windows(windows, track, threshold).agg(F.count("*").alias("n_intervals"), length.alias("total_bases"), n.alias("conserved_bases"), (100.0 * n / length).alias("percent"))
 
 
-def region_sets(ann: DataFrame, elements: DataFrame, defined_: DataFrame, start_radius: int, flank: int) -> dict[str, DataFrame]:
-    """Five labelled region sets and two for diagnosis (gene bodies, all exons), each inside the defined genome.
+def region_sets(ann: DataFrame, elements: DataFrame, defined_: DataFrame, start_radius: int, flank: int) -> DataFrame:
+    """``region, chrom, start, end``: five labelled region sets and two for diagnosis (gene bodies, all exons), each inside the defined genome, from one sweep.
 
     Non-coding exons are those outside protein-coding ones; the start region is a band about all transcript starts with the 5' UTR;
     elements that aren't promoters are grown by ``flank``."""
     annotation.require_protein_coding(ann)
     coding_exons, cds = annotation.exons_of_biotype(ann), annotation.coding(ann)
     rest = elements.where(~F.col("cre_class").isin(*PROMOTER_CLASSES))
+    bands, utr5 = annotation.start_bands(annotation.exons_of_biotype(ann, None), start_radius), annotation.utr5(coding_exons, cds)
     sets = {
         "cds": cds,
         "utr3": annotation.utr3(coding_exons, cds),
-        "ncrna_exon": intervals.subtract(annotation.exon_set(ann), coding_exons),
-        "tss_region_and_utr5": intervals.union(annotation.start_bands(annotation.exons_of_biotype(ann, None), start_radius), annotation.utr5(coding_exons, cds)),
+        "tss_region_and_utr5": bands.select(*intervals.COLUMNS).union(utr5.select(*intervals.COLUMNS)),
         "ccre_non_promoter": intervals.add_flank(rest, flank),
         "gene_body": annotation.gene_bodies(ann),
         "all_exons": annotation.exon_set(ann),
+        "coding_exons": coding_exons,
+        "defined": defined_,
     }
-    return {name: intervals.intersect(s, defined_) for name, s in sets.items()}
+    own = [name for name in sets if name not in ("coding_exons", "defined")]
+    rules = {name: lambda over, name=name: (over[name] > 0) & (over["defined"] > 0) for name in own}
+    rules["ncrna_exon"] = lambda over: (over["all_exons"] > 0) & (over["coding_exons"] == 0) & (over["defined"] > 0)
+    return intervals.sweep_many(sets, rules, name="region")
 
 
 def windows_outside(sizes: DataFrame, undefined: DataFrame, size: int, step: int) -> DataFrame:

@@ -156,12 +156,7 @@ _REGION_ROWS = {
 {', '.join(merged(f'm_{n}', s) for n, s in _REGION_ROWS.items())}, {without('m_ncrna_exon', 'm_all_exons', 'm_pc')}, {', '.join(_inside(f'r_{n}', f'm_{n}', 'd') for n in (*_REGION_ROWS, 'ncrna_exon'))}
 {' UNION ALL '.join(f"SELECT '{n}' AS region, chrom, s, e FROM r_{n}" for n in (*_REGION_ROWS, 'ncrna_exon'))}""")
 def region_sets(v):
-    found = regions.region_sets(v("ens"), v("cre"), _defined(v)(), 100, 50)
-    out = None
-    for name, s in found.items():
-        own = s.select(F.lit(name).alias("region"), "chrom", "start", "end")
-        out = own if out is None else out.union(own)
-    return out
+    return regions.region_sets(v("ens"), v("cre"), _defined(v)(), 100, 50)
 
 
 @query("""WITH w AS (SELECT chrom, s, s + 255 AS e, concat('win_', chrom, '_', lpad(CAST(s // 128 + 1 AS STRING), 9, '0')) AS name FROM (SELECT chrom, unnest(range(0, max(e) - 254, 128)) AS s FROM iv_b GROUP BY chrom) AS t)

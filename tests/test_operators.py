@@ -399,3 +399,20 @@ def test_pruned_join_reads_only_what_it_needs(spark, tmp_path):
         walk(s)
     (scan,) = found
     assert scan["numFiles"] <= 20 and 0 < scan["numOutputRows"] <= 20_000  # one folder of five, with its share of 64 files, and few of 200,000 rows
+
+
+def test_many_sets_in_one_sweep(spark):
+    rng = np.random.default_rng(5)
+    own = {n: [("c", int(s), int(s + k)) for s, k in zip(rng.integers(-50, 2500, 60), rng.integers(0, 60, 60), strict=True)] for n in "abcd"}
+    own["d"].append(("e", 10, 20))
+    sets = {n: spark.createDataFrame(r, "chrom string, start long, end long") for n, r in own.items()}
+    rules = {"any": lambda o: (o["a"] > 0) | (o["b"] > 0), "only": lambda o: (o["d"] > 0) & (o["a"] + o["b"] + o["c"] == 0), "twice": lambda o: o["c"] >= 2, "none": lambda o: o["a"] < 0}
+    cover = {n: {(c, x): sum(1 for cc, s, e in r if cc == c and s <= x < e) for c, x in {(c, x) for c, s, e in r for x in range(s, e)}} for n, r in own.items()}
+    at = lambda n, p: cover[n].get(p, 0)
+    places = {p for n in own for p in cover[n]}
+    want = {"any": {p for p in places if at("a", p) or at("b", p)}, "only": {p for p in places if at("d", p) and not (at("a", p) + at("b", p) + at("c", p))}, "twice": {p for p in places if at("c", p) >= 2}, "none": set()}
+    got = intervals.sweep_many(sets, rules, 64).collect()
+    for label, own_places in want.items():
+        found = sorted((r["chrom"], r["start"], r["end"]) for r in got if r["label"] == label)
+        assert {(c, x) for c, s, e in found for x in range(s, e)} == own_places
+        assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(found, found[1:], strict=False))
