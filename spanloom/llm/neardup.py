@@ -41,7 +41,7 @@ BROADCAST_ROWS = 1_000_000
 #: Bytes of rows that go to a Python worker at once while a table is kept; Spark's own bound is larger.
 ARROW_BYTES = "16m"
 #: Documents of a block; shingles that are counted at once; distinct ones at which a block is closed before it is full.
-_BLOCK_DOCS, _BLOCK_SHINGLES, _BLOCK_DISTINCT = 2048, 2_000_000, 8_000_000
+_BLOCK_DOCS, _BLOCK_SHINGLES, _BLOCK_DISTINCT = 2048, 500_000, 4_000_000
 #: Members of a leader that are compared with it in one run.
 GROUP = 512
 
@@ -86,39 +86,50 @@ def _prepared(docs: DataFrame) -> DataFrame:
 def common_shingles(texts: DataFrame, share: float = COMMON, scratch: Scratch | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, of the shingles in at least ``share`` of all documents, and their idf weights. Exact counts over all rows."""
 
-    def counted(shingles: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        every, n = np.concatenate(shingles), np.concatenate(counts)
-        found, at = np.unique(every, return_inverse=True)
-        return found, np.bincount(at, n, len(found)).astype(np.int64)
+    Counts = tuple[np.ndarray, np.ndarray]
+
+    def merged(a: Counts | None, b: Counts | None) -> Counts:
+        """Two sorted lists of shingles and their numbers as one; the sort has two runs to merge."""
+        if a is None or b is None:
+            return a or b
+        every, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(every, kind="stable")
+        every, n = every[order], n[order]
+        start = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        return every[start], np.add.reduceat(n, start, dtype=np.int32)
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        full: list[tuple[np.ndarray, np.ndarray]] = []  # a block that waits for what follows, so that the last one isn't small
+        raw: list[np.ndarray] = []
+        block: Counts | None = None
+        full: Counts | None = None  # a block that waits for what follows, so that the last one isn't small
         docs = size = total = 0
 
-        def given(found: np.ndarray, n: np.ndarray, singles: bool) -> pd.DataFrame:
+        def closed(block: Counts, singles: bool) -> pd.DataFrame:
+            found, n = block
             many = n > (not singles)  # a full block leaves out what it has once
-            return pd.DataFrame({"shingle": found[many].view(np.int64), "n": n[many]})
+            return pd.DataFrame({"shingle": found[many].view(np.int64), "n": n[many].astype(np.int64)})
+
+        def counted(raw: list[np.ndarray]) -> Counts | None:
+            found, n = np.unique(np.concatenate(raw), return_counts=True) if raw else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return (found, n.astype(np.int32)) if len(found) else None
 
         for batch in batches:
             for h in hashed(batch["text"].tolist()):
-                own = np.unique(h)
-                held.append(own)
-                counts.append(np.ones(len(own), np.int64))
-                docs, size, total = docs + 1, size + len(own), total + 1
+                raw.append(np.unique(h))
+                docs, size, total = docs + 1, size + len(raw[-1]), total + 1
                 if size >= _BLOCK_SHINGLES or docs >= _BLOCK_DOCS:
-                    found, n = counted(held, counts)
-                    held, counts, size = [found], [n], 0
-                if docs >= _BLOCK_DOCS or len(held[0]) >= _BLOCK_DISTINCT:
-                    for block in full:
-                        yield given(*block, singles=False)
-                    full = [(held[0], counts[0])] if docs >= _BLOCK_DOCS else []
-                    if not full:
-                        yield given(held[0], counts[0], singles=True)
-                    held, counts, docs, size = [], [], 0, 0
-        if full or held:
-            yield given(*counted([*held, *[f for f, _ in full]], [*counts, *[n for _, n in full]]), singles=not full)
+                    block = merged(block, counted(raw))
+                    raw, size = [], 0
+                if block and docs >= _BLOCK_DOCS:
+                    if full:
+                        yield closed(full, singles=False)
+                    full, block, docs = block, None, 0
+                elif block and len(block[0]) >= _BLOCK_DISTINCT:
+                    yield closed(block, singles=True)
+                    block, docs = None, 0
+        block = merged(block, counted(raw))
+        if full or block:
+            yield closed(merged(full, block), singles=not full)
         yield pd.DataFrame({"shingle": [None], "n": [total]}).astype({"shingle": "Int64"})
 
     lower = texts.select("text").mapInPandas(blocks, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
