@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,7 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics, ranks
+from . import metrics, ranks, tables
+from .kept import kept
+
+#: The rank that a free negative holds: later than every positive's.
+FREE = 1 << 62
 
 
 def robust_scales(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -19,47 +24,137 @@ def robust_scales(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[flo
     return {f: (at[f][1], (at[f][2] - at[f][0]) or 1.0) for f in features}
 
 
+#: Rows of a slab, about.
+SLAB = 20_000
+
+
+def _settle(k_columns: list[str]):
+    """One slab: its positives with open places propose to the nearest negatives that would take them, those of the slabs beside it included. A negative
+    takes a positive if it holds none or one of a later rank, which then proposes again. A positive that may have a nearer negative beyond the
+    slabs in sight waits for a wider view."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        first, last = bool(rows["_first"].iloc[0]), bool(rows["_last"].iloc[0])
+        p, q = rows[rows["_label"]], rows[~rows["_label"]]
+        x = np.stack(q["_x"].tolist()) if len(q) else np.zeros((0, 1))
+        order = np.argsort(x[:, 0], kind="stable")
+        x, rank, holder = x[order], q["_rank"].to_numpy()[order], q["_holder"].to_numpy()[order].copy()
+        line, n = x[:, 0], len(q)
+        need, place = dict(zip(p["_rank"], p["_open"], strict=True)), dict(zip(p["_rank"], p["_x"], strict=True))
+        todo, taken, wide = sorted(r for r in need if need[r] > 0), set(), False
+        queued = set(todo)
+
+        def nearest(own: np.ndarray, r: int) -> int:
+            """The nearest negative that would take rank ``r``, the first by rank at ties; -1 if there is none for sure, -2 if that isn't sure."""
+            at, w = int(np.searchsorted(line, own[0])), 64
+            while True:
+                a, b = max(0, at - w), min(n, at + w)
+                away = np.where(holder[a:b] > r, ((x[a:b] - own) ** 2).sum(1), np.inf)
+                left = own[0] - line[a] if a < b and (a or not first) else np.inf if first and not a else -1.0
+                right = line[b - 1] - own[0] if a < b and (b < n or not last) else np.inf if last and b == n else -1.0
+                best, sight = away.min(initial=np.inf), min(left, right)
+                if best < np.inf and sight > 0 and best < sight * sight:
+                    hit = np.flatnonzero(away == best)
+                    return a + int(hit[np.argmin(rank[a:b][hit])])
+                if not a and b == n:
+                    return -1 if first and last else -2
+                w *= 4
+
+        while todo:
+            r = heapq.heappop(todo)
+            queued.discard(r)
+            while need[r] > 0:
+                j = nearest(place[r], r)
+                if j < 0:
+                    wide |= j == -2
+                    break
+                before, holder[j] = holder[j], r
+                taken.add(j)
+                need[r] -= 1
+                if before in need:
+                    need[before] += 1
+                    if before not in queued:
+                        queued.add(before)
+                        heapq.heappush(todo, before)
+        at = np.array(sorted(taken), np.int64)
+        out = pd.DataFrame({"_rank": np.append(rank[at], [-1] * wide), "_holder": np.append(holder[at], [-1] * wide)}).astype("int64")
+        return pd.concat([rows[k_columns].head(1)] * len(out), ignore_index=True).assign(_t=int(rows["_t"].iloc[0]), **{c: out[c] for c in out}) if len(out) else rows[[*k_columns, "_t", "_rank", "_holder"]].head(0)
+
+    return run
+
+
+def nearest_unused(rows: DataFrame, strata: Sequence[str], k: int = 1, slab: int | None = None) -> DataFrame:
+    """``strata``, ``_rank`` of a negative and ``_holder``, the rank of the positive that gets it: what the loop gives in which the positives of a stratum, in the order of
+    their ranks, take their ``k`` nearest unused negatives, ties going to the smaller rank.
+
+    ``rows``: ``strata``, ``_label``, ``_rank`` (unique in a stratum), ``_x`` (array of double). All negatives prefer the same order of positives, so the loop's result is
+    the only stable one, and proposals in any order reach it. A stratum is cut to slabs of about ``slab`` rows along the first number of ``_x``; a task has a
+    slab and its neighbours, and rounds go on while a positive lacks a negative: the first settles almost all, the next ones what met across a
+    border. The neighbourhood of a slab widens only where it must. There must be ``k`` negatives for each positive. Runs a few jobs a round."""
+    slab, strata = slab or SLAB, list(strata)
+    size = rows.groupBy(*strata).agg(F.greatest(F.ceil(F.count("*") / slab), F.lit(1)).alias("_slabs"))
+    placed = tables.index_in_group(rows.withColumn("_x1", F.col("_x")[0]), strata, ["_x1", "_rank"], "_at").join(size, strata)
+    base = kept(placed.withColumn("_slab", F.least(F.floor(F.col("_at") / slab), F.col("_slabs") - 1)).select(*strata, "_slabs", "_slab", "_label", "_rank", "_x"))
+    positives, negatives = base.where("_label"), base.where("not _label")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*strata).schema.fields)
+    holds = widths = None
+    while True:
+        if holds is None:
+            waiting, free = positives.withColumn("_open", F.lit(k).cast("long")), negatives.withColumn("_holder", F.lit(FREE))
+        else:
+            own = holds.groupBy(*strata, F.col("_holder").alias("_rank")).agg(F.count("*").alias("_n"))
+            waiting = positives.join(own, [*strata, "_rank"], "left").withColumn("_open", F.lit(k) - F.coalesce("_n", F.lit(0))).drop("_n")
+            free = negatives.join(holds, [*strata, "_rank"], "left").withColumn("_holder", F.coalesce("_holder", F.lit(FREE)))
+        active = waiting.where("_open > 0").select(*strata, "_slabs", F.col("_slab").alias("_t")).distinct()
+        active = kept(active.join(widths, [*strata, "_t"], "left").withColumn("_wide", F.coalesce("_wide", F.lit(1))) if widths is not None else active.withColumn("_wide", F.lit(1)))
+        if active.isEmpty():
+            return holds if holds is not None else negatives.select(*strata, "_rank", F.lit(FREE).alias("_holder")).limit(0)
+        seen = active.withColumn("_slab", F.explode(F.sequence(F.greatest(F.col("_t") - F.col("_wide"), F.lit(0)), F.least(F.col("_t") + F.col("_wide"), F.col("_slabs") - 1))))
+        seen = seen.withColumns({"_first": F.col("_t") - F.col("_wide") <= 0, "_last": F.col("_t") + F.col("_wide") >= F.col("_slabs") - 1}).drop("_slabs")
+        columns = [*strata, "_t", "_first", "_last", "_label", "_rank", "_x", "_open", "_holder"]
+        mine = waiting.withColumn("_holder", F.lit(FREE)).join(seen.where("_slab = _t"), [*strata, "_slab"]).select(columns)
+        theirs = free.withColumn("_open", F.lit(0).cast("long")).join(seen, [*strata, "_slab"]).select(columns)
+        found = kept(mine.union(theirs).groupBy(*strata, "_t").applyInPandas(_settle(strata), f"{schema}, _t long, _rank long, _holder long"))
+        if found.isEmpty():
+            raise ValueError("fewer negatives than positives ask for")
+        new = found.where("_rank >= 0").select(*strata, "_rank", "_holder")
+        holds = kept((new if holds is None else holds.union(new)).groupBy(*strata, "_rank").agg(F.min("_holder").alias("_holder")))
+        wider = found.where("_rank < 0").select(*strata, "_t").join(active, [*strata, "_t"]).select(*strata, "_t", (F.col("_wide") * 2).alias("_wide"))
+        widths = kept(wider if widths is None else widths.union(wider).groupBy(*strata, "_t").agg(F.max("_wide").alias("_wide")))
+
+
 def match_features(pos: DataFrame, neg: DataFrame, key: Sequence[str], features: Sequence[str], strata: Sequence[str], k: int = 1) -> DataFrame:
     """Give each positive its ``k`` nearest unused negatives of the same stratum, positives in the order of ``key``.
 
     Negatives in strata without positives are dropped before features are scaled (median and quartile range over both). A stratum
     with too few negatives keeps its first ``n_neg // k`` positives by a hash of the key. Distance is Euclidean, ties go to the smaller
-    key. Nulls in features are an error. Returns all columns of both, ``label`` and ``match_group`` (the positive's key as text).
-    A stratum is one task: choose strata (chromosome, class, bins) whose rows fit one.
+    key (unique in a stratum, within positives and within negatives). Nulls in features are an error. Returns all columns of both, ``label`` and ``match_group`` (the
+    positive's key as text). No stratum is one task, see ``nearest_unused``; runs jobs while it is built.
     """
     for df, n in ((pos, "positives"), (neg, "negatives")):
         missing = [c for c in (*key, *features, *strata) if c not in df.columns]
         if missing:
             raise ValueError(f"{n} lack {missing}")
-    usable = neg.join(pos.select(*strata).distinct(), list(strata), "left_semi")
+    strata, key = list(strata), list(key)
+    usable = neg.join(pos.select(*strata).distinct(), strata, "left_semi")
     both = pos.withColumn("label", F.lit(True)).unionByName(usable.withColumn("label", F.lit(False)), allowMissingColumns=True)
     nulls = both.agg(*[F.sum(F.col(f).isNull().cast("int")).alias(f) for f in features]).first()
     if any(nulls[f] for f in features):
         raise ValueError(f"nulls in {[f for f in features if nulls[f]]}")
     scales = robust_scales(both, features)
-    names = list(key)
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(names, kind="stable")
-        x = np.column_stack([(rows[f].to_numpy(np.float64) - m) / s for f, (m, s) in scales.items()])
-        is_pos = rows["label"].to_numpy(bool)
-        p, q = np.flatnonzero(is_pos), np.flatnonzero(~is_pos)
-        if k * len(p) > len(q):
-            mark = pd.util.hash_pandas_object(rows.iloc[p][names].astype(str).agg("|".join, axis=1), index=False).to_numpy()
-            p = np.sort(p[np.argsort(mark, kind="stable")[: len(q) // k]])
-        free, out, group = np.ones(len(q), bool), [], []
-        label = rows.iloc[p][names].astype(str).agg(":".join, axis=1).tolist() if len(p) else []
-        for i, name in zip(p, label, strict=True):
-            open_ = np.flatnonzero(free)
-            away = ((x[q[open_]] - x[i]) ** 2).sum(1)
-            best = open_[np.argsort(away, kind="stable")[:k]]  # equal distances stay in key order
-            free[best] = False
-            out += [i, *q[best]]
-            group += [name] * (1 + len(best))
-        return rows.iloc[out].assign(match_group=group)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields) + ", match_group string"
-    return both.groupBy(*strata).applyInPandas(greedy, schema)
+    vector = F.array(*[(F.col(f).cast("double") - m) / s for f, (m, s) in scales.items()])
+    ranked = kept(tables.index_in_group(both.withColumn("_x", vector), strata, [*key, "label"], "_rank").withColumn("_rank", F.col("_rank").cast("long")))
+    room = ranked.groupBy(*strata).agg(F.sum(F.col("label").cast("long")).alias("_p"), F.floor(F.sum((~F.col("label")).cast("long")) / k).alias("_most"))
+    marked = ranked.where("label").withColumn("_mark", F.xxhash64(F.concat_ws("|", *[F.col(c).cast("string") for c in key])))
+    tight = marked.join(room.where("_p > _most").drop("_p"), strata)
+    gone = tables.index_in_group(tight, strata, ["_mark", "_rank"], "_turn").where("_turn >= _most").select(*strata, "_rank")
+    rows = kept(ranked.join(gone, [*strata, "_rank"], "left_anti"))
+    holds = nearest_unused(rows.select(*strata, F.col("label").alias("_label"), "_rank", "_x"), strata, k)
+    label = F.concat_ws(":", *[F.col(c).cast("string") for c in key])
+    groups = rows.where("label").select(*strata, F.col("_rank").alias("_holder"), label.alias("match_group"))
+    negatives = rows.where("not label").join(holds, [*strata, "_rank"]).join(groups, [*strata, "_holder"])
+    columns = [*both.columns, "match_group"]
+    return rows.where("label").withColumn("match_group", label).select(columns).union(negatives.select(columns))
 
 
 def matching_qc(pre: DataFrame, post: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -95,20 +190,14 @@ def gc_repeat_match(pos: DataFrame, neg: DataFrame, bins: int = 20, by_chrom: bo
     rest_q = q.join(hit.select("id"), "id", "left_anti").withColumn("label", F.lit(False))
     columns = ["id", *where, "gc", "repeats"]
     left = rest_p.select(*columns, "label").union(rest_q.select(*columns, "label"))
-    schema = "positive_id string, id string, gc double, repeats double" + (", chrom string" if by_chrom else "")
-
-    def nearest(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        a, b = rows[rows["label"]], rows[~rows["label"]]
-        if len(a) > len(b):
-            raise ValueError(f"{len(a)} positives, {len(b)} negatives left")
-        free, picks = np.ones(len(b), bool), []
-        x = b[["gc", "repeats"]].to_numpy()
-        for v in a[["gc", "repeats"]].to_numpy():
-            open_ = np.flatnonzero(free)
-            picks.append(open_[((x[open_] - v) ** 2).sum(1).argmin()])
-            free[picks[-1]] = False
-        return b.iloc[picks].assign(positive_id=a["id"].to_numpy())[["positive_id", "id", "gc", "repeats", *where]]
-
-    second = (left.groupBy(*where) if where else left.groupBy(F.lit(1).alias("_all"))).applyInPandas(nearest, schema)
+    short = left.groupBy(*where).agg(F.sum(F.col("label").cast("long")).alias("p"), F.sum((~F.col("label")).cast("long")).alias("q")).where("p > q").first()
+    if short:
+        raise ValueError(f"{short['p']} positives, {short['q']} negatives left")
+    strata = where or ["_all"]
+    left = left if where else left.withColumn("_all", F.lit(1))
+    ranked = kept(tables.index_in_group(left, strata, ["id", "label"], "_rank").withColumn("_rank", F.col("_rank").cast("long")))
+    vector = F.array(F.col("gc").cast("double"), F.col("repeats").cast("double"))
+    holds = nearest_unused(ranked.select(*strata, F.col("label").alias("_label"), "_rank", vector.alias("_x")), strata)
+    names = ranked.where("label").select(*strata, F.col("_rank").alias("_holder"), F.col("id").alias("positive_id"))
+    second = ranked.where("not label").join(holds, [*strata, "_rank"]).join(names, [*strata, "_holder"]).select("positive_id", "id", "gc", "repeats", *where)
     return hit.select("positive_id", "id", "gc", "repeats", *where).union(second)

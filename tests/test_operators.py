@@ -416,3 +416,24 @@ def test_many_sets_in_one_sweep(spark):
         found = sorted((r["chrom"], r["start"], r["end"]) for r in got if r["label"] == label)
         assert {(c, x) for c, s, e in found for x in range(s, e)} == own_places
         assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(found, found[1:], strict=False))
+
+
+@pytest.mark.parametrize(("slab", "k"), [(20_000, 2), (12, 1), (9, 2)])
+def test_matches_of_many_strata(spark, monkeypatch, slab, k):
+    """Random strata with ties, as one slab each and cut to small ones, equal the plain loop."""
+    monkeypatch.setattr(matching, "SLAB", slab)
+    rng = np.random.default_rng(slab + k)
+    pos, neg, i = [], [], 0
+    for s in range(50):
+        p = int(rng.integers(1, 9))
+        for own, n in ((pos, p), (neg, k * p + int(rng.integers(0, 20)))):
+            for _ in range(n):
+                i += 1
+                own.append({"id": i, "chrom": f"c{s}", "x": float(rng.integers(0, 6)), "y": round(float(rng.normal()), 1)})
+    pos = [pos[j] for j in rng.permutation(len(pos))]
+    got = matching.match_features(spark.createDataFrame(pos), spark.createDataFrame(neg), ["id"], ["x", "y"], ["chrom"], k).collect()
+    found = {}
+    for r in got:
+        if not r["label"]:
+            found.setdefault(int(r["match_group"]), set()).add(r["id"])
+    assert found == plain_match(pos, neg, ["x", "y"], k) and sum(r["label"] for r in got) == len(pos)
