@@ -599,8 +599,8 @@ def distinct_per_group(v):
 
 @query("""WITH g AS (SELECT concat('chr', CAST(id AS BIGINT) % 24) AS chrom, string_agg(raw, '' ORDER BY CAST(id AS BIGINT)) AS seq FROM seqs GROUP BY 1),
 x AS (SELECT v.row_id, rpad(concat(repeat('N', CAST(greatest(0, 5 - pos) AS INTEGER)), coalesce(substr(g.seq, CAST(greatest(1, pos - 4) AS BIGINT), CAST(pos + 3 - greatest(1, pos - 4) + 1 AS BIGINT)), '')), 8, 'N') AS f FROM variants AS v LEFT JOIN g ON v.chrom = g.chrom)
-SELECT row_id, '+' AS strand, f AS window, regexp_replace(regexp_replace(f, '[A-Z]', '1', 'g'), '[a-z]', '0', 'g') AS upper FROM x
-UNION ALL SELECT row_id, '-', reverse(translate(f, 'ACGTacgt', 'TGCAtgca')), reverse(regexp_replace(regexp_replace(f, '[A-Z]', '1', 'g'), '[a-z]', '0', 'g')) FROM x""")
+SELECT row_id, '+' AS strand, f AS window, regexp_replace(regexp_replace(f, '[^A-Z]', '0', 'g'), '[A-Z]', '1', 'g') AS upper FROM x
+UNION ALL SELECT row_id, '-', reverse(translate(f, 'ACGTacgt', 'TGCAtgca')), reverse(regexp_replace(regexp_replace(f, '[^A-Z]', '0', 'g'), '[A-Z]', '1', 'g')) FROM x""")
 def variant_windows(v):
     """The 8 bases about every variant (4 before it) of the genome that all texts make, N beyond its ends, on both strands, and which are upper case."""
     found = variants.bases_at(v("variants"), genome(v), 4, 3, 1 << 12).select("row_id", F.col("window").alias("f"))
