@@ -132,7 +132,9 @@ def common_shingles(texts: DataFrame, share: float = COMMON, scratch: Scratch |
             yield closed(merged(full, block), singles=not full)
         yield pd.DataFrame({"shingle": [None], "n": [total]}).astype({"shingle": "Int64"})
 
-    lower = texts.select("text").mapInPandas(blocks, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    # a task with few documents would have to give all its shingles, so tasks are joined until each has a block or two
+    tasks = max(texts.count() // (2 * _BLOCK_DOCS), 1)
+    lower = texts.select("text").coalesce(tasks).mapInPandas(blocks, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     lower = (scratch or Scratch(texts.sparkSession)).keep(lower)
     total = lower.where("shingle is null").agg(F.sum("n")).first()[0] or 0
     likely = lower.where(F.col("shingle").isNotNull() & (F.col("n") >= (share - 1 / _BLOCK_DOCS) * total)).select("shingle")
