@@ -78,7 +78,7 @@ def test_calls(spark):
     ).withColumn("level", F.lit("clash"))
     results = spark.createDataFrame([(1, 7, "a", "done"), (1, 8, "z", None), (None, 9, "a", "x")], "conv_id long, turn long, call_id string, content string")
     got = {(r["conv_id"], r["call_id"], r["kind"]): r for r in chat.link_calls(calls, results, {"f": {"x": ("integer", True)}}).collect()}
-    assert len(got) == 8
+    assert len(got) == 9 and got[1, "a", "repeated_call"]["problems"] == "duplicate,missing:x"  # no row is lost
     assert (got[1, "a", "call"]["problems"], got[1, "a", "call"]["linked"], got[1, "a", "call"]["level"]) == ("duplicate", True, 0)
     assert got[1, "b", "call"]["problems"] == "kind:x" and got[1, "b", "call"]["level"] == 1
     assert got[1, "c", "call"]["problems"] == "tool" and got[1, "c", "call"]["level"] == 2
