@@ -4,6 +4,9 @@ Overlap joins are equi-joins on ``(chrom, bin)`` with bins of several widths. An
 wide as itself, where it touches two at most, and stands in the bins that it touches at every wider level too. A pair is met at the
 wider one of its two levels, in the one bin where the later of the two starts lies, so nothing is met twice, no interval makes more than
 two rows a level, however long it is, and no chromosome is one task.
+
+Joins of tables that grow with the input carry a merge hint: by their compressed size Spark takes tables of a million rows for small, and
+would send them whole through the driver.
 """
 
 from __future__ import annotations
@@ -52,10 +55,10 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     if how == "inner":
         power = F.element_at(F.array(*map(F.lit, LEVELS)), (F.pmod(F.shiftright("_bin", 1), F.lit(8)) + 1).cast("int"))
         later = F.call_function("shiftright", F.greatest("start", "start_b"), power)
-        pairs = left.join(right, meets & (F.shiftright("_bin", 4) == later))
+        pairs = left.join(right.hint("merge"), meets & (F.shiftright("_bin", 4) == later))
         return pairs.drop("_bin", "_bin_b", "chrom_b")
-    hit = left.join(right, meets, "left_semi").select("row_id").distinct()
-    return a.join(hit, "row_id", how)
+    hit = left.join(right.hint("merge"), meets, "left_semi").select("row_id").distinct()
+    return a.join(hit.hint("merge"), "row_id", how)
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -69,7 +72,7 @@ def coverage(a: DataFrame, b: DataFrame, name: str = "covered") -> DataFrame:
     pairs = overlap_join(a.select("row_id", "chrom", "start", "end"), intervals.merge(b))
     length = F.least("end", "end_b") - F.greatest("start", "start_b")
     summed = pairs.groupBy("row_id").agg(F.sum(length).alias(name))
-    return a.join(summed, "row_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return a.join(summed.hint("merge"), "row_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def not_overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -112,9 +115,9 @@ def nearest(points: DataFrame, targets: DataFrame, carry: str, width: int = TILE
     placed = found.select("chrom", "point", "reach", left.cast("long").alias("dl"), (F.col("ahead.s") - end).alias("dr"), F.col("ahead.who").alias("who_right"))
     # the name behind the furthest reach: an equi-join on (chrom, end) for points outside, the overlap join for points inside
     by_end = targets.groupBy(F.col("chrom").alias("c"), F.col("end").alias("at")).agg(F.min(carry).alias("who_left"))
-    outside = placed.join(by_end, (placed["chrom"] == by_end["c"]) & (placed["reach"] == by_end["at"]) & (placed["reach"] <= placed["point.start"]), "left")
+    outside = placed.join(by_end.hint("merge"), (placed["chrom"] == by_end["c"]) & (placed["reach"] == by_end["at"]) & (placed["reach"] <= placed["point.start"]), "left")
     over = overlap_join(points.withColumn("_key", key), targets).groupBy("chrom", F.col("_key").alias("k")).agg(F.min(f"{carry}_b").alias("who_over"))
-    named = outside.join(over.withColumnRenamed("chrom", "c2"), (F.col("chrom") == F.col("c2")) & (F.col("point") == F.col("k")), "left")
+    named = outside.join(over.withColumnRenamed("chrom", "c2").hint("merge"), (F.col("chrom") == F.col("c2")) & (F.col("point") == F.col("k")), "left")
     distance = F.when(F.col("who_over").isNotNull(), 0).otherwise(F.least("dl", "dr"))
     who = F.when(F.col("who_over").isNotNull(), F.col("who_over")).when(F.col("dl") < F.col("dr"), F.coalesce("who_left", "who_right")).when(F.col("dl") > F.col("dr"), F.col("who_right")).otherwise(F.least("who_left", "who_right"))
     return named.select("chrom", start.alias("start"), end.alias("end"), *[F.col(f"point.{c}").alias(c) for c in extra], distance.cast("long").alias("distance"), who.alias(carry))
@@ -128,7 +131,7 @@ def bin_labels(windows: DataFrame, positives: DataFrame, bin_size: int, n_bins:
     need = -(-int(round(threshold * bin_size * 1000)) // 1000)
     hit = coverage(bins, positives).select("row_id.row_id", "row_id.bin", (F.col("covered") >= need).cast("tinyint").alias("label"))
     labels = hit.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "label"))), lambda x: x["label"]).alias("labels"), F.sum("label").cast("long").alias("n_positive_bins"))
-    return windows.join(labels, "row_id")
+    return windows.join(labels.hint("merge"), "row_id")
 
 
 def priority_labels(windows: DataFrame, regions: dict[str, DataFrame], functional: Sequence[str], gene_body: str, threshold: float) -> DataFrame:
@@ -148,7 +151,7 @@ def priority_labels(windows: DataFrame, regions: dict[str, DataFrame], functiona
     length = F.least("end", "end_b") - F.greatest("start", "start_b")
     names = [*regions, "functional"]
     summed = pairs.groupBy("row_id").agg(*[F.sum(F.when(F.col("region_b") == n, length)).alias(f"{n}_bp") for n in names])
-    out = windows.join(summed, "row_id", "left").withColumns({f"{n}_bp": F.coalesce(f"{n}_bp", F.lit(0)) for n in names})
+    out = windows.join(summed.hint("merge"), "row_id", "left").withColumns({f"{n}_bp": F.coalesce(f"{n}_bp", F.lit(0)) for n in names})
     fractions = {f"{name}_frac": F.col(f"{name}_bp") / size for name in [*regions, "functional"]}
     out = out.withColumns(fractions)
     label = F.coalesce(*[F.when(F.col(f"{n}_bp") > 0, F.lit(n)) for n in functional], F.lit("background"))
