@@ -27,7 +27,7 @@ def lift_over(variants: DataFrame, blocks: DataFrame) -> DataFrame:
     spots = variants.select("row_id", "chrom", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"))
     b = blocks.select("chrom", "start", "end", "to_chrom", "to_start", "to_strand", "to_size")
     hit = overlap_join(spots, b).groupBy("row_id").agg(F.min(F.struct(F.col("start_b").alias("s"), F.col("to_chrom_b").alias("c"), F.col("to_start_b").alias("t"), F.col("to_strand_b").alias("x"), F.col("to_size_b").alias("z"))).alias("h"))
-    out = variants.join(hit, "row_id", "left")
+    out = variants.join(hit.hint("merge"), "row_id", "left")
     ahead = F.col("h.t") + F.col("pos") - 1 - F.col("h.s")
     minus = F.coalesce(F.col("h.x") == "-", F.lit(False))
     pos = F.when(F.col("h").isNull(), -1).when(minus, F.col("h.z") - ahead).otherwise(ahead + 1)
@@ -60,11 +60,11 @@ def bases_at(df: DataFrame, chunks: DataFrame, before: int, after: int, size: in
     """``window``: bases from ``before`` before to ``after`` after the 1-based position, N beyond the ends. ``row_id`` must be unique."""
     first, last = F.col(pos) - 1 - before, F.col(pos) - 1 + after
     need = df.select("row_id", "chrom", first.alias("_a"), last.alias("_b"), F.explode(F.sequence(F.floor(F.greatest(first, F.lit(0)) / size), F.floor(F.greatest(last, F.lit(0)) / size))).alias("chunk"))
-    got = need.join(chunks, ["chrom", "chunk"]).select("row_id", "_a", "chunk", F.col("chunk").alias("_c"), F.substring("seq", F.greatest(F.lit(1), F.col("_a") - F.col("chunk") * size + 1).cast("int"), (F.col("_b") - F.greatest(F.col("_a"), F.col("chunk") * size) + 1).cast("int")).alias("_s"))
+    got = need.join(chunks.hint("merge"), ["chrom", "chunk"]).select("row_id", "_a", "chunk", F.col("chunk").alias("_c"), F.substring("seq", F.greatest(F.lit(1), F.col("_a") - F.col("chunk") * size + 1).cast("int"), (F.col("_b") - F.greatest(F.col("_a"), F.col("chunk") * size) + 1).cast("int")).alias("_s"))
     whole = got.groupBy("row_id").agg(F.min("_a").alias("_a"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_c", "_s"))), lambda x: x["_s"]), "").alias("_seq"))
     length = before + after + 1
     padded = F.rpad(F.concat(F.repeat(F.lit("N"), F.greatest(F.lit(0), -F.col("_a")).cast("int")), F.col("_seq")), length, "N")
-    return df.join(whole.select("row_id", padded.alias("window")), "row_id", "left").withColumn("window", F.coalesce("window", F.lit("N" * length)))
+    return df.join(whole.select("row_id", padded.alias("window")).hint("merge"), "row_id", "left").withColumn("window", F.coalesce("window", F.lit("N" * length)))
 
 
 def check_reference(df: DataFrame, chunks: DataFrame, size: int = 1 << 16) -> DataFrame:
@@ -76,7 +76,7 @@ def check_reference(df: DataFrame, chunks: DataFrame, size: int = 1 << 16) -> Da
 
 def attach_consequences(variants: DataFrame, consequences: DataFrame, column: str = "consequence") -> DataFrame:
     """Left join on the variant key; tables stored by chromosome are pruned by Spark's own runtime filters."""
-    return variants.join(consequences.select(*KEY, column), KEY, "left")
+    return variants.join(consequences.select(*KEY, column).hint("merge"), KEY, "left")
 
 
 #: Ranges of positions of a chromosome that are pushed to a scan.
@@ -117,7 +117,7 @@ def attach_from_table(variants: DataFrame, path: str, columns: Sequence[str]) ->
     # the filter by chromosome alone prunes folders, the ranges of all chromosomes together prune row groups
     low, high = min((r[0][0] for r in wanted.values()), default=0), max((r[-1][1] for r in wanted.values()), default=-1)
     few = table.where(F.col("chrom").isin(list(wanted)) & F.col("pos").between(low, high) & where)
-    return variants.join(few.select(*KEY, *columns), KEY, "left")
+    return variants.join(few.select(*KEY, *columns).hint("merge"), KEY, "left")
 
 
 # Consequences of variants outside exons.
@@ -129,7 +129,7 @@ def _nearest_of_both(spots: DataFrame, coding: DataFrame, noncoding: DataFrame,
     for kind, table in (("pc", coding), ("nc", noncoding)):
         own = nearest(spots, table.select("chrom", "start", "end", "gene_id"), "gene_id")
         own = own.select("row_id", F.col("distance").alias(f"distance_{what}_{kind}"), F.col("gene_id").alias(f"{what}_closest_{kind}_gene_id"))
-        out = own if out is None else out.join(own, "row_id")
+        out = own if out is None else out.join(own.hint("merge"), "row_id")
     first = F.col(f"distance_{what}_pc") <= F.col(f"distance_{what}_nc")
     gene = F.when(first, F.col(f"{what}_closest_pc_gene_id")).otherwise(F.col(f"{what}_closest_nc_gene_id"))
     return out.withColumns({f"distance_{what}": F.least(f"distance_{what}_pc", f"distance_{what}_nc"), f"{what}_closest_gene_id": gene})
@@ -148,7 +148,7 @@ def evaluation_table(
     """
     own = variants.where(~F.col("consequence").isin(list(excluded)))
     spots = own.select("row_id", "chrom", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"))
-    out = own.join(_nearest_of_both(spots, *exons, "exon"), "row_id").join(_nearest_of_both(spots, *starts, "tss"), "row_id")
+    out = own.join(_nearest_of_both(spots, *exons, "exon").hint("merge"), "row_id").join(_nearest_of_both(spots, *starts, "tss").hint("merge"), "row_id")
     near_start = F.col("consequence").isin(*NON_EXONIC) & (F.col("distance_tss") <= start_near)
     near_exon = (F.col("consequence") == "intron_variant") & (F.col("distance_exon") <= exon_near)
     out = out.withColumn("consequence_final", F.when(near_start, "tss_proximal").when(near_exon, "exon_proximal").otherwise(F.col("consequence_cre")))
@@ -166,7 +166,7 @@ def dual_nearest(variants: DataFrame, coding: DataFrame, noncoding: DataFrame, n
     found = []
     for name, table in (("pc", coding), ("nc", noncoding)):
         found.append(nearest(spots, table.select("chrom", "start", "end", "gene_id"), "gene_id").select("row_id", F.col("distance").alias(f"distance_{name}"), F.col("gene_id").alias(f"gene_{name}")))
-    out = variants.join(found[0], "row_id").join(found[1], "row_id")
+    out = variants.join(found[0].hint("merge"), "row_id").join(found[1].hint("merge"), "row_id")
     first = F.col("distance_nc").isNull() | (F.col("distance_pc") <= F.col("distance_nc"))
     out = out.withColumns({"distance": F.least("distance_pc", "distance_nc"), "gene": F.when(first, F.col("gene_pc")).otherwise(F.col("gene_nc"))})
     return out.withColumn("consequence", F.when(F.col("distance") <= near, F.lit(override)).otherwise(F.col("consequence")))
@@ -180,4 +180,4 @@ def keep_positive_classes(df: DataFrame, column: str = "consequence") -> DataFra
 def unambiguous(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Rows of keys with one distinct value in each column (null counts as a value)."""
     n = df.groupBy(key).agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(f"_{c}") for c in columns])
-    return df.join(n.where(" and ".join(f"`_{c}` = 1" for c in columns)).select(key), key, "left_semi")
+    return df.join(n.where(" and ".join(f"`_{c}` = 1" for c in columns)).select(key).hint("merge"), key, "left_semi")
