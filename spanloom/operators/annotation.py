@@ -81,7 +81,7 @@ def promoters(exons: DataFrame, upstream: int, downstream: int) -> DataFrame:
 
 def _beside_coding(exons: DataFrame, cds: DataFrame, five: bool) -> DataFrame:
     bounds = cds.groupBy("transcript_id").agg(F.min("start").alias("cds_start"), F.max("end").alias("cds_end"))
-    rows = exons.join(bounds, "transcript_id")
+    rows = exons.join(bounds.hint("merge"), "transcript_id")
     low = (F.col("strand") == "+") if five else (F.col("strand") == "-")
     part = rows.withColumns({"_s": F.when(low, F.col("start")).otherwise(F.greatest("start", "cds_end")), "_e": F.when(low, F.least("end", "cds_start")).otherwise(F.col("end"))})
     return intervals.merge(part.where("_s < _e").select("chrom", F.col("_s").alias("start"), F.col("_e").alias("end")))
@@ -115,7 +115,7 @@ def canonical(ann: DataFrame, tag: str = "Ensembl_canonical") -> DataFrame:
     """Rows of transcripts whose transcript row bears the tag."""
     rows = with_attributes(ann, "transcript_id")
     tagged = rows.where((F.col("feature") == "transcript") & F.col("attribute").contains(f'tag "{tag}"')).select("transcript_id").distinct()
-    return rows.join(tagged, "transcript_id", "left_semi")
+    return rows.join(tagged.hint("merge"), "transcript_id", "left_semi")
 
 
 def gene_biotypes(ann: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def spliced_distance(variants: DataFrame, exons: DataFrame, cds: DataFrame) -> D
 
     spots = variants.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")).distinct()
     held = overlap_join(spots, exons.select("chrom", "start", "end", "transcript_id")).select("chrom", F.col("start").alias("pos"), F.col("transcript_id_b").alias("transcript_id")).distinct()
-    pairs = held.join(bounds, "transcript_id").join(exons.select("transcript_id", F.col("start").alias("s"), F.col("end").alias("e")), "transcript_id")
+    pairs = held.join(bounds.hint("merge"), "transcript_id").join(exons.select("transcript_id", F.col("start").alias("s"), F.col("end").alias("e")).hint("merge"), "transcript_id")
     between = lambda a, b: F.greatest(F.lit(0), F.least("e", b) - F.greatest("s", a))
     left, right = between(F.col("pos"), F.col("cds_start")), between(F.col("cds_end"), F.col("pos") + 1)
     per = pairs.groupBy("chrom", "pos", "transcript_id").agg(F.sum(F.when(F.col("pos") < F.col("cds_start"), left).when(F.col("pos") >= F.col("cds_end"), right).otherwise(0)).alias("d"))
@@ -190,7 +190,7 @@ def coding_bounds(ann: DataFrame) -> DataFrame:
 
 def utr3_table(ann: DataFrame) -> DataFrame:
     """Parts of messenger exons behind the coding stretch, with its bounds, ``gene_id`` and ``gene_name`` (null where none is given)."""
-    rows = transcript_exons(ann).withColumn("gene_name", attribute("gene")).join(coding_bounds(ann), "transcript_id")
+    rows = transcript_exons(ann).withColumn("gene_name", attribute("gene")).join(coding_bounds(ann).hint("merge"), "transcript_id")
     plus = F.col("strand") == "+"
     part = rows.withColumns({"start": F.when(plus, F.greatest("start", "cds_end")).otherwise(F.col("start")), "end": F.when(plus, F.col("end")).otherwise(F.least("end", "cds_start"))})
     return part.where("start < end").select("chrom", "start", "end", "strand", "transcript_id", "cds_start", "cds_end", "gene_id", "gene_name")
@@ -224,4 +224,4 @@ def transcript_sizes(exons: DataFrame) -> DataFrame:
 
 def least_size_at(positions: DataFrame, exons: DataFrame) -> DataFrame:
     """Per ``chrom, pos`` the size of the smallest of its transcripts; ``positions`` has ``chrom, pos, transcript_id``."""
-    return positions.join(transcript_sizes(exons), "transcript_id", "left").groupBy("chrom", "pos").agg(F.min("transcript_size").alias("transcript_size"))
+    return positions.join(transcript_sizes(exons).hint("merge"), "transcript_id", "left").groupBy("chrom", "pos").agg(F.min("transcript_size").alias("transcript_size"))

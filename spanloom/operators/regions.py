@@ -180,7 +180,7 @@ def windows_outside(sizes: DataFrame, undefined: DataFrame, size: int, step: int
 def outside_at_center(rows: DataFrame, others: DataFrame, size: int) -> DataFrame:
     """Rows (unique ``row_id``) whose ``size`` middle bases touch none of ``others``; their own columns stay."""
     center = intervals.resize(rows.select("row_id", "chrom", "start", "end"), size)
-    return rows.join(interval_joins.not_overlapping(center, others).select("row_id"), "row_id", "left_semi").select(rows.columns)
+    return rows.join(interval_joins.not_overlapping(center, others).select("row_id").hint("merge"), "row_id", "left_semi").select(rows.columns)
 
 
 def above_threshold(predictions: DataFrame, threshold: float, score: str = "logit") -> DataFrame:
@@ -212,15 +212,15 @@ def place_at_random(rows: DataFrame, free: DataFrame, seed: int, times: int = 1,
     tried = need.join(total, "chrom").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
     tried = tried.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "row_id", "turn", "try"), F.col("total"))).withColumn("_bin", F.shiftright("at", WAYS))
     ahead = F.col("at") - F.col("first")
-    hit = tried.join(spread, ["chrom", "_bin"]).where((ahead >= 0) & (ahead + F.greatest("n", F.lit(1)) <= F.col("room")))
+    hit = tried.join(spread.hint("merge"), ["chrom", "_bin"]).where((ahead >= 0) & (ahead + F.greatest("n", F.lit(1)) <= F.col("room")))
     drawn = kept(hit.groupBy("row_id", "chrom", "n", "turn").agg(F.min_by(F.col("s") + ahead, "try").alias("start")))
-    rest = kept(need.join(drawn.select("row_id", "turn"), ["row_id", "turn"], "left_anti").select("row_id", "chrom", "n", "turn"))
+    rest = kept(need.join(drawn.select("row_id", "turn").hint("merge"), ["row_id", "turn"], "left_anti").select("row_id", "chrom", "n", "turn"))
     if not rest.isEmpty():
         fits = stretches.join(rest.select("chrom", "n").distinct(), "chrom").where("room >= n").withColumn("ways", F.col("room") - F.col("n") + 1)
         spread, total = _spread(fits, ["chrom", "n"], "ways")
         counted = rest.join(total, ["chrom", "n"]).withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "row_id", "turn"), F.col("total"))).withColumn("_bin", F.shiftright("at", WAYS))
-        found = counted.join(spread, ["chrom", "n", "_bin"]).where((ahead >= 0) & (ahead < F.col("ways"))).select("row_id", "turn", (F.col("s") + ahead).alias("start"))
-        drawn = drawn.union(rest.join(found, ["row_id", "turn"], "left").select(drawn.columns))
+        found = counted.join(spread.hint("merge"), ["chrom", "n", "_bin"]).where((ahead >= 0) & (ahead < F.col("ways"))).select("row_id", "turn", (F.col("s") + ahead).alias("start"))
+        drawn = drawn.union(rest.join(found.hint("merge"), ["row_id", "turn"], "left").select(drawn.columns))
     return drawn.select("row_id", "chrom", "start", (F.col("start") + F.col("n")).alias("end"))
 
 
@@ -240,9 +240,9 @@ def place_apart(rows: DataFrame, free: DataFrame, seed: int) -> DataFrame:
         if drawn.isEmpty():
             break
         lost = interval_joins.overlap_join(drawn, drawn).where(F.col("priority") < F.col("priority_b")).select("row_id").distinct()
-        won = kept(drawn.join(lost, "row_id", "left_anti").select("row_id", "chrom", "start", "end"))
+        won = kept(drawn.join(lost.hint("merge"), "row_id", "left_anti").select("row_id", "chrom", "start", "end"))
         placed = won if placed is None else placed.union(won)
-        need = kept(need.join(won.select("row_id"), "row_id", "left_anti").select(need.columns))
+        need = kept(need.join(won.select("row_id").hint("merge"), "row_id", "left_anti").select(need.columns))
         if need.isEmpty():
             break
         open_ = kept(intervals.subtract(open_, won))

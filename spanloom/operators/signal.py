@@ -19,7 +19,7 @@ def score_windows(windows: DataFrame, track: DataFrame, threshold: float) -> Dat
     agg = pairs.groupBy("row_id").agg(
         F.sum(F.when(F.col("value_b") >= threshold, n).otherwise(0)).alias("conserved_bases"), F.sum(n).alias("n_valid"), (F.sum(F.col("value_b").cast("double") * n) / F.sum(n)).alias("mean_score")
     )
-    out = windows.join(agg, "row_id", "left")
+    out = windows.join(agg.hint("merge"), "row_id", "left")
     return out.withColumns(
         {
             "conserved_bases": F.coalesce("conserved_bases", F.lit(0)).cast("int"),
@@ -33,7 +33,7 @@ def values_at(points: DataFrame, track: DataFrame, pos: str = "pos") -> DataFram
     """The track's value at each 1-based position (null in gaps and on unknown chromosomes); ``row_id`` must be unique."""
     spots = points.select("row_id", "chrom", (F.col(pos) - 1).alias("start"), F.col(pos).alias("end"))
     hit = overlap_join(spots, known(track)).groupBy("row_id").agg(F.max("value_b").alias("value"))
-    return points.join(hit, "row_id", "left")
+    return points.join(hit.hint("merge"), "row_id", "left")
 
 
 def histogram(track: DataFrame, low: float, high: float, n_bins: int) -> DataFrame:

@@ -250,7 +250,7 @@ def noncoding_table(v):
 
 @query(f"WITH {_EX} SELECT {_T} AS transcript_id, s, CASE WHEN ex.strand = '+' THEN s - ce ELSE cs - s - 1 END AS distance FROM ex JOIN cd ON ex.t = cd.t")
 def distance_to_cds(v):
-    rows = annotation.transcript_exons(v("gtf")).join(annotation.coding_bounds(v("gtf")), "transcript_id")
+    rows = annotation.transcript_exons(v("gtf")).join(annotation.coding_bounds(v("gtf")).hint("merge"), "transcript_id")
     return rows.select("transcript_id", "start", annotation.distance_to_cds("start", "cds_start", "cds_end", "strand").alias("distance"))
 
 
