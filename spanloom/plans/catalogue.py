@@ -475,8 +475,8 @@ SELECT id, number, '+' AS strand, substr(f, 1, 5) AS context, substr(f, 6) AS re
 def context_completion(v):
     """Every window of 11 letters of every text, with an A in its middle as the other base, on both strands."""
     windows = letter_windows(v("seqs"), 11)
-    one = lambda strand: windows.select("id", "number", F.lit(strand).alias("strand"), Q.context_and_completions(F.col("window"), F.substring("window", 6, 1), F.lit("A"), 11, strand).alias("x"))
-    return one("+").union(one("-")).select("id", "number", "strand", "x.*")
+    one = lambda strand: Q.context_and_completions(F.col("window"), F.substring("window", 6, 1), F.lit("A"), 11, strand)
+    return on_both_strands(windows, one).select("id", "number", "strand", "x.*")
 
 
 @query("SELECT row_id, CASE WHEN score IS NULL THEN 'OOR' WHEN score >= 0 AND score < 50 THEN 'b0' WHEN score >= 50 AND score < 200 THEN 'b1' WHEN score >= 200 AND score <= 400 THEN 'b2' ELSE 'OOR' END AS bin FROM variants")
@@ -568,9 +568,15 @@ def lift_over(v):
 
 def letter_windows(seqs, size):
     """``id, number, window``: all whole windows of ``size`` letters of each text, one after another."""
-    number = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.length("raw") / size) - 1))
-    rows = seqs.where(F.length("raw") >= size).select("id", "raw", number.alias("number"))
-    return rows.select("id", "number", F.substring("raw", (F.col("number") * size + 1).cast("int"), F.lit(size)).alias("window"))
+    rows = seqs.select("id", F.posexplode(F.regexp_extract_all("raw", F.lit(f"(?s).{{{size}}}"), F.lit(0))).alias("number", "window"))
+    return rows.select("id", F.col("number").cast("long").alias("number"), "window")
+
+
+def on_both_strands(windows, one):
+    """``id, number, strand, x``: ``one(strand)`` of each window, which is read once."""
+    both = windows.select("id", "number", one("+").alias("plus"), one("-").alias("minus"))
+    rows = F.array(*[F.struct(F.lit(strand).alias("strand"), F.col(c).alias("x")) for strand, c in (("+", "plus"), ("-", "minus"))])
+    return both.select("id", "number", F.inline(rows))
 
 
 def genome(v):

@@ -10,7 +10,7 @@ from ..functions import columns as C
 from ..functions import sequence as Q
 from ..operators import aggregates, matching, metrics, selection, tables, variants
 from ..operators.kept import shared_folder
-from .catalogue import _STEPS, _nearest_sql, letter_windows, query, r6
+from .catalogue import _STEPS, _nearest_sql, letter_windows, on_both_strands, query, r6
 
 
 @query("WITH f AS (SELECT query, target, min(bits) AS b FROM hits GROUP BY query, target) SELECT query, string_agg(target, '|' ORDER BY b, target) AS target FROM f GROUP BY query")
@@ -201,8 +201,7 @@ def variant_examples(v):
     """Every window of 9 letters of every text with another base for its middle, on both strands."""
     windows = letter_windows(v("seqs"), 9)
     alt = F.substring(F.lit("ACGT"), (1 + F.col("number") % 4).cast("int"), F.lit(1))
-    one = lambda strand: windows.select("id", "number", F.lit(strand).alias("strand"), Q.variant_example(F.col("window"), alt, strand).alias("x"))
-    return one("+").union(one("-")).select("id", "number", "strand", F.array_join(F.col("x.input_ids").cast("array<string>"), " ").alias("input_ids"), F.col("x.alt_token_id").alias("alt_token_id"))
+    return on_both_strands(windows, lambda strand: Q.variant_example(F.col("window"), alt, strand)).select("id", "number", "strand", F.array_join(F.col("x.input_ids").cast("array<string>"), " ").alias("input_ids"), F.col("x.alt_token_id").alias("alt_token_id"))
 
 
 @query("SELECT row_id, round(u, 6) AS ll_upper, round(l, 6) AS ll_lower, CAST(2 AS BIGINT) AS n_upper, CAST(1 AS BIGINT) AS n_lower FROM (SELECT row_id, 0 - CAST(row_id % 3 AS DOUBLE) - CAST(row_id % 5 AS DOUBLE) / 2 AS u, 0 - CAST(row_id % 7 AS DOUBLE) AS l FROM variants) AS t")
