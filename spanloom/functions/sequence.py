@@ -38,25 +38,30 @@ def kmer_tokens(seq: str | Column, k: int) -> Column:
     return F.transform(words, lambda w: F.when(w.rlike(f"^[acgt]{{{k}}}$"), F.conv(F.translate(w, "acgt", "0123"), 4, 10).cast("int") + 2).otherwise(1))
 
 
+def letters(seq: str | Column) -> Column:
+    """The letters of a text; none of an empty one."""
+    return F.array_remove(F.split(_col(seq), ""), "")
+
+
 def char_tokens(seq: str | Column, bos: bool = False, eos: bool = False) -> Column:
     """Ids of the letters: pad 0, unknown 1, then begin and end marks if asked for, then a, c, g, t."""
     first = 2 + bos + eos
-    letters = F.filter(F.split(F.lower(_col(seq)), ""), lambda c: c != "")
-    ids = F.transform(letters, lambda c: F.coalesce(F.nullif(F.instr(F.lit("acgt"), c), F.lit(0)) + first - 1, F.lit(1)))
+    digits = F.translate(F.regexp_replace(F.lower(_col(seq)), "(?s)[^acgt]", "1"), "acgt", "".join(str(first + i) for i in range(4)))
+    ids = letters(digits).cast("array<int>")
     begin = F.array(F.lit(2)) if bos else F.array().cast("array<int>")
     end = F.array(F.lit(2 + bos)) if eos else F.array().cast("array<int>")
     return F.concat(begin, ids, end)
 
 
 def upper_mask(seq: str | Column) -> Column:
-    return F.transform(F.filter(F.split(_col(seq), ""), lambda c: c != ""), lambda c: c.rlike("[A-Z]"))
+    return letters(F.regexp_replace(F.regexp_replace(_col(seq), "(?s)[^A-Z]", "0"), "[A-Z]", "1")).cast("array<boolean>")
 
 
 def loss_weights(seq: str | Column, lower_weight: float) -> Column:
     """Weight of predicting the next letter: 1 for an upper-case, ``lower_weight`` for a lower-case one, 0 after the last."""
     mask = upper_mask(seq)
-    shifted = F.concat(F.slice(mask, 2, F.greatest(F.size(mask) - 1, F.lit(0))).cast("array<boolean>"), F.array(F.lit(None).cast("boolean")))
-    return F.transform(shifted, lambda up: F.when(up.isNull(), 0.0).when(up, 1.0).otherwise(float(lower_weight)).cast("double"))
+    following = F.slice(mask, 2, F.greatest(F.length(_col(seq)) - 1, F.lit(0)))
+    return F.concat(F.transform(following, lambda up: F.when(up, 1.0).otherwise(float(lower_weight))), F.array(F.lit(0.0)))
 
 
 def substitutions(seq: str | Column, at: int | Column) -> Column:
@@ -67,8 +72,7 @@ def substitutions(seq: str | Column, at: int | Column) -> Column:
 
 def case_encode(seq: str | Column, values: str | Column, threshold: float) -> Column:
     """Upper case where the base's value reaches the threshold, lower case elsewhere; null and NaN do not reach it."""
-    letters = F.filter(F.split(_col(seq), ""), lambda c: c != "")
-    return F.array_join(F.zip_with(letters, _col(values), lambda c, v: F.when(v.isNotNull() & ~F.isnan(v) & (v >= threshold), F.upper(c)).otherwise(F.lower(c))), "")
+    return F.array_join(F.zip_with(letters(seq), _col(values), lambda c, v: F.when((v >= threshold) & ~F.isnan(v), F.upper(c)).otherwise(F.lower(c))), "")
 
 
 def variant_index(window: int, strand: str) -> int:

@@ -17,3 +17,29 @@ def test_growing_tables_are_not_broadcast(spark, capsys, name):
     """Spark broadcasts by compressed size; what may be broadcast has one row a tile, a class or an offset."""
     joins = [line for line in plan_of(entry.queries()[name](spark, SMALL), capsys).splitlines() if "BroadcastHashJoin" in line]
     assert all("_tile#" in line or "consequence_final#" in line for line in joins), joins
+
+
+def test_windows_of_a_text_do_not_carry_it(spark, capsys):
+    """Each window once held the whole text, so work grew with the square of its length; and each strand read the table again."""
+    from spanloom.plans import catalogue
+
+    for name in ("context_completion", "variant_examples"):
+        assert plan_of(entry.queries()[name](spark, SMALL), capsys).count("FileScan") == 1
+    rows = spark.createDataFrame([("a", "ac\U0001f600gtN" * 4), ("b", "acg"), ("c", ""), ("d", None)], "id string, raw string")
+    assert [tuple(r) for r in catalogue.letter_windows(rows, 9).orderBy("number").collect()] == [("a", 0, "ac\U0001f600gtNac\U0001f600"), ("a", 1, "gtNac\U0001f600gtN")]
+
+
+def test_letters_by_native_functions(spark, capsys):
+    from pyspark.sql import functions as F
+
+    from spanloom.functions import sequence as Q
+
+    rows = spark.createDataFrame([("aC\U0001f600\n1T",), ("",), (None,), ("g",)], "s string")
+    got = rows.select(Q.char_tokens("s").alias("ids"), Q.upper_mask("s").alias("up"), Q.loss_weights("s", 0.25).alias("w"), Q.case_encode("s", F.expr("array(3D, 1D, NULL, double('NaN'), 2D)"), 2.0).alias("c"))
+    assert [tuple(r) for r in got.collect()] == [
+        ([2, 3, 1, 1, 1, 5], [False, True, False, False, False, True], [1.0, 0.25, 0.25, 0.25, 1.0, 0.0], "Ac\U0001f600\n1t"),
+        ([], [], [0.0], ""),
+        (None, None, None, None),
+        ([4], [False], [0.0], "G"),
+    ]
+    assert "lambda" not in plan_of(rows.select(Q.upper_mask("s"), Q.char_tokens("s")), capsys)
