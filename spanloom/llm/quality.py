@@ -15,10 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.kept import kept
 from .common import hash_share
 
-#: Labelled documents that the weights are learned from: those with the smallest hashes of their ids; all if there are fewer.
-SAMPLE_DOCS = 6000
+#: Labelled documents of a block, about. Good and bad ones are compared inside blocks, which are dealt by a hash of the id and hold all of them.
+BLOCK_DOCS = 6000
 #: Good documents that each bad one is compared to.
 RIVALS = 12
 RIDGE = 1e-2
@@ -62,48 +63,113 @@ def features(text: str) -> list[float]:
     return [np.log1p(len(words)) / 10, np.log1p(chars / len(words)), *np.sqrt(np.minimum(share, 4.0)).tolist()]
 
 
-def fit(x: np.ndarray, good: np.ndarray, rivals: int = RIVALS, ridge: float = RIDGE) -> dict[str, np.ndarray | float]:
-    """Weights from pairs (every bad row with ``rivals`` good ones, in turn), by Newton steps, and the threshold."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = (x - mean) / scale
+def _differences(z: np.ndarray, good: np.ndarray, rivals: int) -> np.ndarray:
+    """Features of good rows less those of bad ones: every bad row with ``rivals`` good ones, in turn."""
     best, worst = np.flatnonzero(good), np.flatnonzero(~good)
-    w = np.zeros(x.shape[1])
-    if not len(best) or not len(worst):  # nothing to compare: every text is as the labels say
-        return {"mean": mean, "scale": scale, "weights": w, "threshold": -4.0 if len(best) else 4.0}
-    left = best[np.arange(len(worst) * rivals) % len(best)]
-    d = z[left] - z[np.repeat(worst, rivals)]
-    for _ in range(25):
-        p = 1 / (1 + np.exp(d @ w))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w)), d.T @ p / len(d) - ridge * w)
+    if not len(best):
+        return z[:0]
+    return z[best[np.arange(len(worst) * rivals) % len(best)]] - z[np.repeat(worst, rivals)]
+
+
+def _sums(d: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hessian and gradient of the logistic loss, summed over differences."""
+    p = 1 / (1 + np.exp(d @ w))
+    return (d * (p * (1 - p))[:, None]).T @ d, d.T @ p
+
+
+def _newton(sums, n: int, size: int, ridge: float) -> np.ndarray:
+    """Weights by Newton steps, from the sums that ``sums`` gives for weights."""
+    w = np.zeros(size)
+    for _ in range(25 if n else 0):
+        hessian, gradient = sums(w)
+        step = np.linalg.solve(hessian / n + ridge * np.eye(size), gradient / n - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
+    return w
+
+
+def fit(x: np.ndarray, good: np.ndarray, rivals: int = RIVALS, ridge: float = RIDGE) -> dict[str, np.ndarray | float]:
+    """Weights from the pairs of one block, and the threshold."""
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z = (x - mean) / scale
+    k = int(np.count_nonzero(~good))
+    if k in (0, len(good)):  # nothing to compare: every text is as the labels say
+        return {"mean": mean, "scale": scale, "weights": np.zeros(x.shape[1]), "threshold": 4.0 if k else -4.0}
+    d = _differences(z, good, rivals)
+    w = _newton(lambda w: _sums(d, w), len(d), x.shape[1], ridge)
     scores = np.sort(z @ w)
-    k = len(worst)
-    return {"mean": mean, "scale": scale, "weights": w, "threshold": float(scores[k - 1] + scores[k]) / 2 if k < len(scores) else float(scores[-1])}
+    return {"mean": mean, "scale": scale, "weights": w, "threshold": float(scores[k - 1] + scores[k]) / 2}
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, np.ndarray | float]:
-    """Fit on a bounded sample of labelled documents.
+def _per_block(blocks: DataFrame, f) -> np.ndarray:
+    """Sum over all blocks of the numbers ``f(x, good)``, in the order of the blocks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, x, good in zip(batch["block"], batch["x"], batch["good"], strict=True):
+                yield pd.DataFrame({"block": [block], "v": [np.asarray(f(np.frombuffer(x).reshape(-1, len(FEATURES)), np.frombuffer(good, bool)), float)]})
+
+    return np.sum([r["v"] for r in sorted(blocks.mapInPandas(run, "block long, v array<double>").collect())], axis=0)
+
+
+def fit_blocks(blocks: DataFrame, rivals: int = RIVALS, ridge: float = RIDGE) -> dict[str, np.ndarray | float]:
+    """What ``fit`` gives, over all ``blocks`` (``block``, ``x`` and ``good`` as bytes): mean, scale and threshold are those of all rows, and a
+    bad row meets good ones of its block. One job a step; the driver gets a few hundred numbers a block."""
+    m = len(FEATURES)
+    first = _per_block(blocks, lambda x, good: [len(x), np.count_nonzero(~good), *x.sum(0)])
+    n, k, mean = int(first[0]), int(first[1]), first[2:] / first[0]
+    scale = np.sqrt(_per_block(blocks, lambda x, good: ((x - mean) ** 2).sum(0)) / n) + 1e-9
+    if k in (0, n):
+        return {"mean": mean, "scale": scale, "weights": np.zeros(m), "threshold": 4.0 if k else -4.0}
+    pairs = int(_per_block(blocks, lambda x, good: [rivals * np.count_nonzero(~good) if good.any() else 0])[0])
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        got = _per_block(blocks, lambda x, good: np.concatenate([part.ravel() for part in _sums(_differences((x - mean) / scale, good, rivals), w)]))
+        return got[: m * m].reshape(m, m), got[m * m :]
+
+    w = _newton(sums, pairs, m, ridge)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x in batch["x"]:
+                yield pd.DataFrame({"s": ((np.frombuffer(x).reshape(-1, m) - mean) / scale) @ w})
+
+    scores = blocks.mapInPandas(run, "s double")
+    low, high = scores.approxQuantile("s", [max(0.0, k / n - 0.002), min(1.0, k / n + 0.002)], 0.001)  # the scores about the place, then that place exactly
+    below = scores.where(F.col("s") < low).count()
+    near = np.array(sorted(map(tuple, scores.where(F.col("s").between(low, high)).groupBy("s").count().collect())))
+    upto = below + np.cumsum(near[:, 1])
+    at = [float(near[np.searchsorted(upto, place, "left"), 0]) for place in (k, k + 1)]
+    return {"mean": mean, "scale": scale, "weights": w, "threshold": sum(at) / 2}
+
+
+def learn(docs: DataFrame, labels: DataFrame, block_docs: int = BLOCK_DOCS) -> dict[str, np.ndarray | float]:
+    """Fit on all labelled documents.
 
     ``labels``: ``doc_id``, ``quality``; rows with a null in either teach nothing, and a document labelled more than once has
-    the mean of its labels, rounded up from a half. Only the sample's features reach the driver.
+    the mean of its labels, rounded up from a half. Features stay in blocks of about ``block_docs`` documents, fewer blocks where good or bad ones are rare.
     """
     agreed = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
-    total = agreed.count()
-    near = agreed.withColumn("place", hash_share("doc_id", 10)).where(F.col("place") < 1.5 * sample_docs / max(1, total))
-    sample = near.orderBy("place", "doc_id").limit(sample_docs).select("doc_id", "good")
-    rows = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    counts = agreed.agg(F.count("*").alias("n"), F.count_if("good").alias("good")).first()
+    n_blocks = max(1, min(counts["n"] // block_docs, counts["good"] // 50, (counts["n"] - counts["good"]) // 50))
+    rows = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "good": batch["good"], "x": [features(t) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [features(t) for t in batch["text"]]})
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        own = sorted(zip(rows["doc_id"], map(tuple, rows["x"]), rows["good"], strict=True))
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "x": [np.array([x for _, x, _ in own], float).tobytes()], "good": [np.array([g for _, _, g in own], bool).tobytes()]})
 
-    got = rows.mapInPandas(run, "doc_id long, good boolean, x array<double>").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["x"]))
-    if not got:
+    block = F.least(F.floor(hash_share("doc_id", 10) * n_blocks), F.lit(n_blocks - 1)).cast("long")
+    # features of all documents meet the labels, so that no text is shuffled and labels of any number aren't broadcast
+    found = rows.mapInPandas(run, "doc_id long, x array<double>").join(agreed.hint("merge"), "doc_id").withColumn("block", block)
+    blocks = kept(found.groupBy("block").applyInPandas(packed, "block long, x binary, good binary"))
+    if blocks.isEmpty():
         return fit(np.zeros((1, len(FEATURES))), np.array([True]))
-    return fit(np.array([r["x"] for r in got]), np.array([r["good"] for r in got]))
+    return fit_blocks(blocks)
 
 
 def scorer(model: dict[str, np.ndarray | float]):
@@ -119,11 +185,11 @@ def scorer(model: dict[str, np.ndarray | float]):
     return score
 
 
-def rate(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_docs: int = SAMPLE_DOCS, output: str = "quality_score") -> DataFrame:
+def rate(docs: DataFrame, labels: DataFrame, learn_from: Column, block_docs: int = BLOCK_DOCS, output: str = "quality_score") -> DataFrame:
     """Add the column ``output`` (0 to 1) to ``docs``, learned from the labels whose ``doc_id`` fulfils ``learn_from``.
 
     Scores use the text alone. All rows and columns stay, repeated ones too; a column of that name is replaced. Empty
     and null texts have a score like any other. Without usable labels every score is above 0.5. An empty table stays empty.
     """
-    model = learn(docs, labels.where(learn_from), sample_docs)
+    model = learn(docs, labels.where(learn_from), block_docs)
     return docs.withColumn(output, scorer(model)(F.col("text").cast("string")))

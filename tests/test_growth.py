@@ -43,3 +43,23 @@ def test_letters_by_native_functions(spark, capsys):
         ([4], [False], [0.0], "G"),
     ]
     assert "lambda" not in plan_of(rows.select(Q.upper_mask("s"), Q.char_tokens("s")), capsys)
+
+
+def test_quality_is_learned_from_every_label(spark):
+    """Blocks hold all labelled documents: mean, scale and threshold are those of all, the weights those of all pairs inside blocks."""
+    import numpy as np
+
+    from spanloom.llm import quality
+
+    docs = spark.createDataFrame([(i, " ".join(["Word"[: 1 + i % 4] + "!" * (i * 7 % 5)] * (1 + i % 37))) for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i * 7919 % 10 > 3)) for i in range(900)], "doc_id long, quality int")
+    x = np.array([quality.features(r["text"]) for r in docs.orderBy("doc_id").collect()])
+    good = np.array([i * 7919 % 10 > 3 for i in range(900)])
+    one, model = quality.fit(x, good), quality.learn(docs, labels, block_docs=2000)
+    assert all(np.allclose(model[c], one[c], atol=1e-9) for c in ("mean", "scale", "weights", "threshold"))
+    several = quality.learn(docs, labels, block_docs=200)
+    assert np.allclose(several["mean"], x.mean(0)) and np.allclose(several["scale"], x.std(0) + 1e-9)
+    assert not np.allclose(several["weights"], 0)
+    scores = np.sort(((x - several["mean"]) / several["scale"]) @ several["weights"])
+    k = int((~good).sum())
+    assert abs(several["threshold"] - (scores[k - 1] + scores[k]) / 2) < 1e-9
