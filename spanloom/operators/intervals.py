@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tiles import TILE, cut_at_tiles, inside, stitched
+from .tiles import TILE, cut_at_tiles, dealt, inside, stitched
 
 COLUMNS = ["chrom", "start", "end"]
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -28,6 +28,7 @@ def merge(df: DataFrame, width: int = TILE, by: Sequence[str] = ()) -> DataFrame
 
     One shuffle by tile, and one of the few pieces at tile borders."""
     known = cut_at_tiles(df.select(*by, *COLUMNS).where("chrom is not null and start is not null and end is not null"), width)
+    known = dealt(known, "chrom", "_tile")
     line = Window.partitionBy(*by, "chrom", "_tile").orderBy("start", "end")
     before = F.max("end").over(line.rowsBetween(*_BEFORE))
     own = known.withColumn("_new", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
@@ -45,8 +46,8 @@ def sweep(a: DataFrame, b: DataFrame, keep: Callable[[Column, Column], Column],
         ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("k")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("k")))
         return pieces.select("chrom", "_tile", F.explode(ends).alias("x")).select("chrom", "_tile", "x.pos", (F.col("x.k") * x).alias("xa"), (F.col("x.k") * y).alias("xb"))
 
-    dealt = bounds(a, 1, 0).union(bounds(b, 0, 1)).repartition("chrom", "_tile")
-    steps = dealt.groupBy("chrom", "_tile", "pos").agg(F.sum("xa").alias("xa"), F.sum("xb").alias("xb"))
+    rows = dealt(bounds(a, 1, 0).union(bounds(b, 0, 1)), "chrom", "_tile")
+    steps = rows.groupBy("chrom", "_tile", "pos").agg(F.sum("xa").alias("xa"), F.sum("xb").alias("xb"))
     line = inside("pos")
     so_far = line.rowsBetween(Window.unboundedPreceding, 0)
     depth = steps.select("chrom", "_tile", "pos", F.sum("xa").over(so_far).alias("da"), F.sum("xb").over(so_far).alias("db"))
@@ -70,7 +71,7 @@ def sweep_many(sets: Mapping[str, DataFrame], rules: Mapping[str, Rule], width:
         own = pieces.select("chrom", "_tile", F.explode(ends).alias("x")).select("chrom", "_tile", "x.pos", F.lit(i).alias("set"), "x.k")
         rows = own if rows is None else rows.union(own)
     depth = [f"d{i}" for i in range(len(sets))]
-    steps = rows.repartition("chrom", "_tile").groupBy("chrom", "_tile", "pos").agg(*[F.sum(F.when(F.col("set") == i, F.col("k")).otherwise(0)).alias(d) for i, d in enumerate(depth)])
+    steps = dealt(rows, "chrom", "_tile").groupBy("chrom", "_tile", "pos").agg(*[F.sum(F.when(F.col("set") == i, F.col("k")).otherwise(0)).alias(d) for i, d in enumerate(depth)])
     so_far = inside("pos").rowsBetween(Window.unboundedPreceding, 0)
     depths = steps.select("chrom", "_tile", "pos", *[F.sum(d).over(so_far).alias(d) for d in depth])
     over = {key: F.col(d) for key, d in zip(sets, depth, strict=True)}

@@ -19,6 +19,13 @@ def test_growing_tables_are_not_broadcast(spark, capsys, name):
     assert all("_tile#" in line or "consequence_final#" in line for line in joins), joins
 
 
+@pytest.mark.parametrize("name", ["interval_subtract", "interval_intersect", "recipe_flank_subtract", "region_sets"])
+def test_tiles_are_dealt_to_a_number_of_tasks(spark, capsys, name):
+    """Spark joins tasks by compressed size where it deals rows by itself; sorted positions are a few bytes a row there."""
+    deals = [line for line in plan_of(entry.queries()[name](spark, SMALL), capsys).splitlines() if "Exchange hashpartitioning(" in line and ("_tile#" in line or "_lane#" in line)]
+    assert deals and all("REPARTITION_BY_NUM" in line for line in deals), deals
+
+
 def test_windows_of_a_text_do_not_carry_it(spark, capsys):
     """Each window once held the whole text, so work grew with the square of its length; and each strand read the table again."""
     from spanloom.plans import catalogue
