@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals
-from .tiles import TILE, inside, with_carry, with_tile
+from .tiles import TILE, dealt, inside, with_carry, with_tile
 
 #: Widths of bins, as powers of two. Intervals beyond the widest take as many of its bins as they touch.
 LEVELS = (12, 16, 20, 24, 28)
@@ -46,19 +46,54 @@ def _binned(df: DataFrame, left: bool) -> DataFrame:
 def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     """Pairs with ``a.start < b.end and b.start < a.end`` on one chromosome.
 
-    Columns of ``b`` get the suffix ``_b``. ``how``: inner, or left_semi / left_anti, which need ``row_id`` in ``a`` to be unique.
+    Columns of ``b`` get the suffix ``_b``. ``how``: inner, or left_semi / left_anti, see ``_touched``.
     """
+    if how != "inner":
+        return _touched(a, b, how == "left_semi")
     right = _binned(b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns]).withColumnsRenamed({"start_b": "start", "end_b": "end"}), left=False)
     right = right.withColumnsRenamed({"start": "start_b", "end": "end_b", "_bin": "_bin_b"})
     left = _binned(a, left=True)
     meets = (F.col("chrom") == F.col("chrom_b")) & (F.col("_bin") == F.col("_bin_b")) & (F.col("start") < F.col("end_b")) & (F.col("start_b") < F.col("end"))
-    if how == "inner":
-        power = F.element_at(F.array(*map(F.lit, LEVELS)), (F.pmod(F.shiftright("_bin", 1), F.lit(8)) + 1).cast("int"))
-        later = F.call_function("shiftright", F.greatest("start", "start_b"), power)
-        pairs = left.join(right.hint("merge"), meets & (F.shiftright("_bin", 4) == later))
-        return pairs.drop("_bin", "_bin_b", "chrom_b")
-    hit = left.join(right.hint("merge"), meets, "left_semi").select("row_id").distinct()
-    return a.join(hit.hint("merge"), "row_id", how)
+    power = F.element_at(F.array(*map(F.lit, LEVELS)), (F.pmod(F.shiftright("_bin", 1), F.lit(8)) + 1).cast("int"))
+    later = F.call_function("shiftright", F.greatest("start", "start_b"), power)
+    pairs = left.join(right.hint("merge"), meets & (F.shiftright("_bin", 4) == later))
+    return pairs.drop("_bin", "_bin_b", "chrom_b")
+
+
+def _touched(a: DataFrame, b: DataFrame, hit: bool, width: int = TILE) -> DataFrame:
+    """Rows of ``a`` that overlap something of ``b``, or that don't.
+
+    Of all ``b`` that start before a row's end, the one that reaches furthest tells: one pass along the axis, each row of both sides in it once."""
+    lane = a.select("chrom", F.col("end").cast("long").alias("pos"), F.lit(0).alias("kind"), F.struct(*a.columns).alias("row"), F.lit(None).cast("long").alias("e"))
+    known = b.where("chrom is not null and start is not null and end is not null")
+    lane = lane.union(known.select("chrom", F.col("start").cast("long"), F.lit(1), F.lit(None).cast(lane.schema["row"].dataType), F.col("end").cast("long")))
+    rows = dealt(with_carry(with_tile(lane, "pos", width), join="left", _reach=(F.max("e"), "max", "before")), "chrom", "_tile")
+    reach = F.greatest("_reach", F.max("e").over(inside("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)))
+    found = rows.withColumn("_far", reach).where("kind = 0").withColumn("_hit", F.coalesce(F.col("_far") > F.col("row.start"), F.lit(False)))
+    return found.where(F.col("_hit") if hit else ~F.col("_hit")).select("row.*")
+
+
+def covered_bases(windows: DataFrame, sets: DataFrame, names: Sequence[str], width: int = TILE) -> DataFrame:
+    """``row_id`` and ``<name>_bp``, the bases of each window (unique ``row_id``) that the intervals of each set cover, which are ``name, chrom, start, end`` and disjoint inside a set.
+
+    A window has the bases before its end without those before its start; both come from running sums along the axis, so no pairs are made."""
+    point = lambda at, sign: F.struct(F.col(at).cast("long").alias("pos"), F.lit(sign).alias("sign"))
+    asked = windows.select("row_id", "chrom", F.explode(F.array(point("start", -1), point("end", 1))).alias("x"))
+    lane = asked.select("chrom", "x.pos", "row_id", "x.sign", F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("e"))
+    lane = lane.union(sets.select("chrom", F.col("start").cast("long"), F.lit(None).cast(lane.schema["row_id"].dataType), F.lit(0), "name", F.col("end").cast("long")))
+    of = lambda n, value: F.when(F.col("name") == n, value)
+    bases, sums = F.col("e") - F.col("pos"), {}
+    for i, n in enumerate(names):
+        sums |= {f"_n{i}": (F.sum(of(n, bases)), "sum", "before"), f"_e{i}": (F.max(of(n, F.col("e"))), "max", "before")}
+    rows = dealt(with_carry(with_tile(lane, "pos", width), **sums), "chrom", "_tile")
+    line = inside("pos", "sign").rowsBetween(Window.unboundedPreceding, 0)
+    before = {}
+    for i, n in enumerate(names):
+        upto = F.coalesce(f"_n{i}", F.lit(0)) + F.coalesce(F.sum(of(n, bases)).over(line), F.lit(0))
+        ahead = F.greatest(F.lit(0), F.coalesce(F.greatest(f"_e{i}", F.max(of(n, F.col("e"))).over(line)) - F.col("pos"), F.lit(0)))
+        before[n] = (upto - ahead).alias(f"_b{i}")
+    points = rows.select("row_id", "sign", *before.values()).where("sign <> 0")
+    return points.groupBy("row_id").agg(*[F.sum(F.col("sign") * F.col(f"_b{i}")).alias(f"{n}_bp") for i, n in enumerate(names)])
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -147,10 +182,8 @@ def priority_labels(windows: DataFrame, regions: dict[str, DataFrame], functiona
         tags = F.explode(F.array(F.lit(name), F.lit("functional")) if name in functional else F.array(F.lit(name)))
         rows = region.select(tags.alias("region"), "chrom", "start", "end")
         tagged = rows if tagged is None else tagged.union(rows)
-    pairs = overlap_join(windows.select("row_id", "chrom", "start", "end"), intervals.merge(tagged, by=["region"]))
-    length = F.least("end", "end_b") - F.greatest("start", "start_b")
     names = [*regions, "functional"]
-    summed = pairs.groupBy("row_id").agg(*[F.sum(F.when(F.col("region_b") == n, length)).alias(f"{n}_bp") for n in names])
+    summed = covered_bases(windows, intervals.merge(tagged, by=["region"]).withColumnRenamed("region", "name"), names)
     out = windows.join(summed.hint("merge"), "row_id", "left").withColumns({f"{n}_bp": F.coalesce(f"{n}_bp", F.lit(0)) for n in names})
     fractions = {f"{name}_frac": F.col(f"{name}_bp") / size for name in [*regions, "functional"]}
     out = out.withColumns(fractions)

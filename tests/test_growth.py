@@ -26,6 +26,26 @@ def test_tiles_are_dealt_to_a_number_of_tasks(spark, capsys, name):
     assert deals and all("REPARTITION_BY_NUM" in line for line in deals), deals
 
 
+def test_touched_and_covered_make_no_rows_by_bin(spark, capsys):
+    """Each interval once stood in a bin or two of every width, six rows and more, and all were shuffled."""
+    from spanloom.operators import interval_joins
+
+    rows = [(i, f"c{i % 2}", s, s + n) for i, (s, n) in enumerate([(0, 10), (5, 0), (10, 0), (10, 5), (-7, 7), (1 << 20, 9), ((1 << 20) - 3, 3), (40, 3 << 20), (99, 1)])] + [(9, None, 1, 5), (10, "c0", None, 4), (11, "c0", 4, None), (12, "c9", 4, 8)]
+    a = spark.createDataFrame(rows, "row_id long, chrom string, start long, end long")
+    b = spark.createDataFrame([(c, s, e) for _, c, s, e in rows if c != "c9"] + [("c1", 5, 12), ("c1", 2 << 20, 5 << 20)], "chrom string, start long, end long").where("start is null or start > -8")
+    known = [tuple(r) for r in b.collect() if None not in tuple(r)]
+    want = {r[0] for r in rows if None not in r and any(c == r[1] and r[2] < e and s < r[3] for c, s, e in known)}
+    for how in ("left_semi", "left_anti"):
+        df = interval_joins.overlap_join(a, b, how)
+        assert "Generate explode" not in plan_of(df, capsys)
+        assert sorted(r["row_id"] for r in df.collect()) == [r[0] for r in rows if (r[0] in want) == (how == "left_semi")]
+    sets = spark.createDataFrame([("x", "c0", -5, 3), ("x", "c0", 9, 4 << 20), ("y", "c1", 2, 5), ("y", "c1", 1 << 20, 1 << 21)], "name string, chrom string, start long, end long")
+    got = {r["row_id"]: (r["x_bp"], r["y_bp"]) for r in interval_joins.covered_bases(a.where("row_id < 9"), sets, ["x", "y"]).collect()}
+    over = lambda r, n: sum(max(0, min(e, r[3]) - max(s, r[2])) for m, c, s, e in map(tuple, sets.collect()) if (m, c) == (n, r[1]))
+    assert got == {r[0]: (over(r, "x"), over(r, "y")) for r in rows[:9]}
+    assert not any("_bin" in line for line in plan_of(entry.queries()["flagship_window_labels"](spark, SMALL), capsys).splitlines())
+
+
 def test_windows_of_a_text_do_not_carry_it(spark, capsys):
     """Each window once held the whole text, so work grew with the square of its length; and each strand read the table again."""
     from spanloom.plans import catalogue
