@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,12 @@ from .tiles import TILE
 
 #: Places of one lookup range, as a power of two.
 WAYS = 16
+#: Tries that every row makes at once; the others follow for rows that fit at none of these.
+FEW = 2
+#: Chromosomes and lengths that are broadcast at most.
+LENGTHS = 1_000_000
+#: Bases of a cell of draws.
+CELL = 1 << 17
 
 Step = tuple
 # What follows most sources in a recipe.
@@ -193,7 +201,7 @@ def _spread(stretches: DataFrame, keys: list[str], ways: str) -> tuple[DataFrame
     line = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = cut.groupBy(*keys, "_part").agg(F.sum(ways).alias("w")).withColumn("before", F.coalesce(F.sum("w").over(line), F.lit(0)))
     inner = Window.partitionBy(*keys, "_part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = cut.join(parts.drop("w"), [*keys, "_part"]).withColumn("first", F.col("before") + F.coalesce(F.sum(ways).over(inner), F.lit(0)))
+    numbered = cut.join(parts.drop("w").hint("merge"), [*keys, "_part"]).withColumn("first", F.col("before") + F.coalesce(F.sum(ways).over(inner), F.lit(0)))
     bins = F.sequence(F.shiftright("first", WAYS), F.shiftright(F.col("first") + F.col(ways) - 1, WAYS))
     return numbered.withColumn("_bin", F.explode(bins)), parts.groupBy(*keys).agg(F.sum("w").alias("total"))
 
@@ -202,52 +210,85 @@ def place_at_random(rows: DataFrame, free: DataFrame, seed: int, times: int = 1,
     """A place in the free stretches of its chromosome for each row (unique ``row_id``), of the row's length, ``times`` over.
 
     ``free``: disjoint stretches. A start is even over all starts that fit: of ``tries`` bases of the free stretches, each from a hash of seed, row
-    and turn, the first one where the row fits is taken. Only rows for which none does are drawn by counting what fits, by chromosome and
-    length. Lookups are equi-joins on (chromosome, range of numbers), so no chromosome is one task. Places may overlap or repeat. Rows that fit
-    nowhere have a null place. Runs two jobs while it is built.
+    and turn, the first one where the row fits is taken; the later tries are made for rows only that need them. Only rows for which none does are drawn by counting what
+    fits, by chromosome and length. Lookups are equi-joins on (chromosome, range of numbers), so no chromosome is one task. Places may overlap or repeat. Rows that fit
+    nowhere have a null place. Runs a few jobs while it is built.
     """
-    need = rows.select("row_id", "chrom", (F.col("end") - F.col("start")).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("turn"))
+    rest = rows.select("row_id", "chrom", (F.col("end") - F.col("start")).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("turn"))
     stretches = free.where("`end` > start").select("chrom", F.col("start").alias("s"), (F.col("end") - F.col("start")).alias("room"))
     spread, total = _spread(stretches, ["chrom"], "room")
-    tried = need.join(total, "chrom").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    tried = tried.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "row_id", "turn", "try"), F.col("total"))).withColumn("_bin", F.shiftright("at", WAYS))
-    ahead = F.col("at") - F.col("first")
-    hit = tried.join(spread.hint("merge"), ["chrom", "_bin"]).where((ahead >= 0) & (ahead + F.greatest("n", F.lit(1)) <= F.col("room")))
-    drawn = kept(hit.groupBy("row_id", "chrom", "n", "turn").agg(F.min_by(F.col("s") + ahead, "try").alias("start")))
-    rest = kept(need.join(drawn.select("row_id", "turn").hint("merge"), ["row_id", "turn"], "left_anti").select("row_id", "chrom", "n", "turn"))
+    ahead, drawn = F.col("at") - F.col("first"), None
+    for first, last in ((0, min(tries, FEW)), (min(tries, FEW), tries)):
+        if first == last or (drawn is not None and rest.isEmpty()):
+            break
+        tried = rest.join(F.broadcast(total), "chrom").withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(last - 1))))
+        tried = tried.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "row_id", "turn", "try"), F.col("total"))).withColumn("_bin", F.shiftright("at", WAYS))
+        hit = tried.join(spread.hint("merge"), ["chrom", "_bin"]).where((ahead >= 0) & (ahead + F.greatest("n", F.lit(1)) <= F.col("room")))
+        own = kept(hit.groupBy("row_id", "chrom", "n", "turn").agg(F.min_by(F.col("s") + ahead, "try").alias("start")))
+        drawn = own if drawn is None else drawn.union(own)
+        rest = kept(rest.join(own.select("row_id", "turn").hint("merge"), ["row_id", "turn"], "left_anti").select("row_id", "chrom", "n", "turn"))
     if not rest.isEmpty():
-        fits = stretches.join(rest.select("chrom", "n").distinct(), "chrom").where("room >= n").withColumn("ways", F.col("room") - F.col("n") + 1)
+        lengths = kept(rest.select("chrom", "n").distinct())
+        way = "broadcast" if lengths.count() <= LENGTHS else "merge"
+        fits = stretches.join(lengths.hint(way), "chrom").where("room >= n").withColumn("ways", F.col("room") - F.col("n") + 1)
         spread, total = _spread(fits, ["chrom", "n"], "ways")
-        counted = rest.join(total, ["chrom", "n"]).withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "row_id", "turn"), F.col("total"))).withColumn("_bin", F.shiftright("at", WAYS))
+        counted = rest.join(total.hint(way), ["chrom", "n"]).withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "row_id", "turn"), F.col("total"))).withColumn("_bin", F.shiftright("at", WAYS))
         found = counted.join(spread.hint("merge"), ["chrom", "n", "_bin"]).where((ahead >= 0) & (ahead < F.col("ways"))).select("row_id", "turn", (F.col("s") + ahead).alias("start"))
         drawn = drawn.union(rest.join(found.hint("merge"), ["row_id", "turn"], "left").select(drawn.columns))
     return drawn.select("row_id", "chrom", "start", (F.col("start") + F.col("n")).alias("end"))
 
 
+def _unbeaten(rows: pd.DataFrame) -> pd.DataFrame:
+    """One cell's pieces of draws that no piece of a higher priority touches. Pieces are painted from the lowest priority to the highest: one that is still whole then is untouched."""
+    rows = rows.sort_values(["_draw", "row_id"], ignore_index=True)
+    low = int(rows["_from"].min())
+    begin, end = rows["_from"].to_numpy() - low, rows["_to"].to_numpy() - low
+    over = np.full(int(end.max()), -1)
+    for i, (s, e) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+        over[s:e] = i
+    whole = np.bincount(over[over >= 0], minlength=len(rows)) == end - begin
+    return rows[whole].assign(_bases=(end - begin)[whole])[["row_id", "chrom", "start", "end", "_bases"]]
+
+
+def without_lower_touching(drawn: DataFrame, seed: int) -> DataFrame:
+    """Of draws ``row_id, chrom, start, end`` (of some length) those that no draw of a higher priority, a hash of seed and row, touches.
+
+    Of draws with one start only those stay that none as long or longer and of higher priority stands beside: the others are beaten, and what they touch that one touches too. So a cell
+    of ``CELL`` bases has a few rows for each of its bases at most, however many draws crowd there, and no pairs are made."""
+    top = drawn.groupBy("chrom", "start", "end").agg(F.max(F.struct(F.xxhash64(F.lit(seed), "row_id").alias("_draw"), "row_id")).alias("_top"))
+    longer = F.max("_top").over(Window.partitionBy("chrom", "start").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
+    front = top.withColumn("_longer", longer).where(F.col("_longer").isNull() | (F.col("_top") > F.col("_longer"))).select("chrom", "start", "end", "_top.*")
+    cells = front.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("end") - 1) / CELL))))
+    cells = cells.withColumns({"_from": F.greatest("start", F.col("_cell") * CELL), "_to": F.least("end", (F.col("_cell") + 1) * CELL)})
+    kinds = {f.name: f.dataType.simpleString() for f in drawn.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("row_id", "chrom", "start", "end")) + ", _bases long"
+    whole = cells.groupBy("chrom", "_cell").applyInPandas(_unbeaten, schema)
+    return whole.groupBy("row_id", "chrom", "start", "end").agg(F.sum("_bases").alias("_bases")).where("_bases = `end` - start").drop("_bases")
+
+
 def place_apart(rows: DataFrame, free: DataFrame, seed: int) -> DataFrame:
     """A place for each row as ``place_at_random`` gives it, but no two places overlap.
 
-    In each round all rows that are left draw, draws that overlap are found by a join of the draws with themselves, and of such draws those stay that
-    no draw of a higher priority (a hash of seed and row) touches; the others draw again in what is free then. Every round places at
-    least the draw of the highest priority, and most where space isn't tight. Rows that don't fit into what is left have a null place. The result depends on
-    rows and seed only. Runs a few jobs a round.
+    In each round all rows that are left draw, and of draws that overlap those stay that no draw of a higher priority (a hash of seed and row) touches; the others
+    draw again in what is free then. Every round places at least the draw of the highest priority, and most where space isn't tight. Rows that
+    don't fit into what is left have a null place and draw no more, as what is free only shrinks. Rows of no length come last, each
+    beside or between the others' places. The result depends on rows and seed only. Runs a few jobs a round.
     """
-    need, open_, placed, turn = kept(rows.select("row_id", "chrom", "start", "end")), kept(intervals.merge(free)), None, 0
-    while True:
+    asked = kept(rows.select("row_id", "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))
+    need, open_, placed, turn = asked.where("`end` > start"), kept(intervals.merge(free)), None, 0
+    while not need.isEmpty():
         turn += 1
-        drawn = place_at_random(need, open_, seed * 1_000_003 + turn).where("start is not null")
-        drawn = kept(drawn.withColumn("priority", F.struct(F.xxhash64(F.lit(seed), "row_id"), "row_id")))
-        if drawn.isEmpty():
-            break
-        lost = interval_joins.overlap_join(drawn, drawn).where(F.col("priority") < F.col("priority_b")).select("row_id").distinct()
-        won = kept(drawn.join(lost.hint("merge"), "row_id", "left_anti").select("row_id", "chrom", "start", "end"))
+        drawn = kept(place_at_random(need, open_, seed * 1_000_003 + turn).where("start is not null"))
+        won = kept(without_lower_touching(drawn, seed))
         placed = won if placed is None else placed.union(won)
-        need = kept(need.join(won.select("row_id").hint("merge"), "row_id", "left_anti").select(need.columns))
-        if need.isEmpty():
-            break
+        need = kept(drawn.join(won.select("row_id").hint("merge"), "row_id", "left_anti").select(need.columns))
         open_ = kept(intervals.subtract(open_, won))
-    none = need.select("row_id", "chrom", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
-    return none if placed is None else placed.union(none)
+    points = asked.where("`end` = start")
+    if not points.isEmpty():
+        own = kept(place_at_random(points, open_, seed * 1_000_003).where("start is not null"))
+        placed = own if placed is None else placed.union(own)
+    none = asked.select("row_id", "chrom", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
+    return none if placed is None else none.join(placed.select("row_id").hint("merge"), "row_id", "left_anti").select(placed.columns).union(placed)
 
 
 def exclusion(positives: DataFrame, undefined: DataFrame) -> DataFrame:

@@ -46,6 +46,21 @@ def test_touched_and_covered_make_no_rows_by_bin(spark, capsys):
     assert not any("_bin" in line for line in plan_of(entry.queries()["flagship_window_labels"](spark, SMALL), capsys).splitlines())
 
 
+def test_crowded_draws_make_no_pairs(spark, capsys):
+    """Draws of a round were joined with themselves, so many draws on few free bases made pairs with the square of their number."""
+    from pyspark.sql import functions as F
+
+    from spanloom.operators import regions
+
+    rows = [(i, f"c{i % 2}", s, s + 1 + i * 7 % 5) for i, s in enumerate([i * 31 % 23 for i in range(600)] + [i * 97 for i in range(40)])] + [(640, "c0", 131_000, 400_000), (641, "c1", 131_060, 131_080), (642, "c1", 131_079, 262_200)]
+    drawn = spark.createDataFrame(rows, "row_id long, chrom string, start long, end long")
+    turn = {r["row_id"]: (r["h"], r["row_id"]) for r in drawn.select("row_id", F.xxhash64(F.lit(3), "row_id").alias("h")).collect()}
+    want = {a[0] for a in rows if not any(b[1] == a[1] and a[2] < b[3] and b[2] < a[3] and turn[b[0]] > turn[a[0]] for b in rows)}
+    got = regions.without_lower_touching(drawn, 3)
+    assert "Join" not in plan_of(got, capsys)
+    assert sorted(map(tuple, got.collect())) == [r for r in rows if r[0] in want]
+
+
 def test_windows_of_a_text_do_not_carry_it(spark, capsys):
     """Each window once held the whole text, so work grew with the square of its length; and each strand read the table again."""
     from spanloom.plans import catalogue
