@@ -105,3 +105,97 @@ def test_quality_is_learned_from_every_label(spark):
     scores = np.sort(((x - several["mean"]) / several["scale"]) @ several["weights"])
     k = int((~good).sum())
     assert abs(several["threshold"] - (scores[k - 1] + scores[k]) / 2) < 1e-9
+
+
+def plain_holders(p, q, k):
+    """Positives in order take their nearest unused negatives: rank of the negative to rank of the positive."""
+    free, out = dict(q), {}
+    for r, own in sorted(p):
+        for n in sorted(free, key=lambda n: (sum((a - b) ** 2 for a, b in zip(free[n], own, strict=True)), n))[:k]:
+            out[n] = r
+            del free[n]
+    return out
+
+
+@pytest.mark.parametrize("crowd", [1024, 4])
+@pytest.mark.parametrize("kind", ["even", "ties", "one place", "one line", "far tail", "crowded positives", "one feature", "three features"])
+def test_a_slab_settles_as_the_plain_loop(monkeypatch, kind, crowd):
+    import numpy as np
+    import pandas as pd
+
+    from spanloom.operators import matching
+
+    monkeypatch.setattr(matching, "CROWD", crowd)
+    monkeypatch.setattr(matching, "LATE", 3 if crowd == 4 else 64)
+    rng = np.random.default_rng(len(kind) + crowd)
+    d = {"one feature": 1, "three features": 3}.get(kind, 2)
+    x = rng.normal(size=(500, d))
+    label = np.arange(500) % 4 == 1
+    if kind == "ties":
+        x = np.round(x * 2) / 2
+    elif kind == "one place":
+        x[:] = 0.5
+    elif kind == "one line":
+        x[:, 1] = 3.0
+    elif kind == "far tail":
+        x[:, 0] = np.exp(3 * x[:, 0])
+    elif kind == "crowded positives":
+        x[label] = x[label] * 0.01 + 2
+    rank = rng.permutation(500)
+    columns = [f"_x{i}" for i in range(d)]
+    rows = pd.DataFrame(x, columns=columns).assign(c="a", _t=0, _first=True, _last=True, _label=label, _rank=rank, _value=np.where(label, 2, matching.FREE))
+    got = matching._settle(["c"], columns)(rows)
+    pairs = lambda own: [(int(r), tuple(v)) for r, v in zip(rank[own], x[own].tolist(), strict=True)]
+    assert dict(zip(got["_rank"], got["_holder"], strict=True)) == plain_holders(pairs(label), pairs(~label), 2)
+
+
+def test_matching_sees_few_rows_twice_and_ends_in_few_rounds(spark, monkeypatch, tmp_path):
+    """A slab's task had both neighbours whole, and what met at a border went to and fro between the same two slabs."""
+    import uuid
+
+    import numpy as np
+
+    from spanloom.operators import matching
+
+    settle, rounds = matching._settle, []
+
+    def counted(*columns):
+        run, folder = settle(*columns), tmp_path / f"round{len(rounds)}"
+        folder.mkdir()
+        rounds.append(folder)
+
+        def settled(rows):
+            (folder / uuid.uuid4().hex).write_text(str(len(rows)))
+            return run(rows)
+
+        return settled
+
+    monkeypatch.setattr(matching, "_settle", counted)
+    monkeypatch.setattr(matching, "SLAB", 400)
+    rng = np.random.default_rng(3)
+    rows = [(i, "c", float(x), float(y), i % 5 == 0) for i, (x, y) in enumerate(rng.random((4000, 2)).tolist())]
+    df = spark.createDataFrame(rows, "id long, chrom string, x double, y double, label boolean").repartition(8)
+    got = matching.match_features(df.where("label").drop("label"), df.where("not label").drop("label"), ["id"], ["x", "y"], ["chrom"], 2).collect()
+    seen = [sum(int(f.read_text()) for f in folder.iterdir()) for folder in rounds]
+    assert seen[0] < 2 * len(rows) and len(rounds) <= 4, seen
+    scale = matching._scales_of_all(df, ["x", "y"])
+    at = lambda r: tuple((v - scale[f][0]) / scale[f][1] for f, v in zip("xy", r[2:4], strict=True))
+    want = plain_holders([(r[0], at(r)) for r in rows if r[4]], [(r[0], at(r)) for r in rows if not r[4]], 2)
+    assert {r["id"]: int(r["match_group"]) for r in got if not r["label"]} == want
+
+
+def test_scales_shuffle_only_values_near_the_quantiles(spark, monkeypatch):
+    """All values of all features were dealt to cells and counted for three quantiles."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from spanloom.operators import matching, ranks
+
+    df = spark.range(200_000).select(F.pow(F.col("id") * 7919 % 200_003, 3).alias("a"), (F.col("id") * 31 % 37).cast("double").alias("b"), F.lit(4).alias("c"), F.when(F.col("id") % 3 > 0, -F.col("id")).alias("d"))
+    want = {n: np.quantile([r[0] for r in df.select(n).collect() if r[0] is not None], [0.25, 0.5, 0.75]) for n in df.columns}
+    monkeypatch.setattr(ranks, "quantiles", lambda *_: pytest.fail("ranks all values"))
+    got = matching.robust_scales(df, df.columns)
+    assert all(got[n] == pytest.approx((q[1], (q[2] - q[0]) or 1.0), rel=1e-12) for n, q in want.items())
+    monkeypatch.undo()
+    few = df.select("a", "b").coalesce(1).limit(9)
+    assert matching.robust_scales(few, ["a", "b"]) == matching._scales_of_all(few, ["a", "b"])
