@@ -7,6 +7,7 @@ A recipe names a source set and the steps that follow. Steps: ``size`` (keep len
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import annotation, interval_joins, intervals
 from .kept import kept
-from .tiles import TILE
+from .tiles import TILE, cut_at_tiles
 
 #: Places of one lookup range, as a power of two.
 WAYS = 16
@@ -23,8 +24,14 @@ WAYS = 16
 FEW = 2
 #: Chromosomes and lengths that are broadcast at most.
 LENGTHS = 1_000_000
-#: Bases of a cell of draws.
+#: Bases of a cell of draws; rows of up to an eighth of that are placed in cells of this width.
 CELL = 1 << 17
+#: Lengths for which a cell counts its starts.
+GRID = 24
+#: Rows of a chromosome that one task deals to cells.
+LOT = 200_000
+#: How often a cell's free bases may be asked for in one round.
+CROWD = 4
 
 Step = tuple
 # What follows most sources in a recipe.
@@ -266,23 +273,100 @@ def without_lower_touching(drawn: DataFrame, seed: int) -> DataFrame:
     return whole.groupBy("row_id", "chrom", "start", "end").agg(F.sum("_bases").alias("_bases")).where("_bases = `end` - start").drop("_bases")
 
 
+def _celled(stretches: DataFrame, width: int, shift: int) -> DataFrame:
+    """``stretches`` cut at the borders of cells of ``width`` bases, ``shift`` bases before the multiples of ``width``; with the length ``room`` of each piece."""
+    moved = stretches.select("chrom", (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"))
+    return cut_at_tiles(moved, width).select("chrom", F.col("_tile").alias("_cell"), (F.col("start") - shift).alias("start"), (F.col("end") - shift).alias("end"), (F.col("end") - F.col("start")).alias("room"))
+
+
+def _to_cells(lengths: list[int]) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """One lot of a chromosome's rows (length ``n``, hash ``_at``): each gets a ``_cell`` with a stretch as long, in proportion to the starts there for its length, or the next lower one
+    of ``lengths`` (ascending); ``_known`` is false where no cell has one."""
+    grid = np.array(lengths)
+
+    def run(rows: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values(["widest", "_cell"], ascending=[False, True])
+        sums = cells[[f"w{i}" for i in range(len(grid))]].to_numpy().cumsum(0)
+        n = rows["n"].to_numpy()
+        upto, which = np.searchsorted(-cells["widest"].to_numpy(), -n, side="right"), np.searchsorted(grid, n, side="right") - 1  # the first cells have a stretch of n bases
+        known, cell = upto > 0, np.zeros(len(rows), dtype=np.int64)
+        for i in np.unique(which[known]):
+            own = known & (which == i)
+            cell[own] = cells["_cell"].to_numpy()[np.searchsorted(sums[:, i], rows["_at"].to_numpy()[own] % sums[upto[own] - 1, i], side="right")]
+        return rows[["row_id", "chrom", "n"]].assign(_cell=cell, _known=known)
+
+    return run
+
+
+def _settled(rows: pd.DataFrame, stretches: pd.DataFrame) -> pd.DataFrame:
+    """One cell: rows by priority take a start each, even over all that fit in what is still free. Gives the rows, without a place where nothing fits, and what stays free."""
+    rows, stretches = rows.sort_values(["_draw", "row_id"]), stretches.sort_values("start")
+    k, m = len(stretches), len(rows)
+    low, room = np.zeros(k + m, dtype=np.int64), np.zeros(k + m, dtype=np.int64)
+    low[:k], room[:k] = stretches["start"], stretches["room"]
+    start, found, least = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=bool), np.inf
+    for i, (n, at) in enumerate(zip(rows["n"].tolist(), rows["_at"].tolist(), strict=True)):
+        if n >= least:
+            continue  # what is free only shrinks
+        ways = np.maximum(room[:k] - (n - 1), 0).cumsum()
+        if not ways[-1]:
+            least = n
+            continue
+        at %= int(ways[-1])
+        j = int(ways.searchsorted(at, side="right"))
+        ahead = at - int(ways[j - 1]) if j else at
+        start[i], found[i] = low[j] + ahead, True
+        low[k], room[k], room[j] = start[i] + n, room[j] - ahead - n, ahead
+        k += 1
+    own = rows[["row_id", "chrom", "n"]].assign(start=start, end=start + rows["n"].to_numpy(), kind=np.where(found, "placed", "left"))
+    free = pd.DataFrame({"chrom": rows["chrom"].iloc[0], "n": 0, "start": low[:k], "end": low[:k] + room[:k], "kind": "free"})[room[:k] > 0]
+    return pd.concat([own, free.assign(row_id=own["row_id"].iloc[0])], ignore_index=True)
+
+
 def place_apart(rows: DataFrame, free: DataFrame, seed: int) -> DataFrame:
-    """A place for each row as ``place_at_random`` gives it, but no two places overlap.
+    """A place in the free stretches of its chromosome for each row (unique ``row_id``), of the row's length; no two places overlap.
 
-    In each round all rows that are left draw, and of draws that overlap those stay that no draw of a higher priority (a hash of seed and row) touches; the others
-    draw again in what is free then. Every round places at least the draw of the highest priority, and most where space isn't tight. Rows that
-    don't fit into what is left have a null place and draw no more, as what is free only shrinks. Rows of no length come last, each
-    beside or between the others' places. The result depends on rows and seed only. Runs a few jobs a round.
+    In each round a row draws a cell of ``CELL`` bases, in proportion to the starts that fit there for its length (or one of ``GRID`` lengths just below). Inside a cell rows take their places one
+    after the other, by a hash of seed and row, each even over all starts that fit in what is still free; those for which nothing is left there draw again, from cells where they
+    fit. In every second round borders lie half a cell further, so what lies across one is seen too. Where rows ask for far more than a cell has, a share of
+    them goes there and the others draw again. Rows over an eighth of a cell come first, in wider cells, and rows of no length come last, each beside or between the others' places.
+    Rows that fit nowhere have a null place and draw no more, as what is free only shrinks. The result depends on rows and seed only. Runs a few jobs a round.
     """
     asked = kept(rows.select("row_id", "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))
-    need, open_, placed, turn = asked.where("`end` > start"), kept(intervals.merge(free)), None, 0
-    while not need.isEmpty():
-        turn += 1
-        drawn = kept(place_at_random(need, open_, seed * 1_000_003 + turn).where("start is not null"))
-        won = kept(without_lower_touching(drawn, seed))
-        placed = won if placed is None else placed.union(won)
-        need = kept(drawn.join(won.select("row_id").hint("merge"), "row_id", "left_anti").select(need.columns))
-        open_ = kept(intervals.subtract(open_, won))
+    sized = asked.where("`end` > start").select("row_id", "chrom", (F.col("end") - F.col("start")).alias("n"))
+    kind = dict(sized.dtypes)["row_id"]
+    open_, placed, turn, cell = kept(intervals.merge(free)), None, 0, ["chrom", "_cell"]
+    chance = lambda *what: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *map(F.lit, what), "row_id"), 1)
+    step = reduce(Column.__add__, [(F.col("n") > (CELL >> 3 << 4 * i)).cast("int") for i in range(11)])
+    for at, least, most in sorted(map(tuple, sized.groupBy(step.alias("step")).agg(F.min("n"), F.max("n")).collect()), reverse=True):
+        width, need = CELL << 4 * at, sized.where(step == at)
+        lengths = sorted({least, *np.geomspace(least, most, GRID).astype(np.int64).tolist()})
+        while True:
+            turn += 1
+            cut = _celled(open_, width, turn % 2 * width // 2)
+            widest = open_.groupBy("chrom").agg(F.max(F.col("end") - F.col("start")).alias("_widest"))
+            lots = need.groupBy("chrom").agg((F.floor(F.count("*") / LOT) + 1).alias("_lots"))
+            need = need.join(F.broadcast(widest.join(lots.hint("merge"), "chrom")), "chrom").where("n <= _widest")
+            need = need.withColumns({"_lot": F.pmod(chance("lot"), "_lots"), "_at": chance("cell", turn)}).drop("_lots", "_widest")
+            starts = [F.sum(F.greatest(F.col("room") - n + 1, F.lit(0))).alias(f"w{i}") for i, n in enumerate(lengths)]
+            cells = kept(cut.where(F.col("room") >= least).groupBy(cell).agg(F.max("room").alias("widest"), F.sum("room").alias("bases"), *starts))
+            by_lot = cells.join(F.broadcast(lots), "chrom").withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lots") - 1)))
+            drawn = kept(need.groupBy("chrom", "_lot").cogroup(by_lot.groupBy("chrom", "_lot")).applyInPandas(_to_cells(lengths), f"row_id {kind}, chrom string, n long, _cell long, _known boolean"))
+            if drawn.isEmpty():
+                break
+            seen = drawn.where("_known").groupBy(cell).agg(F.count("*").alias("rows"), F.sum("n").alias("asked"))
+            share = F.greatest(CROWD * F.col("bases") / F.col("asked"), F.lit(64) / F.col("rows")).alias("_share")
+            seen = kept(seen.join(cells.hint("merge"), cell).select(*cell, share))
+            come = drawn.where("_known").join(seen.hint("merge"), cell).withColumn("_comes", F.pmod(chance("share", turn), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
+            here = come.where("_comes").select("row_id", *cell, "n", F.xxhash64(F.lit(seed), "row_id").alias("_draw"), chance("start", turn).alias("_at"))
+            wide = cut.where(F.col("room") >= least)
+            own = wide.join(seen.hint("merge"), cell, "left_semi")
+            done = kept(here.groupBy(cell).cogroup(own.groupBy(cell)).applyInPandas(_settled, f"row_id {kind}, chrom string, n long, start long, end long, kind string"))
+            won = done.where("kind = 'placed'").select(asked.columns)
+            placed = won if placed is None else placed.union(won)
+            need = reduce(DataFrame.union, [df.select("row_id", "chrom", "n") for df in (done.where("kind = 'left'"), come.where("not _comes"), drawn.where("not _known"))])
+            others = [cut.where(F.col("room") < least), wide.join(seen.hint("merge"), cell, "left_anti"), done.where("kind = 'free'")]
+            open_ = kept(intervals.merge(reduce(DataFrame.union, [df.select(*intervals.COLUMNS) for df in others])))
     points = asked.where("`end` = start")
     if not points.isEmpty():
         own = kept(place_at_random(points, open_, seed * 1_000_003).where("start is not null"))

@@ -61,6 +61,33 @@ def test_crowded_draws_make_no_pairs(spark, capsys):
     assert sorted(map(tuple, got.collect())) == [r for r in rows if r[0] in want]
 
 
+def test_placement_of_more_than_is_free_takes_few_rounds(spark, monkeypatch):
+    """Only draws that none of a higher priority touched stayed in a round, so crowded rows went from round to round until nothing was free."""
+    from spanloom.operators import regions
+
+    written, keep = [], regions.kept
+    monkeypatch.setattr(regions, "kept", lambda df: written.append(df.columns) or keep(df))
+    lengths = [1 + i * 7919 % 30 for i in range(800)]
+    rows = [(i, f"c{i % 2}", 0, n) for i, n in enumerate(lengths)] + [(800, "c4", 5, 25), (801, "c2", 0, 20_000), (802, "c2", 9, 20_009), (803, "c3", 0, 21), (804, None, 0, 5)]
+    free = [(f"c{c}", s, s + 40 + s % 7) for c in range(2) for s in range(0, 4000, 100)] + [("c4", (1 << 17) - 10, (1 << 17) + 10), ("c2", 200_000, 220_500), ("c3", 0, 20)]
+    asked, open_ = spark.createDataFrame(rows, "row_id long, chrom string, start long, end long"), spark.createDataFrame(free, "chrom string, start long, end long")
+    got = sorted(map(tuple, regions.place_apart(asked, open_, 5).collect()))
+    assert len(written) <= 40, len(written)
+    assert [(r, c) for r, c, _, _ in got] == [(r[0], r[1]) for r in rows]
+    left = {c: [0] * 230_000 for c in ("c0", "c1", "c2", "c3", "c4", None)}
+    for c, s, e in free:
+        left[c][s:e] = [1] * (e - s)
+    for (_, c, s, e), row in zip(got, rows, strict=True):
+        if s is not None:
+            assert e - s == row[3] - row[2] and all(left[c][s:e])  # free, and nobody else's
+            left[c][s:e] = [0] * (e - s)
+    widest = {c: max(map(len, "".join(map(str, at)).split("0"))) for c, at in left.items()}
+    assert all(row[3] - row[2] > widest[c] for (_, c, s, _), row in zip(got, rows, strict=True) if s is None)
+    assert sum(s is None for _, _, s, _ in got[800:]) == 3 and got[800][2:] == ((1 << 17) - 10, (1 << 17) + 10)
+    monkeypatch.undo()
+    assert got == sorted(map(tuple, regions.place_apart(asked.repartition(5), open_.repartition(3), 5).collect()))
+
+
 def test_windows_of_a_text_do_not_carry_it(spark, capsys):
     """Each window once held the whole text, so work grew with the square of its length; and each strand read the table again."""
     from spanloom.plans import catalogue
