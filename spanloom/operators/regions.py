@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import annotation, interval_joins, intervals
 from .kept import kept
-from .tiles import TILE, cut_at_tiles
+from .tiles import TILE, cut_at_tiles, dealt
 
 #: Places of one lookup range, as a power of two.
 WAYS = 16
@@ -335,7 +335,7 @@ def place_apart(rows: DataFrame, free: DataFrame, seed: int) -> DataFrame:
     asked = kept(rows.select("row_id", "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))
     sized = asked.where("`end` > start").select("row_id", "chrom", (F.col("end") - F.col("start")).alias("n"))
     kind = dict(sized.dtypes)["row_id"]
-    open_, placed, turn, cell = kept(intervals.merge(free)), None, 0, ["chrom", "_cell"]
+    open_, placed, turn, lot, cell = kept(intervals.merge(free)), None, 0, ["chrom", "_lot"], ["chrom", "_cell"]
     chance = lambda *what: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *map(F.lit, what), "row_id"), 1)
     step = reduce(Column.__add__, [(F.col("n") > (CELL >> 3 << 4 * i)).cast("int") for i in range(11)])
     for at, least, most in sorted(map(tuple, sized.groupBy(step.alias("step")).agg(F.min("n"), F.max("n")).collect()), reverse=True):
@@ -351,16 +351,16 @@ def place_apart(rows: DataFrame, free: DataFrame, seed: int) -> DataFrame:
             starts = [F.sum(F.greatest(F.col("room") - n + 1, F.lit(0))).alias(f"w{i}") for i, n in enumerate(lengths)]
             cells = kept(cut.where(F.col("room") >= least).groupBy(cell).agg(F.max("room").alias("widest"), F.sum("room").alias("bases"), *starts))
             by_lot = cells.join(F.broadcast(lots), "chrom").withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lots") - 1)))
-            drawn = kept(need.groupBy("chrom", "_lot").cogroup(by_lot.groupBy("chrom", "_lot")).applyInPandas(_to_cells(lengths), f"row_id {kind}, chrom string, n long, _cell long, _known boolean"))
+            drawn = kept(dealt(need, *lot).groupBy(*lot).cogroup(dealt(by_lot, *lot).groupBy(*lot)).applyInPandas(_to_cells(lengths), f"row_id {kind}, chrom string, n long, _cell long, _known boolean"))
             if drawn.isEmpty():
                 break
             seen = drawn.where("_known").groupBy(cell).agg(F.count("*").alias("rows"), F.sum("n").alias("asked"))
             share = F.greatest(CROWD * F.col("bases") / F.col("asked"), F.lit(64) / F.col("rows")).alias("_share")
             seen = kept(seen.join(cells.hint("merge"), cell).select(*cell, share))
-            come = drawn.where("_known").join(seen.hint("merge"), cell).withColumn("_comes", F.pmod(chance("share", turn), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
+            come = dealt(drawn.where("_known"), *cell).join(seen.hint("merge"), cell).withColumn("_comes", F.pmod(chance("share", turn), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
             here = come.where("_comes").select("row_id", *cell, "n", F.xxhash64(F.lit(seed), "row_id").alias("_draw"), chance("start", turn).alias("_at"))
             wide = cut.where(F.col("room") >= least)
-            own = wide.join(seen.hint("merge"), cell, "left_semi")
+            own = dealt(wide, *cell).join(seen.hint("merge"), cell, "left_semi")
             done = kept(here.groupBy(cell).cogroup(own.groupBy(cell)).applyInPandas(_settled, f"row_id {kind}, chrom string, n long, start long, end long, kind string"))
             won = done.where("kind = 'placed'").select(asked.columns)
             placed = won if placed is None else placed.union(won)
